@@ -17,6 +17,7 @@ null doc_id take no part.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,7 +31,7 @@ from skein.llm import common
 CAPACITY, END_ID = 2048, 0
 BUCKETS = 1024
 #: Units whose ids a worker keeps before it starts anew.
-KEPT_UNITS = 1_500_000
+KEPT_UNITS = 700_000
 
 PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,34 +45,53 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoded(units: list[str], path: str) -> list[bytes]:
+#: A run of Latin letters that lower() and NFC treat letter by letter, then ASCII marks other than the apostrophe: two
+#: token runs, whatever stands around them.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _tokenizer(path: str):
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return [np.array(e.ids, "<u4").tobytes() for e in _tokenizers[path].encode_batch(units, add_special_tokens=False)]
+        own = Tokenizer.from_file(path)
+        ends = np.zeros(own.get_vocab_size(), bool)
+        ends[[i for token, i in own.get_vocab().items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = own, ends
+    return _tokenizers[path]
+
+
+def _letters(cores: list[str], path: str) -> list[bytes]:
+    """Ids of lower-case words of letters, many to a call: the token that ends a word says so."""
+    own, ends = _tokenizer(path)
+    lines = [" ".join(cores[i : i + 500]) for i in range(0, len(cores), 500)]
+    ids = np.concatenate([np.array(e.ids, "<u4") for e in own.encode_batch_fast(lines, add_special_tokens=False)]) if lines else np.zeros(0, "<u4")
+    stops = (np.flatnonzero(ends[ids]) + 1) * 4
+    assert len(stops) == len(cores), "a word of letters is one token run"
+    raw, starts = ids.tobytes(), np.concatenate([[0], stops[:-1]]) if len(stops) else stops
+    return [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
 def _learn(units: set[str], path: str) -> None:
-    """Puts the units' ids into _ids. A run of ASCII letters before full stops or commas is a token run of its own."""
+    """Puts the units' ids into _ids."""
     new = [u for u in units if u not in _ids]
     if len(_ids) + len(new) > KEPT_UNITS:
         _ids.clear()
         new = list(units)
-    plain, ends = {}, set()
+    plain, odd = [], set()
     for u in new:
-        core = u.rstrip(".,")
-        if core != u and core.isascii() and core.isalpha():
-            plain[u] = (core.lower(), u[len(core) :])
-        elif u.isascii() and u.isalpha():
-            plain[u] = (u.lower(), "")
+        if m := _PLAIN.fullmatch(u):
+            plain.append((u, m[1].lower(), m[2]))
         else:
-            ends.add(u)
-    parts = {x for pair in plain.values() for x in pair if x and x not in _ids} | ends
-    parts = list(parts)
-    _ids.update(zip(parts, _encoded(parts, path), strict=True))
-    for u, (core, end) in plain.items():
-        _ids[u] = _ids[core] + (_ids[end] if end else b"")
+            odd.add(u)
+    marks = {m for _, _, m in plain if m and m not in _ids}
+    cores = list({c for _, c, _ in plain if c not in _ids})
+    _ids.update(zip(cores, _letters(cores, path), strict=True))
+    odd = list(odd | marks)
+    own, _ = _tokenizer(path)
+    _ids.update(zip(odd, [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(odd, add_special_tokens=False)], strict=True))
+    for u, core, mark in plain:
+        _ids[u] = _ids[core] + _ids[mark] if mark else _ids[core]
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
