@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exactdedup, mixing, packing, quality, toxicity
+from skein.llm import exactdedup, mixing, packing, quality, suffixdedup, toxicity
 from skein.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_pack": op5_pack,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix": op8_mix,
