@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exactdedup, mixing, packing, quality, suffixdedup, toxicity
+from skein.llm import exactdedup, mixing, ngramjoin, packing, quality, suffixdedup, toxicity
 from skein.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -42,4 +46,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
+    "op10_ngram_join": op10_ngram_join,
 }
