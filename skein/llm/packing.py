@@ -17,6 +17,7 @@ null doc_id take no part.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -54,6 +55,7 @@ def _tokenizer(path: str):
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         own = Tokenizer.from_file(path)
         ends = np.zeros(own.get_vocab_size(), bool)
         ends[[i for token, i in own.get_vocab().items() if token.endswith("</w>")]] = True
@@ -74,10 +76,10 @@ def _letters(cores: list[str], path: str) -> list[bytes]:
 
 def _learn(units: set[str], path: str) -> None:
     """Puts the units' ids into _ids."""
-    new = [u for u in units if u not in _ids]
+    new = units - _ids.keys()
     if len(_ids) + len(new) > KEPT_UNITS:
         _ids.clear()
-        new = list(units)
+        new = units
     plain, odd = [], set()
     for u in new:
         if m := _PLAIN.fullmatch(u):
@@ -98,14 +100,19 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without the end id."""
     units = [_units(text) for text in texts]
     _learn(set().union(*map(set, units)), path)
-    return [b"".join([_ids[u] for u in us]) for us in units]
+    return [b"".join(map(_ids.__getitem__, us)) for us in units]
 
 
 _BLANK = str.maketrans({c: " " for c in "\t\n\v\f\r"})
+#: What lower() or split() on a whole text would treat otherwise than the tokenizer does; special tokens begin with <|.
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u0130\u017f-\U0010ffff]|<\|")
 
 
 def _units(text: str) -> list[str]:
-    return [u for u in text.translate(_BLANK).split(" ") if u] if any(c in text for c in "\t\v\f\r") else [u for u in text.replace("\n", " ").split(" ") if u]
+    """The text's runs without ASCII blanks."""
+    if _ODD.search(text):
+        return [u for u in text.translate(_BLANK).split(" ") if u]
+    return text.lower().split()
 
 
 def _cut(path: str, capacity: int):
