@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import exactdedup, mixing, ngramjoin, packing, quality, suffixdedup, toxicity
+from skein.llm import ann, exactdedup, licence, mixing, ngramjoin, packing, quality, suffixdedup, toxicity, urlfilter
 from skein.llm.common import table
 
 
@@ -15,14 +15,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.copies(spark, table(spark, sf_dir, "documents"))
 
@@ -41,8 +53,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filter": op2_url_filter,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ann": op4_ann,
     "op5_pack": op5_pack,
+    "op6_licence": op6_licence,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
