@@ -156,3 +156,21 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndar
     ends = np.flatnonzero(last) + 1
     counts = np.diff(np.searchsorted(starts, at))
     return data, starts, ends, counts
+
+
+#: Places of the filters below: the most rows that one broadcasts.
+FILTER_PLACES = 1 << 20
+
+
+def place(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_PLACES))
+
+
+def sieve(df: DataFrame, ids: DataFrame, *keys: str, keep: bool = True) -> DataFrame:
+    """Rows of df whose keys hash to a place that some row of ids hashes to (keep), or don't (not keep).
+
+    A filter of at most FILTER_PLACES rows, whatever the size of ids: every row that has a match is kept, few others are
+    as long as ids is small, and the join that follows then moves no more than those.
+    """
+    marks = ids.select(place(*keys).alias("_place")).distinct()
+    return df.withColumn("_place", place(*keys)).join(F.broadcast(marks), "_place", "left_semi" if keep else "left_anti").drop("_place")

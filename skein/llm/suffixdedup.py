@@ -15,11 +15,11 @@ same offset, so only suffixes at anchors, one in about (WINDOW - LEAD) / 2 bytes
 3. Runs: the hull of a run is all the bytes its windows cover. Runs of equal hulls are copies: all their windows repeat.
    Counts come from partial aggregates, so copies in any number meet in no task.
 4. Edges: where a class holds different hulls, one run a hull goes on. Its windows are judged in chunks by their distance
-   to the anchor: a chunk whose common core is unique holds no repeated window; all windows of a chunk whose hull repeats
-   are repeated; the windows of other chunks are counted one by one.
+   to the anchor, first large ones, then small: a chunk whose common core is unique holds no repeated window; all windows
+   of a chunk whose hull repeats are repeated; the windows of other chunks are counted one by one.
 5. Each text's intervals are merged and cut out.
 
-Equality in 3 and 4 is equality of 128-bit hashes. Rows that repeat an id are texts of their own (a row is known by its id
+Equality of hulls and windows is equality of 128-bit hashes; cores have 64 bits, where a false match only costs a look. Rows that repeat an id are texts of their own (a row is known by its id
 and a hash of its text); a row with a null doc_id takes no part.
 """
 
@@ -38,7 +38,7 @@ from skein.llm import common
 
 WINDOW, LEAD = 400, 64
 #: Windows of neighbouring distances to their anchor that are judged together.
-CHUNK = 16
+LARGE, CHUNK = 176, 16
 #: Texts are read in blocks of so many window starts; a position in a block takes 24 bits of a sort key.
 BLOCK, PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 
@@ -181,23 +181,44 @@ def _contexts(window: int):
 
 
 CONTEXT = "doc_id long, uid long, anchor long, first long, last long, needed boolean, body binary"
-PART = "doc_id long, uid long, anchor long, first long, last long, needed boolean, core1 long, core2 long, hull1 long, hull2 long, body binary"
+CORE = "doc_id long, uid long, first long, needed boolean, large int, core long"
+PART = "doc_id long, uid long, first long, a long, b long, needed boolean, core long, hull1 long, hull2 long"
 SINGLE = "doc_id long, uid long, start long, needed boolean, hash1 long, hash2 long"
 
 
+def _core(body: bytes, anchor: int, first: int, near: int, far: int, window: int) -> int:
+    """What all windows share that start near to far bytes before the anchor."""
+    return _halves(body[anchor - near - first : anchor - far - first + window], seed=near << 10 | far)[0]
+
+
+def _large(window: int, lead: int):
+    def large(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, uid, anchor, first, last, needed, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i in range((anchor - last) // LARGE, (anchor - first) // LARGE + 1):
+                    core = _core(body, anchor, first, i * LARGE, min(i * LARGE + LARGE - 1, window - lead), window)
+                    rows.append((doc_id, uid, first, needed, i, core))
+            yield _batch(rows, CORE)
+
+    return large
+
+
 def _chunks(window: int):
-    """Parts of runs, cut where the distance to the anchor passes a multiple of CHUNK."""
+    """Parts of runs, cut where the distance to the anchor passes a multiple of CHUNK, of the large chunks still open."""
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("doc_id", "uid", "anchor", "first", "last", "needed", "body", "open")
         for batch in batches:
             rows = []
-            for doc_id, uid, anchor, first, last, needed, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, uid, anchor, first, last, needed, body, large in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 for chunk in range((anchor - last) // CHUNK, (anchor - first) // CHUNK + 1):
                     near, far = chunk * CHUNK, chunk * CHUNK + CHUNK - 1
+                    if near // LARGE not in large:
+                        continue
                     a, b = max(first, anchor - far), min(last, anchor - near)
-                    core = _halves(body[anchor - near - first : anchor - far - first + window], seed=chunk)
-                    text = body[a - first : b - first + window]
-                    rows.append((doc_id, uid, anchor, a, b, needed, *core, *_halves(text, seed=(anchor - a) << 10 | (anchor - b)), text))
+                    hull = _halves(body[a - first : b - first + window], seed=(anchor - a) << 10 | (anchor - b))
+                    rows.append((doc_id, uid, first, a, b, needed, _core(body, anchor, first, near, far, window), *hull))
             yield _batch(rows, PART)
 
     return chunks
@@ -205,12 +226,13 @@ def _chunks(window: int):
 
 def _singles(window: int):
     def singles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("doc_id", "uid", "anchor", "first", "body", "parts")
         for batch in batches:
             rows = []
-            names = ("doc_id", "uid", "anchor", "first", "last", "needed", "body")
-            for doc_id, uid, anchor, first, last, needed, body in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                for s in range(first, last + 1):
-                    rows.append((doc_id, uid, s, needed, *_halves(body[s - first : s - first + window], seed=anchor - s)))
+            for doc_id, uid, anchor, first, body, parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                for p in parts:
+                    for s in range(p["a"], p["b"] + 1):
+                        rows.append((doc_id, uid, s, p["needed"], *_halves(body[s - first : s - first + window], seed=anchor - s)))
             yield _batch(rows, SINGLE)
 
     return singles
@@ -261,23 +283,31 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: common.Scratch
     spans = [copies.select("doc_id", "uid", F.col("first").alias("a"), (F.col("last") + window).alias("b"))]
 
     wanted = hulls.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("anchor", "first", "last", "n")).alias("runs"))
-    contexts = docs.join(wanted, ["doc_id", "uid"]).mapInArrow(_contexts(window), CONTEXT)
-    parts = scratch.keep(contexts.mapInArrow(_chunks(window), PART))
-    core = ["core1", "core2"]
-    whole = parts.groupBy(*name).agg((F.count("*") > 1).alias("again"))
-    open_cores = parts.groupBy(*core).agg(F.count("*").alias("n"), F.max("needed").alias("some")).where("n > 1 and some").select(*core)
-    parts_ = parts.join(open_cores, core, "left_semi").join(whole, name)
-    parts_ = scratch.keep(parts_)
-    spans.append(parts_.where("needed and again").select("doc_id", "uid", F.col("first").alias("a"), (F.col("last") + window).alias("b")))
-    # A part whose hull repeats is settled itself, and stands, once, as a partner for the windows of others.
-    left = parts_.where("needed and not again").select(*core).distinct()
-    partners = parts_.join(left, core, "left_semi").withColumn("needed", F.col("needed") & ~F.col("again")).dropDuplicates([*name, "needed", "doc_id", "uid", "anchor"])
-    settled = partners.where("again").dropDuplicates(name)
-    singles = scratch.keep(partners.where("not again").unionByName(settled).mapInArrow(_singles(window), SINGLE))
-    twice = singles.groupBy("hash1", "hash2").agg(F.count("*").alias("n"), F.max("needed").alias("some")).where("n > 1 and some").select("hash1", "hash2")
-    found = singles.where("needed").join(twice, ["hash1", "hash2"], "left_semi")
+    contexts = scratch.keep(common.sieve(docs, hulls, "doc_id", "uid").join(wanted, ["doc_id", "uid"]).mapInArrow(_contexts(window), CONTEXT))
+
+    def still_open(cores: DataFrame, *by: str) -> DataFrame:
+        """Rows whose core others have too, some of them in need of an answer."""
+        common_ = cores.groupBy(*by).agg(F.count("*").alias("_n"), F.max("needed").alias("_some")).where("_n > 1 and _some").select(*by)
+        return cores.join(common_, list(by), "left_semi")
+
+    key = ["doc_id", "uid", "first"]
+    large = still_open(contexts.mapInArrow(_large(window, lead), CORE), "core").groupBy(*key).agg(F.collect_list("large").alias("open"))
+    parts = still_open(contexts.join(large, key).mapInArrow(_chunks(window), PART), "core")
+    parts = scratch.keep(parts)
+    again = parts.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct(*key, "a", "b", "needed")).alias("p"))
+    parts = scratch.keep(parts.join(again.select(*name, (F.col("n") > 1).alias("again"), F.col("p").alias("of")), name))
+    spans.append(parts.where("needed and again").select("doc_id", "uid", "a", (F.col("b") + window).alias("b")))
+    # A part whose hull repeats is settled, and stands, once, as a partner for the windows of others.
+    left = parts.where("needed and not again").select("core").distinct()
+    once = ~F.col("again") | (F.struct(*key, "a", "b", "needed") == F.col("of"))
+    partners = parts.where(once).join(left, "core", "left_semi")
+    partners = partners.groupBy(*key).agg(F.collect_list(F.struct("a", "b", (F.col("needed") & ~F.col("again")).alias("needed"))).alias("parts"))
+    singles = scratch.keep(contexts.join(partners, key).mapInArrow(_singles(window), SINGLE))
+    hashes = ["hash1", "hash2"]
+    twice = singles.groupBy(*hashes).agg(F.count("*").alias("n"), F.max("needed").alias("some")).where("n > 1 and some").select(*hashes)
+    found = singles.where("needed").join(twice, hashes, "left_semi")
     spans.append(found.select("doc_id", "uid", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
-    scratch.drop(parts)
+    scratch.drop(contexts)
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
@@ -287,5 +317,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, l
     scratch = common.Scratch(spark, "suffixdedup")
     rows = common.documents(docs).withColumn("uid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(spark, rows, scratch, window, lead)
-    by_text = spans.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return rows.join(by_text, ["doc_id", "uid"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, RESULT)
+    by_text = scratch.keep(spans.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    key = ["doc_id", "uid"]
+    cut = common.sieve(rows, by_text, *key).join(by_text, key, "left").select("doc_id", "text", "spans")
+    whole = common.sieve(rows, by_text, *key, keep=False).withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    return cut.unionByName(whole.select("doc_id", "text", "spans")).mapInArrow(_cut, RESULT)
