@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.lineage import cut
 from skein.schema import EDGE_KINDS, WEIGHTS
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 40, 1e-8
+#: Where mass that returns to the restart vector is gathered in a round.
+HOME = "\u0000home"
 
 
 def positions(symbols: DataFrame) -> DataFrame:
@@ -90,32 +93,36 @@ def restart(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
 def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, by: str = "task_id", every: int = 8) -> DataFrame:
     """(task, node, score) of personalised PageRank, all tasks in one loop.
 
-    start: (task, node, mass), summing to 1 a task. moves: (src, dst, w), or (task, src, dst, w) where graphs differ by
-    task. Mass at nodes without outgoing weight returns to the restart vector. As mass is conserved, what moves is all
-    there is to measure: next = d * moved + (1 - d * sum(moved)) * start.
-
-    Moves are kept partitioned by source; each round shuffles the state alone. Every few rounds the state is written to
-    the checkpoint folder, which bounds the plan and tests for convergence.
+    start: (task, node, mass), summing to 1 a task. moves: (src, dst, w). Mass at nodes without outgoing weight returns to
+    the restart vector, as does the share 1 - damping of all other mass: both go to a gathering place first, which then
+    deals them out by the vector. Each round is a join with the moves, kept partitioned by source, and two sums, and
+    refers to the state once, so plans grow by a step a round; every few rounds the state is cut off from its lineage and
+    compared with the one before.
     """
-    own = [by] if by in moves.columns else []
-    moves = moves.where("w > 0").groupBy(*own, "src", "dst").agg(F.sum("w").alias("w"))
-    share = F.col("w") / F.sum("w").over(Window.partitionBy(*own, "src"))
-    moves = moves.select(*own, "src", "dst", share.alias("p")).repartition(*own, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    start = start.persist(StorageLevel.MEMORY_AND_DISK)
-    state = start.select(by, "node", F.col("mass").alias("score"))
-    previous = None
+    moves = moves.where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    share = F.col("w") / F.sum("w").over(Window.partitionBy("src"))
+    moves = moves.select("src", "dst", (damping * share).alias("p"))
+    home = moves.select("src").distinct().select("src", F.lit(HOME).alias("dst"), F.lit(1 - damping).alias("p"))
+    moves = moves.unionByName(home).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    start = cut(start)
+    dealt = start.groupBy(by).agg(F.collect_list(F.struct("node", "mass")).alias("deal"))  # the seeds of a task
+    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    state = previous = start.select(by, "node", F.col("mass").alias("score"))
     for i in range(1, iterations + 1):
-        moved = state.withColumnRenamed("node", "src").join(moves, [*own, "src"]).groupBy(by, F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("score"))
-        back = start.join(moved.groupBy(by).agg(F.sum("score").alias("moved")), by, "left")
-        back = back.select(by, "node", ((1 - damping * F.coalesce("moved", F.lit(0.0))) * F.col("mass")).alias("score"))
-        state = moved.select(by, "node", (F.col("score") * damping).alias("score")).unionByName(back).groupBy(by, "node").agg(F.sum("score").alias("score"))
-        if i % every == 0 and i < iterations:
-            state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.persist(StorageLevel.MEMORY_AND_DISK)
-            if tolerance is not None and previous is not None:
+        moved = state.withColumnRenamed("node", "src").join(moves, "src", "left")
+        moved = moved.groupBy(by, F.coalesce("dst", F.lit(HOME)).alias("node")).agg(F.sum(F.col("score") * F.coalesce("p", F.lit(1.0))).alias("score"))
+        shares = F.transform("deal", lambda x: F.struct(x["node"].alias("node"), (x["mass"] * F.col("score")).alias("score")))
+        rows = moved.join(dealt, by).select(by, F.inline(F.when(F.col("node") == HOME, shares).otherwise(F.array(F.struct("node", "score")))))
+        state = rows.groupBy(by, "node").agg(F.sum("score").alias("score"))
+        if i % every == 0 or i == iterations:
+            state = cut(state)
+            if tolerance is not None and i < iterations:
                 gap = state.join(previous.withColumnRenamed("score", "was"), [by, "node"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
                 if (gap or 0.0) < tolerance:
                     break
             previous = state
+    moves.unpersist()
+    dealt.unpersist()
     return state
 
 
@@ -127,14 +134,14 @@ def provenance(seeds: DataFrame, links_: DataFrame, levels: int = 32) -> DataFra
     walk = links_.where("w <> 0").select("src", "dst", "reason", F.col("ord").alias("link_ord")).persist(StorageLevel.MEMORY_AND_DISK)
     order = Window.partitionBy("task_id").orderBy("rank", "id")
     frontier = seeds.select("task_id", F.col("id").alias("node"), F.row_number().over(order).cast("bigint").alias("ord"))
+    frontier = cut(frontier)
     seen = frontier.select("task_id", "node", F.lit("seed").alias("why"), F.lit(0).alias("level"))
-    frontier = frontier.persist()
     for level in range(1, levels + 1):
         step = frontier.join(walk, F.col("node") == F.col("src")).select("task_id", "dst", "reason", "ord", "link_ord")
         step = step.join(seen.select("task_id", F.col("node").alias("dst")), ["task_id", "dst"], "left_anti")
         found = step.groupBy("task_id", "dst").agg(F.min(F.struct("ord", "link_ord", "reason")).alias("m"))
         nth = F.row_number().over(Window.partitionBy("task_id").orderBy("m.ord", "m.link_ord")).cast("bigint")
-        new = found.select("task_id", F.col("dst").alias("node"), F.col("m.reason").alias("why"), nth.alias("ord")).persist()
+        new = cut(found.select("task_id", F.col("dst").alias("node"), F.col("m.reason").alias("why"), nth.alias("ord")))
         if new.isEmpty():
             break
         seen = seen.unionByName(new.select("task_id", "node", "why", F.lit(level).alias("level")))
