@@ -99,7 +99,9 @@ def _delimited(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url in batch.column("url").to_pylist():
             host, path = split_url(url)
-            total.update(_TOKEN.findall(host + " " + path.translate(_LOWER)))
+            # A label of one run may be several words run together; the pieces of a hyphenated one are words.
+            runs = [run for label in host.split(".") if len(pieces := _TOKEN.findall(label)) > 1 for run in pieces]
+            total.update(runs + _TOKEN.findall(path.translate(_LOWER)))
     yield _counts(total)
 
 
