@@ -11,7 +11,7 @@ many documents there are. Pieces take their places by their rank among the piece
 (length, hash bucket), so a length that a third of all pieces have is ranked by many tasks.
 
 Tokens: a text is split at ASCII blanks, which no token of this vocabulary crosses, and each worker keeps the ids of the
-units it has met. A null text is empty: its only id is the end id. Rows that repeat an id are packed each; rows with a
+units it has met, by 64-bit hashes of their bytes. A null text is empty: its only id is the end id. Rows that repeat an id are packed each; rows with a
 null doc_id take no part.
 """
 
@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +33,39 @@ from skein.llm import common
 CAPACITY, END_ID = 2048, 0
 BUCKETS = 1024
 #: Units whose ids a worker keeps before it starts anew.
-KEPT_UNITS = 700_000
+KEPT_UNITS = 4_000_000
 
 PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}
-_ids: dict[str, bytes] = {}
+
+
+class Cache:
+    """Ids of units by the units' 64-bit hashes, in arrays: a few dozen bytes a unit."""
+
+    def __init__(self):
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands or would stand, and whether it is there."""
+        i = np.searchsorted(self.hashes, hashes)
+        near = np.minimum(i, max(len(self.hashes) - 1, 0))
+        return i, self.hashes[near] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def add(self, where: np.ndarray, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """hashes: in order, none of them known."""
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
+        self.used += len(flat)
+        self.hashes, self.at, self.n = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.n, where, n)
+
+
+_caches: dict[str, Cache] = {}
 
 
 def vocabulary() -> str:
@@ -46,9 +74,8 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A run of Latin letters that lower() and NFC treat letter by letter, then ASCII marks other than the apostrophe: two
-#: token runs, whatever stands around them.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin letters that lower() and NFC treat one by one.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 def _tokenizer(path: str):
@@ -74,55 +101,68 @@ def _letters(cores: list[str], path: str) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
-def _learn(units: set[str], path: str) -> None:
-    """Puts the units' ids into _ids."""
-    new = units - _ids.keys()
-    if len(_ids) + len(new) > KEPT_UNITS:
-        _ids.clear()
-        new = units
-    plain, odd = [], set()
-    for u in new:
-        if m := _PLAIN.fullmatch(u):
-            plain.append((u, m[1].lower(), m[2]))
-        else:
-            odd.add(u)
-    marks = {m for _, _, m in plain if m and m not in _ids}
-    cores = list({c for _, c, _ in plain if c not in _ids})
-    _ids.update(zip(cores, _letters(cores, path), strict=True))
-    odd = list(odd | marks)
+def _learnt(units: list[str], path: str) -> list[bytes]:
+    """Ids of each unit."""
+    plain = [bool(_LETTERS.fullmatch(u)) for u in units]
+    letters = iter(_letters([u.lower() for u, p in zip(units, plain, strict=True) if p], path))
+    odd = [u for u, p in zip(units, plain, strict=True) if not p]
     own, _ = _tokenizer(path)
-    _ids.update(zip(odd, [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(odd, add_special_tokens=False)], strict=True))
-    for u, core, mark in plain:
-        _ids[u] = _ids[core] + _ids[mark] if mark else _ids[core]
-
-
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, without the end id."""
-    units = [_units(text) for text in texts]
-    _learn(set().union(*map(set, units)), path)
-    return [b"".join(map(_ids.__getitem__, us)) for us in units]
-
-
-_BLANK = str.maketrans({c: " " for c in "\t\n\v\f\r"})
-#: What lower() or split() on a whole text would treat otherwise than the tokenizer does; special tokens begin with <|.
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u0130\u017f-\U0010ffff]|<\|")
-
-
-def _units(text: str) -> list[str]:
-    """The text's runs without ASCII blanks."""
-    if _ODD.search(text):
-        return [u for u in text.translate(_BLANK).split(" ") if u]
-    return text.lower().split()
+    others = iter([np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(odd, add_special_tokens=False)])
+    return [next(letters if p else others) for p in plain]
+
+
+def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words cut once more between a run of Latin letters and the full stops or commas that end it.
+
+    The tokenizer cuts there too, whatever stands around; the pieces recur more often than the wholes do.
+    """
+    mark = (data == 46) | (data == 44)
+    last = np.zeros(len(data) + 1, np.int64)  # one past the last byte that is no mark, up to here
+    np.maximum.accumulate(np.where(mark, 0, np.arange(1, len(data) + 1)), out=last[1:])
+    core = np.maximum(last[ends], starts)
+    latin = ((data >= 97) & (data <= 122)) | (data == 0xC3) | ((data >= 0x80) & (data <= 0xBF))
+    latin[1:] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    other = np.concatenate([[0], np.cumsum(~latin)])
+    cut = (core > starts) & (core < ends) & (other[core] == other[starts])
+    n = 1 + cut.astype(np.int64)
+    place = np.cumsum(n) - n
+    out_starts, out_ends = np.repeat(starts, n), np.repeat(ends, n)
+    out_ends[place[cut]] = core[cut]
+    out_starts[place[cut] + 1] = core[cut]
+    return out_starts, out_ends
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned 32-bit ids of all texts end to end, without end ids, and where each text's begin (one more for the end)."""
+    raw, at = common.utf8(texts)
+    special = pc.any(pc.match_substring(texts, "<|")).as_py()  # their letters are told from capitals
+    data, starts, ends, _ = common.words(raw, at, lower=not special)
+    starts, ends = _units(data, starts, ends)
+    counts = np.diff(np.searchsorted(starts, at))
+    unique, first, inverse = np.unique(common.hash_tokens(data, starts, ends), return_index=True, return_inverse=True)
+    cache = _caches.setdefault(path, Cache())
+    if len(cache.hashes) + len(unique) > KEPT_UNITS:
+        cache = _caches[path] = Cache()
+    where, known = cache.find(unique)
+    if not known.all():
+        whole = data.tobytes()
+        new = np.flatnonzero(~known)
+        cache.add(where[new], unique[new], _learnt([whole[starts[i] : ends[i]].decode() for i in first[new]], path))
+        where, _ = cache.find(unique)
+    n, begin = cache.n[where][inverse], cache.at[where][inverse]
+    total = np.concatenate([[0], np.cumsum(n)])
+    ids = cache.pool[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+    return ids, total[np.concatenate([[0], np.cumsum(counts)])]
 
 
 def _cut(path: str, capacity: int):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts = token_ids(batch.column("text").to_pylist(), path)
+            every, at = token_ids(batch.column("text"), path)
             rows: list[tuple] = []
-            for row, (doc_id, ids) in enumerate(zip(batch.column("doc_id").to_pylist(), texts, strict=True)):
-                ids += end
+            for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                ids = every[at[row] : at[row + 1]].tobytes() + end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - start)
