@@ -10,6 +10,9 @@ Conventions of every operator here, unless its docstring says otherwise:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,10 +73,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds what one Arrow batch of whole texts can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def release() -> None:
+    """Gives the driver's memory of a finished fit back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +140,11 @@ def hash_tokens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     n = len(data)
     letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(letters[data] * powers(BASE, n), out=total[1:])
-    back = powers(UNBASE, n)
-    out = (total[ends] - total[starts]) * back[starts]
+    x = letters[data]
+    x *= powers(BASE, n)
+    np.cumsum(x, out=total[1:])
+    low, high = powers(UNBASE, 1 << 16), powers(pow(UNBASE, 1 << 16, 1 << 64), (n >> 16) + 1)
+    out = (total[ends] - total[starts]) * low[starts & 0xFFFF] * high[starts >> 16]
     return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray,
     """Weights of the hinge-loss model over the scaled indicators (the last weight is the bias)."""
     w, alpha = np.zeros(len(scale) + 1), np.zeros(len(rows))
     rng = np.random.default_rng(seed)
-    values = [scale[r] for r in rows]
+    values = [scale[r].astype(np.float32) for r in rows]
     norm = np.array([v @ v + 1.0 for v in values])
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
@@ -162,8 +163,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPL
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     common.small_batches(spark)
     got = labelled(docs, labels, label, sample).mapInArrow(_gathered, "doc_id long, label int, spare boolean, features array<int>")
-    got = sorted(got.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["features"]))  # bounded by `sample`
-    return fit_rows([np.array(r["features"], np.int64) for r in got], np.array([r["label"] for r in got], np.int64), np.array([r["spare"] for r in got], bool))
+    got = got.toArrow().combine_chunks()  # bounded by `sample`
+    got = got.take(pc.sort_indices(got, [("doc_id", "ascending")]))
+    lists = got.column("features").combine_chunks()
+    values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    fitted = fit_rows(rows, got.column("label").to_numpy(), got.column("spare").to_numpy())
+    del got, lists, values, rows
+    common.release()
+    return fitted
 
 
 def _scored(weights: np.ndarray, bias: float):

@@ -290,7 +290,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     y = rows.column("label").to_numpy().astype(float)
     x, y = np.vstack([x, np.eye(width)[: len(PATTERNS)]]), np.concatenate([y, np.ones(len(PATTERNS))])  # a pattern nobody labelled leans to toxic
     scratch.drop(known, terms)
-    return Model(lexicon, newton(x, y))
+    model = Model(lexicon, newton(x, y))
+    del rows, x, y, toxic, candidates, clean, pure
+    common.release()
+    return model
 
 
 def _scored(model: Model):
