@@ -50,7 +50,7 @@ def dense_document(signature: Column, doc: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    return F.regexp_replace(F.array_join(F.transform(F.split(text, "\r\n|\n|\r"), F.trim), " "), " +", " ")
+    return F.regexp_replace(F.array_join(F.transform(F.split(text, "\r\n|\n|\r"), lambda x: F.trim(x)), " "), " +", " ")
 
 
 def basename(path: Column) -> Column:
@@ -75,9 +75,9 @@ def unresolved_callee(message: Column) -> Column:
 def diff_in(reply: Column) -> Column:
     """The unified diff that a reply holds, fenced, after prose or bare; without one the empty string."""
     fenced = F.regexp_extract(reply, r"(?s)```(?:diff|patch)?\n(.*?)```", 1)
-    body = F.when(F.instr(fenced, "--- ") > 0, fenced).otherwise(reply)
-    at = F.when(F.instr(body, "diff --git ") > 0, F.instr(body, "diff --git ")).otherwise(F.instr(body, "--- "))
-    return F.when(at > 0, F.rtrim(F.substr(body, at))).otherwise("")
+    body = F.when(F.regexp_like(reply, F.lit(r"(?s)```(?:diff|patch)?\n.*?```")), fenced).otherwise(reply)
+    at = F.instr(body, "diff --git ")
+    return F.when(at > 0, F.concat(F.regexp_replace(F.substr(body, at), r"\s+\z", ""), F.lit("\n"))).otherwise("")
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -124,7 +124,7 @@ def signature(declaration: Column) -> Column:
 
 def doc_line(doc: Column) -> Column:
     """The first line that isn't blank, trimmed."""
-    return F.try_element_at(F.filter(F.transform(F.split(doc, "\n"), F.trim), lambda x: x != ""), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.split(doc, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
 
 
 def callee_text(callee: Column) -> Column:
@@ -133,5 +133,5 @@ def callee_text(callee: Column) -> Column:
 
 def relative_path(path: Column, root: Column) -> Column:
     """Relative to the root with forward slashes; absolute where it lies outside."""
-    slashed, base = F.replace(path, F.lit("\\"), F.lit("/")), F.rtrim(F.lit("/"), root)
+    slashed, base = F.replace(path, F.lit("\\"), F.lit("/")), F.rtrim(root, F.lit("/"))
     return F.when(F.startswith(slashed, F.concat(base, F.lit("/"))), F.substr(slashed, F.length(base) + 2)).otherwise(slashed)

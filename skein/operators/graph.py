@@ -90,7 +90,7 @@ def restart(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
     return known.select("task_id", F.col("id").alias("node"), (F.col("score") / F.sum("score").over(Window.partitionBy("task_id"))).alias("mass"))
 
 
-def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, by: str = "task_id", every: int = 8) -> DataFrame:
+def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, by: str = "task_id", every: int = 4) -> DataFrame:
     """(task, node, score) of personalised PageRank, all tasks in one loop.
 
     start: (task, node, mass), summing to 1 a task. moves: (src, dst, w). Mass at nodes without outgoing weight returns to

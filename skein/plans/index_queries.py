@@ -134,7 +134,7 @@ def map_rank(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tagged = lambda c: F.concat(F.col("task_id").cast("string"), F.lit("|"), F.col(c))
     start = N.map_restart(V.sym(spark, d), asked(spark, d)).select("task_id", tagged("node").alias("node"), "mass").where("mass > 0")
     moves = edges.select(tagged("from_file").alias("src"), tagged("to_file").alias("dst"), "w")
-    scores = pagerank(start, moves, iterations=30, tolerance=None, every=10)
+    scores = pagerank(start, moves, iterations=30, tolerance=None)
     return edges, scores.select("task_id", F.substring_index("node", "|", -1).alias("node"), "score")
 
 

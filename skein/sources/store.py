@@ -43,7 +43,8 @@ def write_index(index: dict[str, DataFrame], root: str, commit: str) -> None:
 
 def read_index(spark: SparkSession, root: str, commit: str) -> dict[str, DataFrame]:
     """The tables of one commit: its partition alone is read."""
-    return {n: spark.read.parquet(f"{root}/v{VERSION}/{n}").where(F.col("commit") == commit).drop("commit") for n in ("symbols", "edges", "errors", "coverage")}
+    kinds = {"symbols": schema.SYMBOLS, "edges": schema.EDGES, "errors": schema.ERRORS, "coverage": schema.COVERAGE}
+    return {n: spark.read.schema(f"{s}, commit string").parquet(f"{root}/v{VERSION}/{n}").where(F.col("commit") == commit).drop("commit") for n, s in kinds.items()}
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.{kt,kts}") -> DataFrame:
