@@ -187,3 +187,11 @@ def sieve(df: DataFrame, ids: DataFrame, *keys: str, keep: bool = True) -> DataF
     """
     marks = ids.select(place(*keys).alias("_place")).distinct()
     return df.withColumn("_place", place(*keys)).join(F.broadcast(marks), "_place", "left_semi" if keep else "left_anti").drop("_place")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs, columns as they are, less those with an id in dropped (doc_id). Only rows near a dropped one are shuffled."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    far = sieve(docs, dropped, "doc_id", keep=False)
+    near = sieve(docs, dropped, "doc_id").join(dropped.select("doc_id"), "doc_id", "left_anti")
+    return far.select(docs.columns).unionByName(near.select(docs.columns))

@@ -135,8 +135,8 @@ def copies(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY) -> Da
 
     wanted = reps.select("copy_of", "copy_sha", "key").join(chained.select("key"), "key")
     slot = F.shiftrightunsigned("key", 64 - directory.depth).cast("int") if directory.depth else F.lit(0)
-    wanted = wanted.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot")
-    texts = source.withColumnRenamed("doc_id", "copy_of").join(wanted, "copy_of").mapInArrow(_normalised, "copy_of long, copy_sha string, key long, bucket int, body binary")
+    wanted = scratch.keep(wanted.withColumn("slot", slot).join(F.broadcast(slots), "slot").drop("slot"))
+    texts = common.sieve(source.withColumnRenamed("doc_id", "copy_of"), wanted, "copy_of").join(wanted, "copy_of").mapInArrow(_normalised, "copy_of long, copy_sha string, key long, bucket int, body binary")
     texts = texts.where(F.sha2("body", 256) == F.col("copy_sha"))  # an id may stand on several rows: the one meant
     owners = texts.dropDuplicates(["copy_of", "copy_sha"]).repartitionByRange("bucket", "key").sortWithinPartitions("key", "copy_of", "copy_sha")
     heads = owners.mapInArrow(_chains, "copy_of long, copy_sha string, head string")
@@ -150,5 +150,5 @@ def copies(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY) -> Da
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = copies(spark, docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    told = copies(spark, docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return common.without(docs, common.Scratch(spark, "exactdedup").keep(told.where("not kept").select("doc_id")))
