@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; one of our own only where the session names none, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = tempfile.mkdtemp(prefix="skein-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder that all executors share (one of our own only where none is named)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-"))
-    return df.checkpoint()
+    """df as a table in the shared folder: computed once, while checkpoint() computes what isn't persisted twice."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
