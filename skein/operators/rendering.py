@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 
+# The layout of a pack (here, in header_text, block_text, heading_text and markdown's section titles).
 DIAGNOSTICS = "\n## Diagnostics\n"
 _TOKEN = re.compile(T.TOKEN)
 

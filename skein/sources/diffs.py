@@ -9,6 +9,10 @@ from skein.functions import text as T
 
 MIN_MESSAGE, MAX_FILES, SCANNED = 30, 5, 400
 
+# Where a task's repository and base commit are written.
+REPOSITORY = r'repository_name\s*=\s*"([^"]+)"'
+CHECKOUT = r"git checkout ([0-9a-f]{7,40})"
+
 
 def changed_lines(diffs: DataFrame, key: str) -> DataFrame:
     """(key, file, line) of the old side of each diff's hunks.
@@ -43,7 +47,7 @@ def suite_tasks(files: DataFrame, repository: str, suffix: str = ".kt") -> DataF
     part = lambda name: F.max(F.when(F.col("rest") == name, F.col("text")))
     rows = files.select(F.substring_index("path", "/", 1).alias("task_id"), F.regexp_replace("path", "^[^/]*/", "").alias("rest"), "text")
     t = rows.groupBy("task_id").agg(part("task.toml").alias("toml"), part("instruction.md").alias("text"), part("environment/prepare.sh").alias("sh"), part("solution/fix.patch").alias("diff"))
-    t = t.withColumn("repository", F.regexp_extract("toml", r'repository_name\s*=\s*"([^"]+)"', 1)).withColumn("base_commit", F.regexp_extract("sh", r"git checkout ([0-9a-f]{7,40})", 1))
+    t = t.withColumn("repository", F.regexp_extract("toml", REPOSITORY, 1)).withColumn("base_commit", F.regexp_extract("sh", CHECKOUT, 1))
     t = t.where((F.col("repository") == repository) & F.col("text").isNotNull() & (F.col("base_commit") != "") & F.col("diff").isNotNull())
     lines = changed_lines(t.select("task_id", "diff"), "task_id").where(F.endswith("file", F.lit(suffix)) & ~T.is_test_path(F.col("file")))
     by_file = lines.groupBy("task_id", "file").agg(F.array_sort(F.collect_set("line")).alias("lines"))
