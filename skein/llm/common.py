@@ -188,8 +188,8 @@ def sieve(df: DataFrame, ids: DataFrame, *keys: str, keep: bool = True) -> DataF
     A filter of at most FILTER_PLACES rows, whatever the size of ids: every row that has a match is kept, few others are
     as long as ids is small, and the join that follows then moves no more than those.
     """
-    marks = ids.select(place(*keys).alias("_place")).distinct()
-    return df.withColumn("_place", place(*keys)).join(F.broadcast(marks), "_place", "left_semi" if keep else "left_anti").drop("_place")
+    marks = ids.select(place(*keys).alias("_skein_place")).distinct()
+    return df.withColumn("_skein_place", place(*keys)).join(F.broadcast(marks), "_skein_place", "left_semi" if keep else "left_anti").drop("_skein_place")
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

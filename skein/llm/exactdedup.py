@@ -150,5 +150,9 @@ def copies(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY) -> Da
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = copies(spark, docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return common.without(docs, common.Scratch(spark, "exactdedup").keep(told.where("not kept").select("doc_id")))
+    """docs with one row of each group; of rows that repeat an id and a text, one."""
+    told = copies(spark, docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    told = common.Scratch(spark, "exactdedup").keep(told.where("not kept or n > 1"))
+    again = told.where("kept").select("doc_id")
+    once = common.sieve(docs, again, "doc_id").join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return common.without(docs, told).unionByName(once.select(docs.columns))

@@ -93,7 +93,7 @@ def mix(spark: SparkSession, docs: DataFrame, buckets: int = BUCKETS) -> DataFra
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as they are drawn (a cut one counts from half its words on), in order of training position."""
-    drawn = mix(spark, docs).select(F.col("doc_id").alias("_id"), "size", F.explode("positions").alias("at")).where(F.col("at")["words"] * 2 >= F.col("size"))
-    drawn = drawn.select("_id", F.col("at")["position"].alias("_position")).dropDuplicates()
-    rows = docs.join(drawn, F.col("doc_id") == F.col("_id"))
-    return rows.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select([docs[c] for c in docs.columns])
+    drawn = mix(spark, docs).select(F.col("doc_id").alias("_skein_id"), "size", F.explode("positions").alias("at")).where(F.col("at")["words"] * 2 >= F.col("size"))
+    drawn = drawn.select("_skein_id", F.col("at")["position"].alias("_skein_position")).dropDuplicates()
+    rows = docs.join(drawn, F.col("doc_id") == F.col("_skein_id"))
+    return rows.repartitionByRange("_skein_position", "_skein_id").sortWithinPartitions("_skein_position", "_skein_id").select([docs[c] for c in docs.columns])
