@@ -8,8 +8,9 @@ the position in it whose first LEAD bytes hash lowest (the leftmost of equals).
 same offset, so only suffixes at anchors, one in about (WINDOW - LEAD) / 2 bytes, have to be sorted:
 
 1. Anchors: a sliding minimum over each text gives its anchors, and for each the run of windows it stands for.
-2. Suffix sort: suffixes at anchors are range-partitioned by their leading bytes with sampled splitters, a salt behind the
-   bytes lets a suffix that a third of all rows share spread over many buckets. A bucket sorts its suffixes by multikey
+2. Suffix sort: suffixes at anchors are range-partitioned by their whole lead with sampled splitters, a salt behind it
+   lets a lead that a third of all rows share spread over many buckets. Equal leads lie side by side in this order, so a
+   class in several buckets is an end of each. A bucket sorts its suffixes by multikey
    quicksort (three-way partitions on eight bytes at a time) and finds the classes of equal leads; the classes at the ends
    of buckets are compared across the boundaries. A suffix with a lead of its own has no repeated window and goes.
 3. Runs: the hull of a run is all the bytes its windows cover. Runs of equal hulls are copies: all their windows repeat.
@@ -269,7 +270,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: common.Scratch
     """(doc_id, uid, a, b): bytes a to b of that text are covered by repeated windows. docs: doc_id, uid, text."""
     suffixes = scratch.keep(docs.mapInArrow(_suffixes(window, lead), SUFFIX))
     salt = F.xxhash64("doc_id", "uid", "anchor")
-    classed = scratch.keep(suffixes.repartitionByRange(F.substring("lead", 1, 16), salt).mapInArrow(_bucket(lead), CLASSED))
+    classed = scratch.keep(suffixes.repartitionByRange("lead", salt).mapInArrow(_bucket(lead), CLASSED))
     scratch.drop(suffixes)
 
     # Across boundaries: a lead that ends one bucket and begins others. Two rows a bucket at most come here.
