@@ -23,10 +23,6 @@ from skein.plans.views import terms_sql, with_views
 BUDGET, FILES = 4000, 10
 
 
-def some_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return V.tsk(spark, d).where(F.col("task_id") < GQ.TASKS)
-
-
 def pack_ranked(spark: SparkSession, d: str, ranked: DataFrame, budget: int = BUDGET, **options) -> DataFrame:
     """ranked (task_id, id, score, rank, why) with all that the packer asks for, packed."""
     contains = V.edg(spark, d).where("kind = 'CONTAINS'")
@@ -41,7 +37,7 @@ def engine(spark: SparkSession, d: str, changed: dict | None = None, edges: Data
     """Seeds, PageRank over the typed graph, provenance, pack."""
     s = V.sym(spark, d)
     links = G.links(s, V.edg(spark, d) if edges is None else edges, G.weight_table(spark, **(changed or {})))
-    seeds = RQ.seeds(spark, d, penalty, n_seeds, dense).where(F.col("task_id") < GQ.TASKS)
+    seeds = RQ.seeds(spark, d, penalty, n_seeds, dense)
     scores = GQ.best(G.pagerank(G.restart(seeds, s), links), P.CANDIDATES)
     why = G.provenance(seeds, links).select("task_id", "node", "why")
     ranked = scores.join(why, ["task_id", "node"], "left").select("task_id", F.col("node").alias("id"), "score", "rank", F.coalesce("why", F.lit("related")).alias("why"))
@@ -56,9 +52,9 @@ def named_edges(spark: SparkSession, d: str) -> DataFrame:
     return V.edg(spark, d).where("kind <> 'CALLS'").unionByName(N.name_calls(calls, s))
 
 
-def searched(spark: SparkSession, d: str, limit: int) -> DataFrame:
+def searched(spark: SparkSession, d: str, limit: int, tasks: int | None = None) -> DataFrame:
     """(task_id, id, rank, score, why): plain BM25, worth 1/rank."""
-    ranks = RQ.search_channel(spark, d, 1.0, limit).where(F.col("task_id") < GQ.TASKS)
+    ranks = GQ.first_tasks(RQ.search_channel(spark, d, 1.0, limit), tasks)
     return ranks.select("task_id", "id", "rank", (1.0 / F.col("rank")).alias("score"), F.lit("bm25").alias("why"))
 
 
@@ -126,7 +122,7 @@ def arm_file_dump(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def arm_repo_map(spark: SparkSession, d: str) -> DataFrame:
-    edges, rank = IQ.map_rank(spark, d)
+    edges, rank = IQ.map_rank(spark, d, None)
     found = N.map_definitions(edges, rank).withColumn("score", F.round("score", 9))
     s = V.sym(spark, d).select("id", "file", F.col("name").alias("ident"))
     pair = F.concat(F.lit("("), "file", F.lit(", "), "ident", F.lit(")"))
@@ -141,14 +137,19 @@ _HITS = f"""SELECT task_id, file, rank FROM (SELECT task_id, file, row_number()
 
 @query(with_views(_HITS, "bm", "sym"))
 def files_first_hit(spark: SparkSession, d: str) -> DataFrame:
+    return files_by_hit(searched(spark, d, 200, GQ.TASKS), V.sym(spark, d))
+
+
+@query()
+def files_first_hit_all(spark: SparkSession, d: str) -> DataFrame:
     return files_by_hit(searched(spark, d, 200), V.sym(spark, d))
 
 
-def chunk_scores(spark: SparkSession, d: str) -> DataFrame:
+def chunk_scores(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
     """(task_id, key, score) of BM25 over windows, path and text; only windows that score."""
     w = N.windows(IQ.files(spark, d)).withColumn("key", F.concat("file", F.lit("#"), F.lpad(F.col("chunk").cast("string"), 6, "0")))
     terms = T.terms(F.concat_ws("\n", "file", "text"))
-    q = some_tasks(spark, d).select("task_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    q = GQ.first_tasks(V.tsk(spark, d), tasks).select("task_id", F.explode(T.terms(F.col("text"))).alias("term"))
     return R.bm25(R.bag(w, "key", terms), R.lengths(w, "key", terms), q, key="key")
 
 
@@ -175,13 +176,18 @@ _WINDOWS = f"""w AS MATERIALIZED (SELECT file || '#' || lpad(CAST(c AS VARCHAR),
 
 @query(with_views(f"WITH {_WINDOWS} SELECT task_id, key, score, CAST(tokens AS INT) AS tokens, credited FROM (SELECT task_id, unnest(f.took) AS key FROM p) JOIN ws USING (task_id, key) JOIN wk USING (key)", "q"))
 def chunk_bm25_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack_chunks(spark, d, chunk_scores(spark, d, GQ.TASKS))
+
+
+@query()
+def chunk_bm25_pack_all(spark: SparkSession, d: str) -> DataFrame:
     return pack_chunks(spark, d, chunk_scores(spark, d))
 
 
 @query()
 def chunk_embed_pack(spark: SparkSession, d: str) -> DataFrame:
     """Windows by their document's vector; every window has a score."""
-    near = RQ.dense_channel(spark, d, 2**31 - 1).where(F.col("task_id") < GQ.TASKS).select("task_id", F.col("id").alias("file"), "score")
+    near = RQ.dense_channel(spark, d, 2**31 - 1).select("task_id", F.col("id").alias("file"), "score")
     w = N.windows(IQ.files(spark, d)).select("file", F.concat("file", F.lit("#"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("key"))
     return pack_chunks(spark, d, near.join(w, "file").select("task_id", "key", "score"))
 

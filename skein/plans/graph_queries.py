@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from skein.plans.retrieval_queries import SEED_VIEWS, seeds, seeds_sql
 from skein.plans.views import with_views
 from skein.schema import EDGE_KINDS, WEIGHTS
 
+#: Oracles answer for the first tasks alone, as their recursive SQL is slow. A query with such an oracle asks for the same
+#: tasks; the query of its name with "_all" asks for every task.
 TASKS = 10
 
 #: Arms that change link weights: kind -> weight (both directions, or forward and backward).
@@ -95,9 +99,13 @@ def node_lookup(spark: SparkSession, d: str) -> DataFrame:
 _RESTART = "start AS (SELECT task_id, id AS node, score / sum(score) OVER (PARTITION BY task_id) AS mass FROM seeds WHERE id IN (SELECT id FROM sym))"
 
 
-def some_seeds(spark: SparkSession, d: str, limit: int = 20) -> DataFrame:
-    """Seeds of the first TASKS tasks: the graph queries' task set."""
-    return seeds(spark, d, limit=limit).where(F.col("task_id") < TASKS)
+def first_tasks(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows of the first tasks, or all rows."""
+    return df if tasks is None else df.where(F.col("task_id") < tasks)
+
+
+def some_seeds(spark: SparkSession, d: str, limit: int = 20, tasks: int | None = TASKS) -> DataFrame:
+    return first_tasks(seeds(spark, d, limit=limit), tasks)
 
 
 def some_seeds_sql(limit: int = 20) -> str:
@@ -130,31 +138,44 @@ def best(scores: DataFrame, limit: int, by: list[str] | None = None) -> DataFram
     return rows.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
 
 
+def ranked(spark: SparkSession, d: str, changed: dict, limit: int, n_seeds: int = 20, tasks: int | None = None) -> DataFrame:
+    start = G.restart(some_seeds(spark, d, n_seeds, tasks), V.sym(spark, d))
+    return best(G.pagerank(start, links(spark, d, changed)), limit)
+
+
 def _ranked_sql(changed: dict, limit: int, seeds_limit: int = 20) -> str:
     return with_views(f"WITH {some_seeds_sql(seeds_limit)}, {links_sql(changed)}, {_RESTART}, {rank_sql()} " + _BEST.format(40, limit), *SEED_VIEWS, "edg", recursive=True)
 
 
 @query(_ranked_sql({}, 50))
 def ppr_default(spark: SparkSession, d: str) -> DataFrame:
-    start = G.restart(some_seeds(spark, d), V.sym(spark, d))
-    return best(G.pagerank(start, links(spark, d)), 50)
+    return ranked(spark, d, {}, 50, tasks=TASKS)
+
+
+@query()
+def ppr_default_all(spark: SparkSession, d: str) -> DataFrame:
+    return ranked(spark, d, {}, 50)
 
 
 @query(_ranked_sql(NONE, 50, 400))
 def ppr_seeds_only(spark: SparkSession, d: str) -> DataFrame:
     """Without weights all mass comes back: scores are the restart vector."""
-    start = G.restart(some_seeds(spark, d, 400), V.sym(spark, d))
-    return best(G.pagerank(start, links(spark, d, NONE)), 50)
+    return ranked(spark, d, NONE, 50, 400, TASKS)
+
+
+@query()
+def ppr_seeds_only_all(spark: SparkSession, d: str) -> DataFrame:
+    return ranked(spark, d, NONE, 50, 400)
 
 
 for _arm, _changed in ABLATIONS.items():
     if _arm != "default":
 
-        def _ablation(spark: SparkSession, d: str, changed=_changed) -> DataFrame:
-            start = G.restart(some_seeds(spark, d), V.sym(spark, d))
-            return best(G.pagerank(start, links(spark, d, changed)), 20)
+        def _ablation(spark: SparkSession, d: str, changed=_changed, tasks: int | None = TASKS) -> DataFrame:
+            return ranked(spark, d, changed, 20, tasks=tasks)
 
         query(_ranked_sql(_changed, 20), name=f"ppr_{_arm}")(_ablation)
+        query(name=f"ppr_{_arm}_all")(functools.partial(_ablation, tasks=None))
 
 
 def _bfs_sql(levels: int) -> str:
@@ -174,6 +195,11 @@ def bfs_why(spark: SparkSession, d: str) -> DataFrame:
     return G.provenance(some_seeds(spark, d), links(spark, d))
 
 
+@query()
+def bfs_why_all(spark: SparkSession, d: str) -> DataFrame:
+    return G.provenance(seeds(spark, d), links(spark, d))
+
+
 @query(with_views("""WITH c AS (SELECT from_id AS p, to_id AS c FROM edg WHERE kind = 'CONTAINS'), d AS (SELECT p AS id, c AS descendant FROM c UNION ALL SELECT d.id, c.c FROM d JOIN c ON c.p = d.descendant)
     SELECT DISTINCT id, descendant FROM d""", "edg", recursive=True))
 def descendants(spark: SparkSession, d: str) -> DataFrame:

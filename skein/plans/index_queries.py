@@ -14,6 +14,7 @@ from skein.operators import names as N
 from skein.operators import packing as P
 from skein.operators import rendering as Re
 from skein.plans import views as V
+from skein.plans.graph_queries import TASKS
 from skein.plans.registry import query
 from skein.plans.views import id_sql, with_views
 from skein.sources import diffs as D
@@ -106,14 +107,15 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select(F.col("source").alias("file"), "text")
 
 
-def asked(spark: SparkSession, d: str) -> DataFrame:
-    t = V.tsk(spark, d).where("task_id < 10")
+def asked(spark: SparkSession, d: str, tasks: int | None) -> DataFrame:
+    t = V.tsk(spark, d)
+    t = t if tasks is None else t.where(F.col("task_id") < tasks)
     return t.select("task_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(T.identifiers(F.col("text"))))).alias("ident"))
 
 
-def map_edges(spark: SparkSession, d: str) -> DataFrame:
+def map_edges(spark: SparkSession, d: str, tasks: int | None) -> DataFrame:
     s = V.sym(spark, d)
-    return N.map_edges(N.reference_counts(source_files(spark, d), s), s, asked(spark, d))
+    return N.map_edges(N.reference_counts(source_files(spark, d), s), s, asked(spark, d, tasks))
 
 
 @query(with_views(f"WITH {_REFS} SELECT * FROM refs", "sym"))
@@ -123,16 +125,21 @@ def ref_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views(f"WITH {_MAP} SELECT task_id, from_file, to_file, ident, round(w, 6) AS w FROM e", "sym", "tsk"))
 def repo_map_edges(spark: SparkSession, d: str) -> DataFrame:
-    return map_edges(spark, d).withColumn("w", F.round("w", 6))
+    return map_edges(spark, d, TASKS).withColumn("w", F.round("w", 6))
 
 
-def map_rank(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+@query()
+def repo_map_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    return map_edges(spark, d, None).withColumn("w", F.round("w", 6))
+
+
+def map_rank(spark: SparkSession, d: str, tasks: int | None) -> tuple[DataFrame, DataFrame]:
     """Edges, and (task_id, node, score) after exactly 30 rounds. Graphs differ by task, so nodes carry it."""
     from skein.operators.graph import pagerank
 
-    edges = map_edges(spark, d)
+    edges = map_edges(spark, d, tasks)
     tagged = lambda c: F.concat(F.col("task_id").cast("string"), F.lit("|"), F.col(c))
-    start = N.map_restart(V.sym(spark, d), asked(spark, d)).select("task_id", tagged("node").alias("node"), "mass").where("mass > 0")
+    start = N.map_restart(V.sym(spark, d), asked(spark, d, tasks)).select("task_id", tagged("node").alias("node"), "mass").where("mass > 0")
     moves = edges.select(tagged("from_file").alias("src"), tagged("to_file").alias("dst"), "w")
     scores = pagerank(start, moves, iterations=30, tolerance=None)
     return edges, scores.select("task_id", F.substring_index("node", "|", -1).alias("node"), "score")
@@ -147,19 +154,29 @@ _MAPRANK = """m AS MATERIALIZED (SELECT task_id, from_file, to_file, sum(w) / su
 
 @query(with_views(f"WITH {_MAP}, {_MAPSTART}, {_MAPRANK} SELECT task_id, node, round(score, 6) AS score FROM r WHERE it = 30 AND round(score, 6) > 0", "sym", "tsk", recursive=True))
 def repo_map_rank(spark: SparkSession, d: str) -> DataFrame:
-    return map_rank(spark, d)[1].withColumn("score", F.round("score", 6)).where("score > 0")
+    return map_rank(spark, d, TASKS)[1].withColumn("score", F.round("score", 6)).where("score > 0")
+
+
+@query()
+def repo_map_rank_all(spark: SparkSession, d: str) -> DataFrame:
+    return map_rank(spark, d, None)[1].withColumn("score", F.round("score", 6)).where("score > 0")
 
 
 @query(with_views(f"""WITH {_MAP}, {_MAPSTART}, {_MAPRANK}, f AS (SELECT task_id, to_file AS file, ident, sum(score * w / ow) AS score FROM (SELECT *, sum(w) OVER (PARTITION BY task_id, from_file) AS ow FROM e)
     JOIN (SELECT task_id, node AS from_file, score FROM r WHERE it = 30) USING (task_id, from_file) GROUP BY ALL)
     SELECT * FROM (SELECT task_id, file, ident, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, '(' || file || ', ' || ident || ')') AS rank FROM f) WHERE rank <= 50""", "sym", "tsk", recursive=True))
-def repo_map_defs(spark: SparkSession, d: str) -> DataFrame:
-    edges, rank = map_rank(spark, d)
+def repo_map_defs(spark: SparkSession, d: str, tasks: int | None = TASKS) -> DataFrame:
+    edges, rank = map_rank(spark, d, tasks)
     out = N.map_definitions(edges, rank).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), F.concat(F.lit("("), "file", F.lit(", "), "ident", F.lit(")")))
     return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 50")
 
 
+@query()
+def repo_map_defs_all(spark: SparkSession, d: str) -> DataFrame:
+    return repo_map_defs(spark, d, None)
+
+
 # Diffs and gold.
 
 _DIFF = r"""rows AS (SELECT key, generate_subscripts(l, 1) AS nth, unnest(l) AS row FROM (SELECT key, string_split(diff, chr(10)) AS l FROM dif)),
