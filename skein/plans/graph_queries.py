@@ -71,6 +71,12 @@ def incoming(spark: SparkSession, d: str) -> DataFrame:
     return G.incoming(V.edg(spark, d), V.sym(spark, d).where("pos % 10 = 0").select("id"), "CALLS")
 
 
+@query()
+def incoming_all(spark: SparkSession, d: str) -> DataFrame:
+    """Callers of every declaration."""
+    return G.incoming(V.edg(spark, d), V.sym(spark, d).select("id"), "CALLS")
+
+
 @query(with_views("SELECT from_id, to_id FROM edg WHERE kind = 'CONTAINS' AND from_id IN (SELECT id FROM sym)", "edg", "sym"))
 def outgoing(spark: SparkSession, d: str) -> DataFrame:
     return G.outgoing(V.edg(spark, d), V.sym(spark, d).select("id"), "CONTAINS")

@@ -190,16 +190,36 @@ def diff_lines(spark: SparkSession, d: str) -> DataFrame:
     return D.changed_lines(V.dif(spark, d), "key")
 
 
+@query()
+def diff_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    return D.changed_lines(V.dif_all(spark, d), "key")
+
+
 @query(with_views(f"WITH {_DIFF} SELECT DISTINCT key, file FROM changed WHERE NOT contains(file, '/test') AND NOT contains(file, '/androidTest')", "dif"))
 def test_path_filter(spark: SparkSession, d: str) -> DataFrame:
     return D.changed_lines(V.dif(spark, d), "key").where(~T.is_test_path(F.col("file"))).select("key", "file").distinct()
 
 
+@query()
+def test_path_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    return D.changed_lines(V.dif_all(spark, d), "key").where(~T.is_test_path(F.col("file"))).select("key", "file").distinct()
+
+
 @query(with_views(f"""WITH {_DIFF}, t AS (SELECT key, count(DISTINCT file) AS n, count(*) AS lines FROM changed WHERE NOT contains(file, '/test') GROUP BY key HAVING count(DISTINCT file) <= 33)
     SELECT CAST(key AS VARCHAR) AS task_id, n AS files, lines FROM t ORDER BY key LIMIT 40""", "dif"))
 def mined_tasks(spark: SparkSession, d: str) -> DataFrame:
     commits = V.dif(spark, d).select(F.col("key").cast("string").alias("sha"), F.col("key").alias("seq"), F.rpad(F.col("key").cast("string"), 31, "x").alias("message"), "diff")
-    t = D.mined_tasks(commits, 40, 33)
+    return _sizes(D.mined_tasks(commits, 40, 33))
+
+
+@query()
+def mined_tasks_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all commits; that the first 400 are scanned for 40 tasks is the miner's own rule."""
+    commits = V.dif_all(spark, d).select(F.md5("key").alias("sha"), "seq", F.rpad("key", 31, "x").alias("message"), "diff")
+    return _sizes(D.mined_tasks(commits, 40, 33))
+
+
+def _sizes(t: DataFrame) -> DataFrame:
     lines = F.aggregate(F.map_values("changed_lines"), F.lit(0).cast("long"), lambda s, x: s + F.size(x))
     return t.select("task_id", F.size("changed_lines").cast("long").alias("files"), lines.alias("lines"))
 

@@ -122,13 +122,23 @@ def led(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, diff): a unified diff for each supplier, of its line items."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    """(key, diff): a unified diff for each supplier, of its line items in the first orders, as the SQL has it."""
+    return _diffs(table(spark, sf_dir, "lineitem").where("l_orderkey < 2000"), F.col("l_suppkey").alias("key"))
+
+
+def dif_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, seq, diff): a unified diff for each supplier and order, of all line items."""
+    by = F.struct(F.col("l_orderkey"), F.col("l_suppkey")).alias("seq")
+    diffs = _diffs(table(spark, sf_dir, "lineitem"), by)
+    return diffs.select(F.concat_ws("/", "seq.l_suppkey", "seq.l_orderkey").alias("key"), "seq", "diff")
+
+
+def _diffs(li: DataFrame, *by: F.Column) -> DataFrame:
     head = F.when(F.col("l_linenumber") == 3, F.lit("--- /dev/null")).otherwise(F.format_string("--- a/src%d/%s%d.kt", F.col("l_partkey") % 5, F.when(F.col("l_linenumber") == 2, "test/T").otherwise("F"), F.col("l_partkey") % 7))
     hunk = F.when(F.col("l_linenumber") == 1, F.format_string("@@ -%d +%d @@ x", F.col("l_partkey"), F.col("l_partkey"))).otherwise(F.format_string("@@ -%d,%d +%d,2 @@", F.col("l_partkey"), (F.col("l_quantity") % 4).cast("int"), F.col("l_partkey")))
     row = F.concat(head, F.lit("\n"), hunk)
     listed = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("r"))))
-    return li.groupBy(F.col("l_suppkey").alias("key")).agg(F.array_join(F.transform(listed, lambda x: x["r"]), "\n").alias("diff"))
+    return li.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["r"]), "\n").alias("diff"))
 
 
 def err(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries that ask for every task, and other inputs on which a part of the job used to be left out."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.plans.registry import ORACLES, QUERIES
 from tests.test_oracles import SF, canonical, duck  # noqa: F401  a fixture
@@ -19,6 +20,32 @@ def test_every_task_is_asked_for(spark, duck, name):  # noqa: F811
     assert {r["task_id"] for r in df.select("task_id").distinct().collect()} - set(range(10))
 
 
+def test_callers_of_every_declaration(spark, duck):  # noqa: F811
+    whole = ORACLES["incoming"].replace("WHERE pos % 10 = 0", "")
+    assert whole != ORACLES["incoming"]
+    df = QUERIES["incoming_all"](spark, SF).select("to_id", "from_id")
+    assert sorted(map(tuple, df.collect())) == sorted(duck.sql(f"SELECT to_id, from_id FROM ({whole})").fetchall())
+
+
+def test_diffs_of_all_line_items(spark, tmp_path):
+    """A supplier's item in an order is one hunk: lines of the old side, but for files made anew."""
+    want = set()
+    header: dict[tuple, str] = {}
+    late = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_orderkey", F.col("l_orderkey") + 1000)
+    late.write.parquet(f"{tmp_path}/lineitem.parquet")
+    items = late.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").collect()
+    for s, o, n, p, q in sorted(items, key=lambda r: (r[1], r[2])):
+        header[s, o] = "" if n == 3 else f"src{p % 5}/{'test/T' if n == 2 else 'F'}{p % 7}.kt"
+        if header[s, o]:
+            count = 1 if n == 1 else int(q % 4)
+            want |= {(f"{s}/{o}", header[s, o], line) for line in (range(p, p + count) if count else (p, p + 1))}
+    got = QUERIES["diff_lines_all"](spark, str(tmp_path)).select("key", "file", "line").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(int(k.split("/")[1]) >= 2000 for k, _, _ in want)
+    files = QUERIES["test_path_filter_all"](spark, str(tmp_path)).select("key", "file").collect()
+    assert sorted(map(tuple, files)) == sorted({(k, f) for k, f, _ in want if "/test" not in f})
+    assert QUERIES["mined_tasks_all"](spark, str(tmp_path)).count() == 40
+
+
 @pytest.mark.parametrize("name", ["arm_bm25_stubs", "chunk_embed_pack"])
 def test_packs_have_every_task(spark, name):
     tasks = QUERIES[name](spark, SF).select("task_id").distinct().count()
