@@ -1,8 +1,11 @@
 """Inputs on which a part of the job used to be left out."""
 
 import random
+import textwrap
 
-from skein.llm import suffixdedup
+import pytest
+
+from skein.llm import licence, suffixdedup
 from tests.llm.fixtures import documents
 from tests.llm.test_dedup import brute_repeats
 
@@ -24,3 +27,21 @@ def test_suffix_dedup_finds_pairs_of_leads_among_many_under_one_prefix(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == sorted((i, *r) for (i, _), r in zip(rows, brute_repeats([t.encode() for _, t in rows], 120), strict=True))
+
+
+NOTICES = {
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+}
+
+
+@pytest.mark.parametrize("width", [28, 40, 72, 79])
+def test_wrapped_notices_are_found_once(spark, width):
+    rows = []
+    for i, text in enumerate(NOTICES.values()):
+        body = [f" * {x}" for x in ["Copyright (c) 2020 the writers", *textwrap.wrap(text, width)]]
+        rows.append((i, "\n".join(["/*", *body, " *", " * Nothing else is said here.", " */"])))
+    rows.append((9, "The permission slip is free.\nTo any person who modifies\nthe public terms of a program\nhe is free to charge."))
+    got = [(r["doc_id"], r["family"]) for r in licence.scan(spark, documents(spark, rows)).collect() if r["family"] != "unknown"]
+    assert sorted(got) == list(enumerate(NOTICES))
