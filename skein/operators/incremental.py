@@ -92,8 +92,11 @@ def canonical_edges(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 
 def without_excluded(roots: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Roots (path) that are not equal to or under an excluded path. Excluded paths are a short list by nature."""
-    return roots.join(F.broadcast(excluded.select(F.col("path").alias("_x")).limit(10_000)), T.path_within(F.col("path"), F.col("_x")), "left_anti")
+    """Roots (path) that are not equal to or under an excluded path: each path that a root lies within is a key."""
+    pieces = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, 1, n), "/"))
+    within = roots.where("path is not null").select("path").distinct().select("path", F.explode(above).alias("_x"))
+    return roots.join(within.join(excluded.select(F.col("path").alias("_x")), "_x", "left_semi").select("path"), "path", "left_anti").select(*roots.columns)
 
 
 def distinct_roots(main: DataFrame, test: DataFrame) -> DataFrame:

@@ -92,10 +92,22 @@ def bm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task_id, id): documents that hold a benchmark passage. The passages are few, so they are what is broadcast."""
+    """(task_id, id): documents that hold a benchmark passage.
+
+    What lies between two blanks of a passage lies between two blanks of a document that holds it, so three such pieces in
+    a row are an equi-key. Passages of fewer than five pieces have no such key and are compared with every document.
+    """
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("passage"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(b.limit(10_000)), F.contains("text", F.col("passage"))).select("task_id", doc_id(F.col("doc_id")).alias("id")).distinct()
+    pieces, key = F.split("text", " "), lambda p, i: F.xxhash64(F.slice(p, i, 3))
+    b = b.withColumn("p", F.split("passage", " ")).withColumn("n", F.size("p"))
+    keyed = b.where("n >= 5").select("task_id", key(F.col("p"), F.lit(2)).alias("key"))
+    grams = d.select("doc_id", pieces.alias("p")).where(F.size("p") >= 5)
+    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("p") - 3), lambda i: key(F.col("p"), i)))).alias("key"))
+    pairs = grams.join(keyed, "key").select("doc_id", "task_id").distinct()
+    held = pairs.join(b.where("n >= 5").select("task_id", "passage"), "task_id").join(d, "doc_id").where(F.contains("text", F.col("passage")))
+    short = d.join(b.where("n < 5").select("task_id", "passage"), F.contains("text", F.col("passage")))
+    return held.select("task_id", doc_id(F.col("doc_id")).alias("id")).unionByName(short.select("task_id", doc_id(F.col("doc_id")).alias("id"))).distinct()
 
 
 def chg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein.operators import incremental as I
+from skein.plans import views as V
 from skein.plans.registry import ORACLES, QUERIES
 from tests.test_oracles import SF, canonical, duck  # noqa: F401  a fixture
 
@@ -50,3 +52,23 @@ def test_diffs_of_all_line_items(spark, tmp_path):
 def test_packs_have_every_task(spark, name):
     tasks = QUERIES[name](spark, SF).select("task_id").distinct().count()
     assert tasks == spark.read.parquet(f"{SF}/benchmark.parquet").count()
+
+
+def test_gold_of_more_passages_than_10_000(spark, tmp_path):
+    texts = [f"p{i} passage number n{i} of\tmany q{i} here" if i % 50 else f"short{i}x\n" for i in range(10_100)]
+    held = [*range(0, 10_100, 97), 10_099, 10_050]
+    docs = [(i, f"some words zz{texts[i]}yy and more") for i in held] + [(20_000, None), (20_001, "")]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, V.gold(spark, str(tmp_path)).select("task_id", "id").collect()))
+    assert got == sorted({(t, f"d{i:07d}") for i, text in docs if text for t, passage in enumerate(texts) if passage in text})
+
+
+def test_roots_under_more_exclusions_than_10_000(spark):
+    excluded = [f"/r/{i:05d}" for i in range(10_100)] + [""]
+    paths = [f"/r/{i:05d}{end}" for i in range(0, 10_100, 50) for end in ("", "/a/b", "x")] + ["other", None, "/r", "r//a"]
+    roots = spark.createDataFrame([(p,) for p in paths], "path string")
+    for some in (excluded, excluded[:-1], ["r/"]):
+        got = I.without_excluded(roots, spark.createDataFrame([(x,) for x in some], "path string")).collect()
+        want = [p for p in paths if p is None or not any(p == x or p.startswith(x + "/") for x in some)]
+        assert sorted(str(r["path"]) for r in got) == sorted(map(str, want))
