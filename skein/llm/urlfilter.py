@@ -8,7 +8,8 @@ Host names are often words run together. Unigrams, counted over the delimited to
 below, give each word a cost, unknown strings one that grows with their length, and a Viterbi pass finds the cheapest
 split of every label of the host. Multinomial naive Bayes then scores the words of host and path. Its counts come from
 all pages: a page whose tokens hold a listed word of a class counts for that class, the others by how the first model
-judges them (one round of self-training). Counts are sums by token; the largest VOCABULARY tokens go to every task.
+judges them (one round of self-training). Counts are sums by token, all of which go to the driver and to every task:
+their memory grows with the distinct words of hosts and paths. Numbers in paths are never scored and not counted.
 
 Without pages the result is empty. Rows that repeat a page_id are judged each; rows with a null page_id take no part.
 """
@@ -29,8 +30,6 @@ from skein.llm import common
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: The most tokens whose counts go to every task.
-VOCABULARY = 50_000
 #: Longest word that the segmenter tries; hosts whose split a task remembers.
 LONGEST, REMEMBERED = 24, 100_000
 
@@ -101,7 +100,7 @@ def _delimited(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host, path = split_url(url)
             # A label of one run may be several words run together; the pieces of a hyphenated one are words.
             runs = [run for label in host.split(".") if len(pieces := _TOKEN.findall(label)) > 1 for run in pieces]
-            total.update(runs + _TOKEN.findall(path.translate(_LOWER)))
+            total.update(runs + [run for run in _TOKEN.findall(path.translate(_LOWER)) if not run.isdigit()])
     yield _counts(total)
 
 
@@ -152,18 +151,19 @@ class Model:
         return self.offset + sum(self.weight.get(t, self.rest) for t in found)
 
 
-def _largest(df: DataFrame) -> dict[str, int]:
-    rows = df.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()
-    return {r["token"]: r["n"] for r in rows}
+def _summed(df: DataFrame) -> dict[str, int]:
+    """By token, in its order: sums of floats over them come out alike in each run."""
+    t = df.groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    return dict(sorted(zip(t["token"].to_pylist(), t["n"].to_pylist(), strict=True)))
 
 
 def fit(urls: DataFrame) -> tuple[Words, Model]:
-    known = Counter(_largest(urls.mapInArrow(_delimited, "token string, n long")))
+    known = Counter(_summed(urls.mapInArrow(_delimited, "token string, n long")))
     usual = max(5, sum(known.values()) // 2000)
     known.update({w: usual for w in (*BLOCKED, *PASSED)})
     words = Words(known)
-    first = Model(_largest(urls.mapInArrow(_judged(words, None), "token string, n long")))
-    return words, Model(_largest(urls.mapInArrow(_judged(words, first), "token string, n long")))
+    first = Model(_summed(urls.mapInArrow(_judged(words, None), "token string, n long")))
+    return words, Model(_summed(urls.mapInArrow(_judged(words, first), "token string, n long")))
 
 
 RESULT = "page_id long, host string, path string, rule string, verdict string, score double, words array<string>"

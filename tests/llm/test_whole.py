@@ -5,7 +5,7 @@ import textwrap
 
 import pytest
 
-from skein.llm import licence, suffixdedup
+from skein.llm import licence, suffixdedup, urlfilter
 from tests.llm.fixtures import documents
 from tests.llm.test_dedup import brute_repeats
 
@@ -45,3 +45,15 @@ def test_wrapped_notices_are_found_once(spark, width):
     rows.append((9, "The permission slip is free.\nTo any person who modifies\nthe public terms of a program\nhe is free to charge."))
     got = [(r["doc_id"], r["family"]) for r in licence.scan(spark, documents(spark, rows)).collect() if r["family"] != "unknown"]
     assert sorted(got) == list(enumerate(NOTICES))
+
+
+def test_url_words_beyond_50_000_are_counted(spark):
+    names = ["".join("bcdfghjklmnp"[i // 12**k % 12] for k in range(5)) for i in range(51_000)]
+    urls = [f"http://{w}-{w}.example.com/{w}/{i}" for i, w in enumerate(names)]
+    urls += ["http://rareword-quaint.com/x", "http://quaintrareword.com/y", "http://casino-quaint.com/z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    words, model = urlfilter.fit(pages)
+    assert set(names) <= words.cost.keys() and not any(w.isdigit() for w in words.cost)
+    assert words.split("quaintrareword") == ["quaint", "rareword"] and {"quaint", "rareword", *names} <= model.weight.keys()
+    (row,) = urlfilter.judge(spark, pages).where(f"page_id = {len(names) + 1}").collect()
+    assert row["words"] == ["quaint", "rareword"]
