@@ -57,3 +57,11 @@ def test_url_words_beyond_50_000_are_counted(spark):
     assert words.split("quaintrareword") == ["quaint", "rareword"] and {"quaint", "rareword", *names} <= model.weight.keys()
     (row,) = urlfilter.judge(spark, pages).where(f"page_id = {len(names) + 1}").collect()
     assert row["words"] == ["quaint", "rareword"]
+
+
+def test_no_run_is_made_of_half_a_notice_that_stands_on_one_line(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    lines = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
+    rows = [(10 * k + n, f"{words}\n{' '.join(words.split()[:n])}\n{line}") for k, line in enumerate(lines) for n in range(1, 10)]
+    got = {(r["doc_id"] // 10, r["family"]) for r in licence.scan(spark, documents(spark, rows)).collect() if r["family"] != "unknown"}
+    assert got == {(0, "gpl-3.0"), (1, "cc-by-nc")}
