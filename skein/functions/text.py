@@ -12,6 +12,9 @@ BACKTICKED = r"`([^`\n]+)`"
 COMPOUND = r"\b([A-Za-z][A-Za-z0-9]*(?:[A-Z][A-Za-z0-9]*|_[A-Za-z0-9]+)+)\b"
 CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@"
+# The message of a call that nothing resolves, and a fenced diff.
+UNRESOLVED = r"(?s)^unresolved call `(.*)`\z"
+FENCED_DIFF = r"(?s)```(?:diff|patch)?\n(.*?)```"
 #: Counts words and marks; stands in where no vocabulary file is given.
 TOKEN = r"([A-Za-z0-9]+|[^A-Za-z0-9 \n\t\r])"
 
@@ -67,15 +70,16 @@ def lines(text: Column) -> Column:
 
 
 def unresolved_callee(message: Column) -> Column:
-    """The name that an "unresolved call" message quotes, else null."""
-    name = F.regexp_extract(message, r"unresolved call `([A-Za-z_][A-Za-z0-9_]*)", 1)
+    """The name, without receivers and arguments, that an "unresolved call" message quotes, else null."""
+    called_ = F.substring_index(F.regexp_extract(message, UNRESOLVED, 1), "(", 1)
+    name = F.trim(F.substring_index(called_, ".", -1))
     return F.when(name != "", name)
 
 
 def diff_in(reply: Column) -> Column:
     """The unified diff that a reply holds, fenced, after prose or bare; without one the empty string."""
-    fenced = F.regexp_extract(reply, r"(?s)```(?:diff|patch)?\n(.*?)```", 1)
-    body = F.when(F.regexp_like(reply, F.lit(r"(?s)```(?:diff|patch)?\n.*?```")), fenced).otherwise(reply)
+    fenced = F.regexp_extract(reply, FENCED_DIFF, 1)
+    body = F.when(F.regexp_like(reply, F.lit(FENCED_DIFF)), fenced).otherwise(reply)
     at = F.instr(body, "diff --git ")
     return F.when(at > 0, F.concat(F.regexp_replace(F.substr(body, at), r"\s+\z", ""), F.lit("\n"))).otherwise("")
 
@@ -115,11 +119,43 @@ def symbol_id(kind: Column, fq_name: Column, receiver: Column, parameters: Colum
     )
 
 
-def signature(declaration: Column) -> Column:
-    """What stands between the doc comment and the body, without a closing '='."""
-    bare = F.regexp_replace(declaration, r"(?s)^\s*/\*\*.*?\*/\s*", "")
-    head = F.regexp_extract(bare, r"(?s)^(.*?)(?:\{|=(?!=)|\z)", 1)
-    return F.rtrim(head)
+def fq_name(kind: Column, container: Column, name: Column, symbol_id_: Column) -> Column:
+    """The container's name and the declaration's, "<init>" for a constructor; the id where there is no container."""
+    own = F.when(kind == "CONSTRUCTOR", F.lit("<init>")).otherwise(name)
+    return F.when(container.isNull(), symbol_id_).otherwise(F.concat_ws(".", F.when(container != "", container), own))
+
+
+def kind_of(declaration: Column, class_kind: Column) -> Column:
+    """The kind of a symbol: companions and anonymous objects are objects, enums, annotations and the like are classes."""
+    of_class = F.when(class_kind == "INTERFACE", "INTERFACE").when(class_kind.isin("OBJECT", "COMPANION_OBJECT", "ANONYMOUS_OBJECT"), "OBJECT").otherwise("CLASS")
+    return F.when(declaration == "CLASS", of_class).when(declaration.isin("CONSTRUCTOR", "PROPERTY"), declaration).otherwise("FUNCTION")
+
+
+def signature(declaration: Column, body_offset: Column | None = None) -> Column:
+    """What stands between the doc comment and the body, without a closing '='.
+
+    The body begins at body_offset where the parser gives one, else at the first '{' or '=' outside brackets and literals.
+    """
+    doc = F.regexp_extract(declaration, r"(?s)^(\s*/\*\*.*?\*/)", 1)
+    after_doc = F.length(doc)
+    if body_offset is None:
+        bare = F.substr(declaration, after_doc + 1)
+        pieces = every(bare, r"(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[=!<>]=+|=>|->|[\s\S])")
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("end"))
+
+        def step(s: Column, x: Column) -> Column:
+            end = s["end"] | ((s["depth"] == 0) & x.isin("{", "="))
+            depth = s["depth"] + F.when(x.isin("(", "[", "{"), 1).when(x.isin(")", "]", "}"), -1).otherwise(0)
+            return F.struct(depth.alias("depth"), F.when(end, s["at"]).otherwise(s["at"] + F.length(x)).alias("at"), end.alias("end"))
+
+        body_offset = after_doc + F.aggregate(pieces, start, step)["at"]
+    head = _stripped(F.substr(declaration, after_doc + 1, body_offset - after_doc))
+    within = _stripped(F.substr(declaration, F.lit(1), body_offset))
+    return F.when(body_offset <= after_doc, within).otherwise(_stripped(F.regexp_replace(head, r"=\z", "")))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
 def doc_line(doc: Column) -> Column:

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators.lineage import cut
+from skein.operators.lineage import cut, numbered
 from skein.schema import EDGE_KINDS, WEIGHTS
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 40, 1e-8
 #: Where mass that returns to the restart vector is gathered in a round.
 HOME = "\u0000home"
+# Fixed value: the class that all others extend.
+ROOT_CLASS = "kotlin.Any"
+#: Levels of a walk after which the parts seen so far are written as one table.
+FOLD = 8
 
 
 def positions(symbols: DataFrame) -> DataFrame:
     """symbols with pos, their canonical order (id, file, start_line), from 0."""
-    order = Window.orderBy("id", "file", "start_line")
-    return symbols.withColumn("pos", F.row_number().over(order).cast("bigint") - 1)
+    return numbered(symbols, "pos", "id", "file", "start_line")
 
 
 def last_by_id(symbols: DataFrame) -> DataFrame:
-    """Ids may repeat; the last position answers for an id."""
-    rows = positions(symbols)
-    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "pos").alias("s")).select("id", "s.*")
+    """Ids may repeat; the last in canonical order (of equals, the last by its other columns) answers for an id."""
+    rest = [c for c in symbols.columns if c not in ("id", "file", "start_line")]
+    last = symbols.groupBy("id").agg(F.max(F.struct("file", "start_line", *rest)).alias("s"))
+    return last.select("id", "s.*").select(symbols.columns)
 
 
 def resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -80,6 +87,19 @@ def links(symbols: DataFrame, edges: DataFrame, weights: DataFrame) -> DataFrame
     return to_file.unionByName(from_file).unionByName(ahead).unionByName(back)
 
 
+def supertype_edges(symbols: DataFrame) -> DataFrame:
+    """EXTENDS edges of symbols (id, supertypes): to each supertype but the root of all classes."""
+    return symbols.select(F.col("id").alias("from_id"), F.explode("supertypes").alias("to_id")).where(F.col("to_id") != ROOT_CLASS).select("from_id", "to_id", F.lit("EXTENDS").alias("kind"))
+
+
+def type_edges(symbols: DataFrame) -> DataFrame:
+    """REFERENCES_TYPE edges of symbols (id, kind, return_type, parameter_types, receiver_type): functions to all three,
+    constructors to parameters, properties to their type. Types that don't resolve are null."""
+    one = lambda c: F.array(F.col(c))
+    types = F.when(F.col("kind") == "FUNCTION", F.concat(one("return_type"), "parameter_types", one("receiver_type"))).when(F.col("kind") == "CONSTRUCTOR", F.col("parameter_types")).when(F.col("kind") == "PROPERTY", one("return_type"))
+    return symbols.select(F.col("id").alias("from_id"), F.explode(F.array_compact(types)).alias("to_id"), F.lit("REFERENCES_TYPE").alias("kind"))
+
+
 def out_weight(links_: DataFrame) -> DataFrame:
     return links_.groupBy("src").agg(F.sum("w").alias("out_weight"))
 
@@ -97,7 +117,7 @@ def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, itera
     the restart vector, as does the share 1 - damping of all other mass: both go to a gathering place first, which then
     deals them out by the vector. Each round is a join with the moves, kept partitioned by source, and two sums, and
     refers to the state once, so plans grow by a step a round; every few rounds the state is cut off from its lineage and
-    compared with the one before.
+    compared with the one before, task by task: one that moved less than the tolerance is finished and leaves the loop.
     """
     moves = moves.where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
     share = F.col("w") / F.sum("w").over(Window.partitionBy("src"))
@@ -108,6 +128,7 @@ def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, itera
     dealt = start.groupBy(by).agg(F.collect_list(F.struct("node", "mass")).alias("deal"))  # the seeds of a task
     dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     state = previous = start.select(by, "node", F.col("mass").alias("score"))
+    done: list[DataFrame] = []
     for i in range(1, iterations + 1):
         moved = state.withColumnRenamed("node", "src").join(moves, "src", "left")
         moved = moved.groupBy(by, F.coalesce("dst", F.lit(HOME)).alias("node")).agg(F.sum(F.col("score") * F.coalesce("p", F.lit(1.0))).alias("score"))
@@ -117,26 +138,31 @@ def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, itera
         if i % every == 0 or i == iterations:
             state = cut(state)
             if tolerance is not None and i < iterations:
-                gap = state.join(previous.withColumnRenamed("score", "was"), [by, "node"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-                if (gap or 0.0) < tolerance:
+                moved = F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
+                gaps = state.join(previous.withColumnRenamed("score", "was"), [by, "node"], "full").groupBy(by).agg(moved.alias("gap"))
+                still = cut(gaps.where(F.col("gap") >= tolerance).select(by))
+                done.append(state.join(still, by, "left_anti"))
+                state = state.join(still, by, "left_semi")
+                if still.isEmpty():
                     break
             previous = state
     moves.unpersist()
     dealt.unpersist()
-    return state
+    return functools.reduce(DataFrame.unionByName, done, state)
 
 
-def provenance(seeds: DataFrame, links_: DataFrame, levels: int = 32) -> DataFrame:
+def provenance(seeds: DataFrame, links_: DataFrame) -> DataFrame:
     """(task_id, node, why, level): the reason of the link over which a breadth-first walk first reaches a node.
 
-    Order decides: the earlier node of the frontier, then the earlier of its links. seeds: (task_id, id, rank).
+    Order decides: the earlier node of the frontier, then the earlier of its links. seeds: (task_id, id, rank). The walk
+    ends when a level reaches nothing new; what was seen is one table again every FOLD levels, so plans stay short.
     """
     walk = links_.where("w <> 0").select("src", "dst", "reason", F.col("ord").alias("link_ord")).persist(StorageLevel.MEMORY_AND_DISK)
     order = Window.partitionBy("task_id").orderBy("rank", "id")
     frontier = seeds.select("task_id", F.col("id").alias("node"), F.row_number().over(order).cast("bigint").alias("ord"))
     frontier = cut(frontier)
     seen = frontier.select("task_id", "node", F.lit("seed").alias("why"), F.lit(0).alias("level"))
-    for level in range(1, levels + 1):
+    for level in itertools.count(1):
         step = frontier.join(walk, F.col("node") == F.col("src")).select("task_id", "dst", "reason", "ord", "link_ord")
         step = step.join(seen.select("task_id", F.col("node").alias("dst")), ["task_id", "dst"], "left_anti")
         found = step.groupBy("task_id", "dst").agg(F.min(F.struct("ord", "link_ord", "reason")).alias("m"))
@@ -145,22 +171,50 @@ def provenance(seeds: DataFrame, links_: DataFrame, levels: int = 32) -> DataFra
         if new.isEmpty():
             break
         seen = seen.unionByName(new.select("task_id", "node", "why", F.lit(level).alias("level")))
+        if level % FOLD == 0:
+            seen = cut(seen)
         frontier = new
+    walk.unpersist()
     return seen
 
 
-def descendants(contains: DataFrame, name: str = "contains_edges") -> DataFrame:
-    """(id, descendant): the transitive closure of CONTAINS, by a recursive query."""
-    contains.select(F.col("from_id").alias("parent"), F.col("to_id").alias("child")).createOrReplaceTempView(name)
-    return contains.sparkSession.sql(f"""
-        WITH RECURSIVE d(id, descendant) AS (
-          SELECT parent, child FROM {name} UNION ALL
-          SELECT d.id, c.child FROM d JOIN {name} c ON c.parent = d.descendant)
-        SELECT DISTINCT id, descendant FROM d""")
-
+def descendants(contains: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, descendant): the transitive closure of CONTAINS; with ids, of these alone.
 
-def ancestors(contains: DataFrame) -> DataFrame:
-    """(id, ancestors array) along owners; where a child has several, the last in order owns it."""
+    All of it: paths of up to twice the length in each round, until a round adds none, so a chain of n takes log n rounds.
+    Of some ids: a walk down from them, level by level.
+    """
+    edges = contains.select(F.col("from_id").alias("parent"), F.col("to_id").alias("child")).distinct()
+    if ids is not None:
+        edges = cut(edges)
+        return _walk(edges, edges.withColumnRenamed("parent", "id").join(ids.select("id").distinct(), "id", "left_semi"))
+    paths, known = cut(edges.toDF("id", "descendant")), -1
+    while (n := paths.count()) > known:
+        known = n
+        longer = paths.join(paths.toDF("descendant", "below"), "descendant").select("id", F.col("below").alias("descendant"))
+        paths = cut(paths.unionByName(longer).distinct())
+    return paths
+
+
+def _walk(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, descendant) reached along edges (parent, child) from the pairs (id, child) of first."""
+    frontier = cut(first.select("id", F.col("child").alias("descendant")).distinct())
+    reached = frontier
+    for level in itertools.count(1):
+        step = frontier.join(edges, F.col("descendant") == F.col("parent")).select("id", F.col("child").alias("descendant")).distinct()
+        frontier = cut(step.join(reached, ["id", "descendant"], "left_anti"))
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier)
+        if level % FOLD == 0:
+            reached = cut(reached)
+
+
+def ancestors(contains: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, ancestors array) along owners; where a child has several, the last in order owns it. With ids, of these alone."""
     owner = contains.groupBy("to_id").agg(F.max("from_id").alias("from_id"))
-    pairs = descendants(owner.select("from_id", "to_id"), "owner_edges")
-    return pairs.groupBy(F.col("descendant").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("ancestors"))
+    if ids is None:
+        pairs = descendants(owner.select("from_id", "to_id")).select(F.col("descendant").alias("id"), F.col("id").alias("above"))
+    else:  # the same walk, upwards
+        pairs = descendants(owner.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), ids).select("id", F.col("descendant").alias("above"))
+    return pairs.groupBy("id").agg(F.array_sort(F.collect_list("above")).alias("ancestors"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.lineage import cut, numbered
 
 REUSE_SHARE, NOTES = 0.35, 20
+#: Bytes of build files, and of library names, that one hash or list is made of: they stand in one row.
+ONE_ROW = 256 << 20
 
 
 def stamps(files: DataFrame) -> DataFrame:
@@ -16,14 +21,24 @@ def stamps(files: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One hash over all build files, in order of path, path before content; files under build/ or .gradle/ don't count."""
+    """One hash over all build files, in order of path, path before content; files under build/ or .gradle/ don't count.
+
+    The hash is of the texts end to end, so they meet in one row: more than ONE_ROW bytes of them fail, with a message.
+    """
     kept = files.where(~F.col("file").rlike(r"(^|/)(build|\.gradle)/"))
     listed = F.array_sort(F.collect_list(F.struct("file", "text")))
+    _bounded(kept, F.octet_length("file") + F.octet_length("text"), "build files")
     return kept.agg(F.sha2(F.array_join(F.transform(listed, lambda x: F.concat(x["file"], x["text"])), "").cast("binary"), 256).alias("fingerprint"))
 
 
+def _bounded(rows: DataFrame, size: Column, what: str) -> None:
+    if (total := rows.agg(F.sum(size)).first()[0] or 0) > ONE_ROW:
+        raise ValueError(f"{total} bytes of {what} are more than one row holds ({ONE_ROW})")
+
+
 def classpath_identity(jars: DataFrame) -> DataFrame:
-    """The sorted name:length list of libraries."""
+    """The sorted name:length list of libraries, at most ONE_ROW bytes."""
+    _bounded(jars, F.octet_length("name") + 24, "library names")
     return jars.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("length").cast("string")))), "\n").alias("identity"))
 
 
@@ -45,15 +60,33 @@ def referrers_to_removed(symbols: DataFrame, edges: DataFrame, changed: DataFram
     return pointing.join(symbols.select("id", "file"), "id").select("file").distinct().join(changed, "file", "left_anti")
 
 
+def newly_declared(base: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(name) that fresh symbols have and base's don't."""
+    return fresh.select("name").distinct().join(base.select("name"), "name", "left_anti")
+
+
+def patched(base: dict[str, DataFrame], changed: DataFrame, index: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """base after the files in changed (file) did change: these are indexed anew, and so are the unchanged files whose edges
+    point at a declaration that is gone, or whose unresolved calls name one that is new. index: the tables of some files."""
+    changed = cut(changed.select("file").distinct())
+    fresh = {k: cut(df) for k, df in index(changed).items()}
+    to_removed = referrers_to_removed(base["symbols"], base["edges"], changed, fresh["symbols"])
+    to_added = referrers_to_added(base["errors"], changed, newly_declared(base["symbols"], fresh["symbols"]))
+    extra = cut(to_removed.unionByName(to_added).distinct())
+    return merge(base, changed.unionByName(extra), fresh, index(extra))
+
+
 def referrers_to_added(errors: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Files, not changed themselves, whose unresolved calls name something now declared."""
+    """Files, not changed themselves, whose unresolved calls name something now declared. fresh: newly_declared()."""
     asked = errors.select("file", T.unresolved_callee(F.col("message")).alias("name")).where("name is not null")
     return asked.join(fresh.select("name"), "name", "left_semi").select("file").distinct().join(changed, "file", "left_anti")
 
 
-def merge(base: dict[str, DataFrame], dirty_files: DataFrame, fresh: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """symbols, edges, errors and coverage: what base has of clean files, and all of fresh. Edges go by the file they
-    come from; one whose source base doesn't know is kept."""
+def merge(base: dict[str, DataFrame], dirty_files: DataFrame, fresh: dict[str, DataFrame], repaired: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """symbols, edges, errors and coverage: what base has of clean files, all of fresh, and of repaired. Edges go by the
+    file they come from; one whose source base doesn't know is kept."""
+    if repaired is not None:
+        fresh = {k: df.unionByName(repaired[k]) if k in repaired else df for k, df in fresh.items()}
     gone = dirty_files.select("file").distinct()
     clean = {k: base[k].join(gone, "file", "left_anti") for k in ("symbols", "errors", "coverage") if k in base}
     owners = base["symbols"].join(gone, "file", "left_semi").select(F.col("id").alias("from_id")).distinct()
@@ -87,8 +120,8 @@ def first_notes(errors: DataFrame, limit: int = NOTES) -> DataFrame:
 def canonical_edges(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """Distinct edges with ord, from 0: by kind, then by ends."""
     at = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    rows = edges.dropDuplicates(["from_id", "to_id", "kind"])
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(at, "from_id", "to_id")).cast("bigint") - 1)
+    rows = edges.select("from_id", "to_id", "kind").distinct().withColumn("_kind", at)
+    return numbered(rows, "ord", "_kind", "from_id", "to_id").drop("_kind")
 
 
 def without_excluded(roots: DataFrame, excluded: DataFrame) -> DataFrame:

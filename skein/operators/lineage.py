@@ -1,4 +1,4 @@
-"""Cutting lineage in loops."""
+"""Tables in the shared folder: lineage is cut there in loops, and rows are numbered by way of them."""
 
 from __future__ import annotations
 
@@ -7,21 +7,55 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
+    """The folder that all executors share. Where the session names none, one of our own, but on a local master alone."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="skein-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Tables written by cut(), by the path's file system; removed when the process ends.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may be gone: the folder's owner clears it then  # noqa: BLE001
+            return
+    _written.clear()
+
+
+atexit.register(_remove)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, while checkpoint() computes what isn't persisted twice."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with its place, from 0, in the order of all rows: a range sort, and counts of the partitions before each one.
+
+    No task gets more than its range; the counts, a row a partition, are what one task adds up.
+    """
+    part = F.spark_partition_id()
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_nth", F.monotonically_increasing_id()))
+    cells = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_nth").alias("_least"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    cells = cells.select("_part", "_least", before.alias("_before"))
+    return rows.join(F.broadcast(cells), "_part").withColumn(name, F.col("_nth") - F.col("_least") + F.col("_before")).drop("_part", "_nth", "_least", "_before")

@@ -13,6 +13,7 @@ from skein.operators import graph as G
 from skein.operators import names as N
 from skein.operators import packing as P
 from skein.operators import retrieval as R
+from skein.operators.lineage import cut
 from skein.plans import graph_queries as GQ
 from skein.plans import index_queries as IQ
 from skein.plans import retrieval_queries as RQ
@@ -23,25 +24,27 @@ from skein.plans.views import terms_sql, with_views
 BUDGET, FILES = 4000, 10
 
 
-def pack_ranked(spark: SparkSession, d: str, ranked: DataFrame, budget: int = BUDGET, **options) -> DataFrame:
+def pack_ranked(spark: SparkSession, d: str, ranked: DataFrame, budget: int = BUDGET, index: tuple[DataFrame, DataFrame] | None = None, **options) -> DataFrame:
     """ranked (task_id, id, score, rank, why) with all that the packer asks for, packed."""
-    contains = V.edg(spark, d).where("kind = 'CONTAINS'")
-    below = G.descendants(contains, "arm_contains").groupBy("id").agg(F.collect_list("descendant").alias("descendants"))
+    symbols, edges = index or V.graph(spark, d)
     texts = V.table(spark, d, "documents").select(V.doc_id(F.col("doc_id")).alias("id"), F.col("text").alias("body"))
     top = ranked.where(F.col("rank") <= P.CANDIDATES).withColumn("task_id", F.col("task_id").cast("string"))
-    top = top.join(V.sym(spark, d).drop("pos"), "id").join(texts, "id").join(G.ancestors(contains), "id", "left").join(below, "id", "left")
+    top = cut(top)
+    contains = edges.where("kind = 'CONTAINS'")
+    below = G.descendants(contains, top).groupBy("id").agg(F.collect_list("descendant").alias("descendants"))
+    top = top.join(symbols.drop("pos"), "id").join(texts, "id").join(G.ancestors(contains, top), "id", "left").join(below, "id", "left")
     return P.pack(top, budget, **options)
 
 
 def engine(spark: SparkSession, d: str, changed: dict | None = None, edges: DataFrame | None = None, n_seeds: int = R.SEEDS, penalty: float = R.TEST_PENALTY, dense: bool = False, **options) -> DataFrame:
     """Seeds, PageRank over the typed graph, provenance, pack."""
-    s = V.sym(spark, d)
-    links = G.links(s, V.edg(spark, d) if edges is None else edges, G.weight_table(spark, **(changed or {})))
-    seeds = RQ.seeds(spark, d, penalty, n_seeds, dense)
+    index = s, e = V.graph(spark, d)
+    links = G.links(s, e if edges is None else edges, G.weight_table(spark, **(changed or {})))
+    seeds = cut(RQ.seeds(spark, d, penalty, n_seeds, dense, s))
     scores = GQ.best(G.pagerank(G.restart(seeds, s), links), P.CANDIDATES)
     why = G.provenance(seeds, links).select("task_id", "node", "why")
     ranked = scores.join(why, ["task_id", "node"], "left").select("task_id", F.col("node").alias("id"), "score", "rank", F.coalesce("why", F.lit("related")).alias("why"))
-    return pack_ranked(spark, d, ranked, **options)
+    return pack_ranked(spark, d, ranked, index=index, **options)
 
 
 def named_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -52,9 +55,9 @@ def named_edges(spark: SparkSession, d: str) -> DataFrame:
     return V.edg(spark, d).where("kind <> 'CALLS'").unionByName(N.name_calls(calls, s))
 
 
-def searched(spark: SparkSession, d: str, limit: int, tasks: int | None = None) -> DataFrame:
+def searched(spark: SparkSession, d: str, limit: int) -> DataFrame:
     """(task_id, id, rank, score, why): plain BM25, worth 1/rank."""
-    ranks = GQ.first_tasks(RQ.search_channel(spark, d, 1.0, limit), tasks)
+    ranks = RQ.search_channel(spark, d, 1.0, limit)
     return ranks.select("task_id", "id", "rank", (1.0 / F.col("rank")).alias("score"), F.lit("bm25").alias("why"))
 
 
@@ -122,7 +125,7 @@ def arm_file_dump(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def arm_repo_map(spark: SparkSession, d: str) -> DataFrame:
-    edges, rank = IQ.map_rank(spark, d, None)
+    edges, rank = IQ.map_rank(spark, d)
     found = N.map_definitions(edges, rank).withColumn("score", F.round("score", 9))
     s = V.sym(spark, d).select("id", "file", F.col("name").alias("ident"))
     pair = F.concat(F.lit("("), "file", F.lit(", "), "ident", F.lit(")"))
@@ -132,25 +135,20 @@ def arm_repo_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HITS = f"""SELECT task_id, file, rank FROM (SELECT task_id, file, row_number() OVER (PARTITION BY task_id ORDER BY first, file) AS rank FROM (SELECT task_id, file, min(r) AS first FROM (
-    SELECT task_id, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm WHERE task_id < {GQ.TASKS}) JOIN sym ON pos = doc_id WHERE r <= 200 GROUP BY ALL)) WHERE rank <= {FILES}"""
+    SELECT task_id, doc_id, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm) JOIN sym ON pos = doc_id WHERE r <= 200 GROUP BY ALL)) WHERE rank <= {FILES}"""
 
 
 @query(with_views(_HITS, "bm", "sym"))
 def files_first_hit(spark: SparkSession, d: str) -> DataFrame:
-    return files_by_hit(searched(spark, d, 200, GQ.TASKS), V.sym(spark, d))
-
-
-@query()
-def files_first_hit_all(spark: SparkSession, d: str) -> DataFrame:
     return files_by_hit(searched(spark, d, 200), V.sym(spark, d))
 
 
-def chunk_scores(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
+def chunk_scores(spark: SparkSession, d: str) -> DataFrame:
     """(task_id, key, score) of BM25 over windows, path and text; only windows that score."""
     w = N.windows(IQ.files(spark, d)).withColumn("key", F.concat("file", F.lit("#"), F.lpad(F.col("chunk").cast("string"), 6, "0")))
     terms = T.terms(F.concat_ws("\n", "file", "text"))
-    q = GQ.first_tasks(V.tsk(spark, d), tasks).select("task_id", F.explode(T.terms(F.col("text"))).alias("term"))
-    return R.bm25(R.bag(w, "key", terms), R.lengths(w, "key", terms), q, key="key")
+    q = V.tsk(spark, d).select("task_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    return R.bm25_of(w.select("key", terms.alias("terms")), q, key="key")
 
 
 def pack_chunks(spark: SparkSession, d: str, scores: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -166,7 +164,7 @@ _WINDOWS = f"""w AS MATERIALIZED (SELECT file || '#' || lpad(CAST(c AS VARCHAR),
     FROM (SELECT file, l, CAST(unnest(generate_series(0, (len(l) - 1) // 40)) AS INT) AS c FROM {IQ._FILES})),
     wt AS MATERIALIZED (SELECT key, {terms_sql('body')} AS t FROM w), wp AS MATERIALIZED (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(t) AS term FROM wt) GROUP BY ALL),
     ws AS (SELECT task_id, key, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(t) / al))), 6) AS score
-      FROM (SELECT task_id, term, count(*) AS times FROM q WHERE task_id < {GQ.TASKS} GROUP BY ALL) JOIN wp USING (term) JOIN (SELECT term, count(*) AS df FROM wp GROUP BY term) USING (term) JOIN wt USING (key),
+      FROM (SELECT task_id, term, count(*) AS times FROM q GROUP BY ALL) JOIN wp USING (term) JOIN (SELECT term, count(*) AS df FROM wp GROUP BY term) USING (term) JOIN wt USING (key),
       (SELECT count(*) AS n, avg(len(t)) AS al FROM wt) GROUP BY task_id, key),
     wk AS (SELECT key, len(regexp_extract_all(body, '[A-Za-z0-9]+|[^A-Za-z0-9 \\n\\t\\r]')) AS tokens, (SELECT count(*) FROM ({IQ._SPANS}) s WHERE s.file = w.file AND s.s >= w.ws AND s.e <= w.we) AS credited FROM w),
     l AS (SELECT task_id, list(struct_pack(k := key, t := tokens) ORDER BY score DESC, key) AS items FROM ws JOIN wk USING (key) GROUP BY task_id),
@@ -176,11 +174,6 @@ _WINDOWS = f"""w AS MATERIALIZED (SELECT file || '#' || lpad(CAST(c AS VARCHAR),
 
 @query(with_views(f"WITH {_WINDOWS} SELECT task_id, key, score, CAST(tokens AS INT) AS tokens, credited FROM (SELECT task_id, unnest(f.took) AS key FROM p) JOIN ws USING (task_id, key) JOIN wk USING (key)", "q"))
 def chunk_bm25_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack_chunks(spark, d, chunk_scores(spark, d, GQ.TASKS))
-
-
-@query()
-def chunk_bm25_pack_all(spark: SparkSession, d: str) -> DataFrame:
     return pack_chunks(spark, d, chunk_scores(spark, d))
 
 

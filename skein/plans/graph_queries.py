@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators import graph as G
+from skein.operators.lineage import cut, numbered
 from skein.plans import views as V
 from skein.plans.registry import query
 from skein.plans.retrieval_queries import SEED_VIEWS, seeds, seeds_sql
 from skein.plans.views import with_views
 from skein.schema import EDGE_KINDS, WEIGHTS
 
-#: Oracles answer for the first tasks alone, as their recursive SQL is slow. A query with such an oracle asks for the same
-#: tasks; the query of its name with "_all" asks for every task.
-TASKS = 10
-
 #: Arms that change link weights: kind -> weight (both directions, or forward and backward).
 ABLATIONS: dict[str, dict] = {
     "default": {},
@@ -33,7 +28,7 @@ NONE = {k: 0.0 for k in WEIGHTS}
 
 
 def links(spark: SparkSession, d: str, changed: dict | None = None) -> DataFrame:
-    return G.links(V.sym(spark, d), V.edg(spark, d), G.weight_table(spark, **(changed or {})))
+    return G.links(*V.graph(spark, d), G.weight_table(spark, **(changed or {})))
 
 
 def weights_sql(changed: dict) -> str:
@@ -65,14 +60,8 @@ def edge_kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return V.edg(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(with_views("SELECT to_id, from_id FROM edg WHERE kind = 'CALLS' AND to_id IN (SELECT id FROM sym WHERE pos % 10 = 0)", "edg", "sym"))
+@query(with_views("SELECT to_id, from_id FROM edg WHERE kind = 'CALLS' AND to_id IN (SELECT id FROM sym)", "edg", "sym"))
 def incoming(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of every tenth declaration: the ids asked for are part of the question."""
-    return G.incoming(V.edg(spark, d), V.sym(spark, d).where("pos % 10 = 0").select("id"), "CALLS")
-
-
-@query()
-def incoming_all(spark: SparkSession, d: str) -> DataFrame:
     """Callers of every declaration."""
     return G.incoming(V.edg(spark, d), V.sym(spark, d).select("id"), "CALLS")
 
@@ -96,31 +85,17 @@ def out_weight(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT *, row_number() OVER (ORDER BY id, file, start_line) - 1 AS nth FROM sym) GROUP BY name)""", "sym"))
 def node_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Names in place of ids, for they repeat: the last position answers."""
-    s = V.sym(spark, d).select(F.col("name"), "id", "file", "start_line")
-    order = Window.orderBy("id", "file", "start_line")
-    rows = s.withColumn("nth", F.row_number().over(order).cast("bigint") - 1)
+    rows = numbered(V.sym(spark, d).select("name", "id", "file", "start_line"), "nth", "id", "file", "start_line")
     return rows.groupBy("name").agg(F.max_by(F.struct("id", "file", "start_line", "nth"), "nth").alias("s")).select("name", "s.*")
 
 
 _RESTART = "start AS (SELECT task_id, id AS node, score / sum(score) OVER (PARTITION BY task_id) AS mass FROM seeds WHERE id IN (SELECT id FROM sym))"
 
 
-def first_tasks(df: DataFrame, tasks: int | None) -> DataFrame:
-    """Rows of the first tasks, or all rows."""
-    return df if tasks is None else df.where(F.col("task_id") < tasks)
-
-
-def some_seeds(spark: SparkSession, d: str, limit: int = 20, tasks: int | None = TASKS) -> DataFrame:
-    return first_tasks(seeds(spark, d, limit=limit), tasks)
-
-
-def some_seeds_sql(limit: int = 20) -> str:
-    return seeds_sql(limit=limit).replace("seeds AS (SELECT * FROM (", f"seeds AS (SELECT * FROM (SELECT * FROM (", 1) + f" WHERE task_id < {TASKS})"
-
-
 @query(with_views(f"WITH {seeds_sql()}, {_RESTART} SELECT task_id, node, round(mass, 6) AS mass FROM start", *SEED_VIEWS))
 def restart_vector(spark: SparkSession, d: str) -> DataFrame:
-    return G.restart(seeds(spark, d), V.sym(spark, d)).withColumn("mass", F.round("mass", 6))
+    s = cut(V.sym(spark, d))
+    return G.restart(seeds(spark, d, symbols=s), s).withColumn("mass", F.round("mass", 6))
 
 
 def rank_sql(by: str = "task_id", iterations: int = 40, damping: float = 0.85) -> str:
@@ -144,44 +119,34 @@ def best(scores: DataFrame, limit: int, by: list[str] | None = None) -> DataFram
     return rows.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
 
 
-def ranked(spark: SparkSession, d: str, changed: dict, limit: int, n_seeds: int = 20, tasks: int | None = None) -> DataFrame:
-    start = G.restart(some_seeds(spark, d, n_seeds, tasks), V.sym(spark, d))
-    return best(G.pagerank(start, links(spark, d, changed)), limit)
+def ranked(spark: SparkSession, d: str, changed: dict, limit: int, n_seeds: int = 20) -> DataFrame:
+    s, e = V.graph(spark, d)
+    start = G.restart(seeds(spark, d, limit=n_seeds, symbols=s), s)
+    return best(G.pagerank(start, G.links(s, e, G.weight_table(spark, **changed))), limit)
 
 
 def _ranked_sql(changed: dict, limit: int, seeds_limit: int = 20) -> str:
-    return with_views(f"WITH {some_seeds_sql(seeds_limit)}, {links_sql(changed)}, {_RESTART}, {rank_sql()} " + _BEST.format(40, limit), *SEED_VIEWS, "edg", recursive=True)
+    return with_views(f"WITH {seeds_sql(limit=seeds_limit)}, {links_sql(changed)}, {_RESTART}, {rank_sql()} " + _BEST.format(40, limit), *SEED_VIEWS, "edg", recursive=True)
 
 
 @query(_ranked_sql({}, 50))
 def ppr_default(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(spark, d, {}, 50, tasks=TASKS)
-
-
-@query()
-def ppr_default_all(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d, {}, 50)
 
 
 @query(_ranked_sql(NONE, 50, 400))
 def ppr_seeds_only(spark: SparkSession, d: str) -> DataFrame:
     """Without weights all mass comes back: scores are the restart vector."""
-    return ranked(spark, d, NONE, 50, 400, TASKS)
-
-
-@query()
-def ppr_seeds_only_all(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d, NONE, 50, 400)
 
 
 for _arm, _changed in ABLATIONS.items():
     if _arm != "default":
 
-        def _ablation(spark: SparkSession, d: str, changed=_changed, tasks: int | None = TASKS) -> DataFrame:
-            return ranked(spark, d, changed, 20, tasks=tasks)
+        def _ablation(spark: SparkSession, d: str, changed=_changed) -> DataFrame:
+            return ranked(spark, d, changed, 20)
 
         query(_ranked_sql(_changed, 20), name=f"ppr_{_arm}")(_ablation)
-        query(name=f"ppr_{_arm}_all")(functools.partial(_ablation, tasks=None))
 
 
 def _bfs_sql(levels: int) -> str:
@@ -196,14 +161,10 @@ def _bfs_sql(levels: int) -> str:
     return ", ".join(parts) + f" {union}"
 
 
-@query(with_views(f"WITH {some_seeds_sql()}, {links_sql()}, {_bfs_sql(6)}", *SEED_VIEWS, "edg"))
+@query(with_views(f"WITH {seeds_sql()}, {links_sql()}, {_bfs_sql(6)}", *SEED_VIEWS, "edg"))
 def bfs_why(spark: SparkSession, d: str) -> DataFrame:
-    return G.provenance(some_seeds(spark, d), links(spark, d))
-
-
-@query()
-def bfs_why_all(spark: SparkSession, d: str) -> DataFrame:
-    return G.provenance(seeds(spark, d), links(spark, d))
+    s, e = V.graph(spark, d)
+    return G.provenance(seeds(spark, d, symbols=s), G.links(s, e, G.weight_table(spark)))
 
 
 @query(with_views("""WITH c AS (SELECT from_id AS p, to_id AS c FROM edg WHERE kind = 'CONTAINS'), d AS (SELECT p AS id, c AS descendant FROM c UNION ALL SELECT d.id, c.c FROM d JOIN c ON c.p = d.descendant)

@@ -13,8 +13,8 @@ from skein.operators import ledger as L
 from skein.operators import names as N
 from skein.operators import packing as P
 from skein.operators import rendering as Re
+from skein.operators.lineage import cut
 from skein.plans import views as V
-from skein.plans.graph_queries import TASKS
 from skein.plans.registry import query
 from skein.plans.views import id_sql, with_views
 from skein.sources import diffs as D
@@ -92,7 +92,7 @@ def called_names(spark: SparkSession, d: str) -> DataFrame:
 
 _REFS = """refs AS MATERIALIZED (SELECT file, ident, n - coalesce(own, 0) AS count FROM (SELECT source AS file, ident, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS ident FROM documents) GROUP BY ALL)
     LEFT JOIN (SELECT file, name AS ident, count(*) AS own FROM sym GROUP BY ALL) USING (file, ident) WHERE ident IN (SELECT name FROM sym) AND n - coalesce(own, 0) > 0)"""
-_ASKED = "asked AS MATERIALIZED (SELECT DISTINCT task_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS ident FROM tsk WHERE task_id < 10)"
+_ASKED = "asked AS MATERIALIZED (SELECT DISTINCT task_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS ident FROM tsk)"
 _DEFS = "defs AS (SELECT DISTINCT file AS to_file, name AS ident FROM sym)"
 _MAP = f"""{_REFS}, {_ASKED}, {_DEFS}, tasks AS (SELECT DISTINCT task_id FROM asked), e AS MATERIALIZED (
     SELECT task_id, r.file AS from_file, to_file, ident, CASE WHEN length(ident) >= 8 AND ((regexp_matches(ident, '[A-Z]') AND regexp_matches(ident, '[a-z]')) OR contains(ident, '_')) THEN 10.0 ELSE 1.0 END
@@ -107,15 +107,14 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select(F.col("source").alias("file"), "text")
 
 
-def asked(spark: SparkSession, d: str, tasks: int | None) -> DataFrame:
+def asked(spark: SparkSession, d: str) -> DataFrame:
     t = V.tsk(spark, d)
-    t = t if tasks is None else t.where(F.col("task_id") < tasks)
     return t.select("task_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(T.identifiers(F.col("text"))))).alias("ident"))
 
 
-def map_edges(spark: SparkSession, d: str, tasks: int | None) -> DataFrame:
+def map_edges(spark: SparkSession, d: str) -> DataFrame:
     s = V.sym(spark, d)
-    return N.map_edges(N.reference_counts(source_files(spark, d), s), s, asked(spark, d, tasks))
+    return N.map_edges(N.reference_counts(source_files(spark, d), s), s, asked(spark, d))
 
 
 @query(with_views(f"WITH {_REFS} SELECT * FROM refs", "sym"))
@@ -125,21 +124,16 @@ def ref_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views(f"WITH {_MAP} SELECT task_id, from_file, to_file, ident, round(w, 6) AS w FROM e", "sym", "tsk"))
 def repo_map_edges(spark: SparkSession, d: str) -> DataFrame:
-    return map_edges(spark, d, TASKS).withColumn("w", F.round("w", 6))
+    return map_edges(spark, d).withColumn("w", F.round("w", 6))
 
 
-@query()
-def repo_map_edges_all(spark: SparkSession, d: str) -> DataFrame:
-    return map_edges(spark, d, None).withColumn("w", F.round("w", 6))
-
-
-def map_rank(spark: SparkSession, d: str, tasks: int | None) -> tuple[DataFrame, DataFrame]:
+def map_rank(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Edges, and (task_id, node, score) after exactly 30 rounds. Graphs differ by task, so nodes carry it."""
     from skein.operators.graph import pagerank
 
-    edges = map_edges(spark, d, tasks)
+    edges = map_edges(spark, d)
     tagged = lambda c: F.concat(F.col("task_id").cast("string"), F.lit("|"), F.col(c))
-    start = N.map_restart(V.sym(spark, d), asked(spark, d, tasks)).select("task_id", tagged("node").alias("node"), "mass").where("mass > 0")
+    start = N.map_restart(V.sym(spark, d), asked(spark, d)).select("task_id", tagged("node").alias("node"), "mass").where("mass > 0")
     moves = edges.select(tagged("from_file").alias("src"), tagged("to_file").alias("dst"), "w")
     scores = pagerank(start, moves, iterations=30, tolerance=None)
     return edges, scores.select("task_id", F.substring_index("node", "|", -1).alias("node"), "score")
@@ -154,29 +148,19 @@ _MAPRANK = """m AS MATERIALIZED (SELECT task_id, from_file, to_file, sum(w) / su
 
 @query(with_views(f"WITH {_MAP}, {_MAPSTART}, {_MAPRANK} SELECT task_id, node, round(score, 6) AS score FROM r WHERE it = 30 AND round(score, 6) > 0", "sym", "tsk", recursive=True))
 def repo_map_rank(spark: SparkSession, d: str) -> DataFrame:
-    return map_rank(spark, d, TASKS)[1].withColumn("score", F.round("score", 6)).where("score > 0")
-
-
-@query()
-def repo_map_rank_all(spark: SparkSession, d: str) -> DataFrame:
-    return map_rank(spark, d, None)[1].withColumn("score", F.round("score", 6)).where("score > 0")
+    return map_rank(spark, d)[1].withColumn("score", F.round("score", 6)).where("score > 0")
 
 
 @query(with_views(f"""WITH {_MAP}, {_MAPSTART}, {_MAPRANK}, f AS (SELECT task_id, to_file AS file, ident, sum(score * w / ow) AS score FROM (SELECT *, sum(w) OVER (PARTITION BY task_id, from_file) AS ow FROM e)
     JOIN (SELECT task_id, node AS from_file, score FROM r WHERE it = 30) USING (task_id, from_file) GROUP BY ALL)
     SELECT * FROM (SELECT task_id, file, ident, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, '(' || file || ', ' || ident || ')') AS rank FROM f) WHERE rank <= 50""", "sym", "tsk", recursive=True))
-def repo_map_defs(spark: SparkSession, d: str, tasks: int | None = TASKS) -> DataFrame:
-    edges, rank = map_rank(spark, d, tasks)
+def repo_map_defs(spark: SparkSession, d: str) -> DataFrame:
+    edges, rank = map_rank(spark, d)
     out = N.map_definitions(edges, rank).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), F.concat(F.lit("("), "file", F.lit(", "), "ident", F.lit(")")))
     return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 50")
 
 
-@query()
-def repo_map_defs_all(spark: SparkSession, d: str) -> DataFrame:
-    return repo_map_defs(spark, d, None)
-
-
 # Diffs and gold.
 
 _DIFF = r"""rows AS (SELECT key, generate_subscripts(l, 1) AS nth, unnest(l) AS row FROM (SELECT key, string_split(diff, chr(10)) AS l FROM dif)),
@@ -190,36 +174,17 @@ def diff_lines(spark: SparkSession, d: str) -> DataFrame:
     return D.changed_lines(V.dif(spark, d), "key")
 
 
-@query()
-def diff_lines_all(spark: SparkSession, d: str) -> DataFrame:
-    return D.changed_lines(V.dif_all(spark, d), "key")
-
-
 @query(with_views(f"WITH {_DIFF} SELECT DISTINCT key, file FROM changed WHERE NOT contains(file, '/test') AND NOT contains(file, '/androidTest')", "dif"))
 def test_path_filter(spark: SparkSession, d: str) -> DataFrame:
     return D.changed_lines(V.dif(spark, d), "key").where(~T.is_test_path(F.col("file"))).select("key", "file").distinct()
 
 
-@query()
-def test_path_filter_all(spark: SparkSession, d: str) -> DataFrame:
-    return D.changed_lines(V.dif_all(spark, d), "key").where(~T.is_test_path(F.col("file"))).select("key", "file").distinct()
-
-
-@query(with_views(f"""WITH {_DIFF}, t AS (SELECT key, count(DISTINCT file) AS n, count(*) AS lines FROM changed WHERE NOT contains(file, '/test') GROUP BY key HAVING count(DISTINCT file) <= 33)
-    SELECT CAST(key AS VARCHAR) AS task_id, n AS files, lines FROM t ORDER BY key LIMIT 40""", "dif"))
+@query(with_views(f"""WITH scanned AS (SELECT key, o, s FROM dif ORDER BY o, s LIMIT 400), {_DIFF}, t AS (SELECT key, count(DISTINCT file) AS n, count(*) AS lines FROM changed WHERE NOT contains(file, '/test') GROUP BY key HAVING count(DISTINCT file) <= 5)
+    SELECT md5(key)[1:10] AS task_id, n AS files, lines FROM t JOIN scanned USING (key) ORDER BY o, s LIMIT 40""", "dif"))
 def mined_tasks(spark: SparkSession, d: str) -> DataFrame:
-    commits = V.dif(spark, d).select(F.col("key").cast("string").alias("sha"), F.col("key").alias("seq"), F.rpad(F.col("key").cast("string"), 31, "x").alias("message"), "diff")
-    return _sizes(D.mined_tasks(commits, 40, 33))
-
-
-@query()
-def mined_tasks_all(spark: SparkSession, d: str) -> DataFrame:
     """Of all commits; that the first 400 are scanned for 40 tasks is the miner's own rule."""
-    commits = V.dif_all(spark, d).select(F.md5("key").alias("sha"), "seq", F.rpad("key", 31, "x").alias("message"), "diff")
-    return _sizes(D.mined_tasks(commits, 40, 33))
-
-
-def _sizes(t: DataFrame) -> DataFrame:
+    commits = V.dif(spark, d).select(F.md5("key").alias("sha"), "seq", F.rpad("key", 31, "x").alias("message"), "diff")
+    t = D.mined_tasks(commits, 40)
     lines = F.aggregate(F.map_values("changed_lines"), F.lit(0).cast("long"), lambda s, x: s + F.size(x))
     return t.select("task_id", F.size("changed_lines").cast("long").alias("files"), lines.alias("lines"))
 
@@ -516,10 +481,11 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     from skein.operators.retrieval import ranked
 
     docs_ = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    top = cut(ranked(V.bm(spark, d), P.CANDIDATES).withColumn("id", V.doc_id(F.col("doc_id"))))
     contains = V.edg(spark, d).where("kind = 'CONTAINS'")
-    above = G.ancestors(contains)
-    below = G.descendants(contains, "packed_contains").groupBy("id").agg(F.collect_list("descendant").alias("descendants"))
-    top = ranked(V.bm(spark, d), P.CANDIDATES).join(V.sym(spark, d).withColumnRenamed("pos", "doc_id"), "doc_id").join(docs_, "doc_id")
+    above = G.ancestors(contains, top)
+    below = G.descendants(contains, top).groupBy("id").agg(F.collect_list("descendant").alias("descendants"))
+    top = top.join(V.sym(spark, d).withColumnRenamed("pos", "doc_id").drop("id"), "doc_id").join(docs_, "doc_id")
     top = top.join(above, "id", "left").join(below, "id", "left")
     return top.withColumn("task_id", F.col("task_id").cast("string")).withColumn("why", F.lit("bm25"))
 

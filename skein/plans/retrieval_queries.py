@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import retrieval as R
+from skein.operators.lineage import cut
 from skein.plans import views as V
 from skein.plans.registry import query
 from skein.plans.views import terms_sql, with_views
@@ -50,7 +51,7 @@ def bm25_dup_terms(spark: SparkSession, d: str) -> DataFrame:
     """The first three terms of a task count once more: repeated terms are not made distinct."""
     t = T.terms(F.col("text"))
     q = V.tsk(spark, d).select("task_id", F.explode(F.concat(t, F.slice(t, 1, 3))).alias("term"))
-    scores = R.bm25(V.post(spark, d), V.docs(spark, d).select("doc_id", "len"), q)
+    scores = R.bm25_of(V.docs(spark, d), q)
     return R.ranked(scores, 10).select("task_id", "doc_id", "score", "rank")
 
 
@@ -85,28 +86,29 @@ def exact_names(spark: SparkSession, d: str) -> DataFrame:
     return R.exact_names(V.tsk(spark, d), V.sym(spark, d))
 
 
-def search_channel(spark: SparkSession, d: str, penalty: float, limit: int = R.CANDIDATES) -> DataFrame:
+def search_channel(spark: SparkSession, d: str, penalty: float, limit: int = R.CANDIDATES, symbols: DataFrame | None = None) -> DataFrame:
     """(task_id, id, rank) by BM25 over documents, test code at a penalty."""
-    tests = V.sym(spark, d).select("id", "is_test")
+    tests = (V.sym(spark, d) if symbols is None else symbols).select("id", "is_test")
     scores = V.bm(spark, d).select("task_id", V.doc_id(F.col("doc_id")).alias("id"), "score")
     return R.ranked(R.penalised(scores, tests, penalty, "id"), limit, key="id")
 
 
-def seeds(spark: SparkSession, d: str, penalty: float = R.TEST_PENALTY, limit: int = R.SEEDS, dense: bool = False) -> DataFrame:
+def seeds(spark: SparkSession, d: str, penalty: float = R.TEST_PENALTY, limit: int = R.SEEDS, dense: bool = False, symbols: DataFrame | None = None) -> DataFrame:
     """(task_id, id, score, why, rank)"""
-    channels = R.exact_names(V.tsk(spark, d), V.sym(spark, d)).withColumn("why", F.lit("seed:mentioned"))
-    channels = channels.unionByName(search_channel(spark, d, penalty).select("task_id", "id", "rank").withColumn("why", F.lit("seed:search")))
+    symbols = cut(V.sym(spark, d)) if symbols is None else symbols
+    channels = R.exact_names(V.tsk(spark, d), symbols).withColumn("why", F.lit("seed:mentioned"))
+    channels = channels.unionByName(search_channel(spark, d, penalty, symbols=symbols).select("task_id", "id", "rank").withColumn("why", F.lit("seed:search")))
     if dense:
-        channels = channels.unionByName(dense_channel(spark, d, R.CANDIDATES, penalty).select("task_id", "id", "rank").withColumn("why", F.lit("seed:embed")))
+        channels = channels.unionByName(dense_channel(spark, d, R.CANDIDATES, penalty, symbols).select("task_id", "id", "rank").withColumn("why", F.lit("seed:embed")))
     return R.fuse(channels, limit)
 
 
-def dense_channel(spark: SparkSession, d: str, limit: int, penalty: float = 1.0) -> DataFrame:
+def dense_channel(spark: SparkSession, d: str, limit: int, penalty: float = 1.0, symbols: DataFrame | None = None) -> DataFrame:
     e = V.table(spark, d, "embeddings")
     tasks = V.tsk(spark, d).select("task_id")
     q = tasks.join(e, F.col("task_id") == F.col("vec_id")).select("task_id", F.col("embedding").alias("q"))
     v = e.select(V.doc_id(F.col("vec_id")).alias("id"), F.col("embedding").alias("v"))
-    return R.dense(q, v, limit, V.sym(spark, d).select("id", "is_test"), penalty)
+    return R.dense(q, v, limit, (V.sym(spark, d) if symbols is None else symbols).select("id", "is_test"), penalty)
 
 
 def search_sql(penalty: float) -> str:

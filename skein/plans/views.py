@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,12 +84,17 @@ def edg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.unionByName(contains).unionByName(extends).unionByName(overrides).unionByName(types).unionByName(imports)
 
 
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """sym and edg, written once, as read_index() would give them: links and walks read them many times over."""
+    return cut(sym(spark, sf_dir)), cut(edg(spark, sf_dir))
+
+
 def bm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task_id, doc_id, score) of BM25 over documents, not rounded."""
-    from skein.operators.retrieval import bm25
+    from skein.operators.retrieval import bm25_of
 
     q = tsk(spark, sf_dir).select("task_id", F.explode(T.terms(F.col("text"))).alias("term"))
-    return bm25(post(spark, sf_dir), docs(spark, sf_dir).select("doc_id", "len"), q)
+    return bm25_of(docs(spark, sf_dir), q)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,23 +140,14 @@ def led(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, diff): a unified diff for each supplier, of its line items in the first orders, as the SQL has it."""
-    return _diffs(table(spark, sf_dir, "lineitem").where("l_orderkey < 2000"), F.col("l_suppkey").alias("key"))
-
-
-def dif_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, seq, diff): a unified diff for each supplier and order, of all line items."""
-    by = F.struct(F.col("l_orderkey"), F.col("l_suppkey")).alias("seq")
-    diffs = _diffs(table(spark, sf_dir, "lineitem"), by)
-    return diffs.select(F.concat_ws("/", "seq.l_suppkey", "seq.l_orderkey").alias("key"), "seq", "diff")
-
-
-def _diffs(li: DataFrame, *by: F.Column) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
     head = F.when(F.col("l_linenumber") == 3, F.lit("--- /dev/null")).otherwise(F.format_string("--- a/src%d/%s%d.kt", F.col("l_partkey") % 5, F.when(F.col("l_linenumber") == 2, "test/T").otherwise("F"), F.col("l_partkey") % 7))
     hunk = F.when(F.col("l_linenumber") == 1, F.format_string("@@ -%d +%d @@ x", F.col("l_partkey"), F.col("l_partkey"))).otherwise(F.format_string("@@ -%d,%d +%d,2 @@", F.col("l_partkey"), (F.col("l_quantity") % 4).cast("int"), F.col("l_partkey")))
     row = F.concat(head, F.lit("\n"), hunk)
     listed = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("r"))))
-    return li.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["r"]), "\n").alias("diff"))
+    diffs = li.groupBy(F.struct("l_orderkey", "l_suppkey").alias("seq")).agg(F.array_join(F.transform(listed, lambda x: x["r"]), "\n").alias("diff"))
+    return diffs.select(F.concat_ws("/", "seq.l_suppkey", "seq.l_orderkey").alias("key"), "seq", "diff")
 
 
 def err(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +210,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "stm_old": ((), f"SELECT {id_sql('doc_id')} AS file, sha256(text) AS stamp FROM documents"),
     "stm_new": ((), f"SELECT {id_sql('doc_id')} AS file, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS stamp FROM documents WHERE doc_id % 17 <> 0"),
     "led": ((), "SELECT CAST(o_custkey AS VARCHAR) AS task, o_orderpriority AS arm, CASE o_orderstatus WHEN 'F' THEN 'RESOLVED' WHEN 'O' THEN 'UNRESOLVED' ELSE 'NOT_APPLIED' END AS outcome, CAST(floor(o_totalprice) AS BIGINT) AS tokens FROM orders"),
-    "dif": ((), """SELECT l_suppkey AS key, string_agg(CASE WHEN l_linenumber = 3 THEN '--- /dev/null' ELSE '--- a/src' || (l_partkey % 5) || '/' || CASE WHEN l_linenumber = 2 THEN 'test/T' ELSE 'F' END || (l_partkey % 7) || '.kt' END || chr(10) ||
+    "dif": ((), """SELECT l_suppkey || '/' || l_orderkey AS key, l_orderkey AS o, l_suppkey AS s, string_agg(CASE WHEN l_linenumber = 3 THEN '--- /dev/null' ELSE '--- a/src' || (l_partkey % 5) || '/' || CASE WHEN l_linenumber = 2 THEN 'test/T' ELSE 'F' END || (l_partkey % 7) || '.kt' END || chr(10) ||
         CASE WHEN l_linenumber = 1 THEN '@@ -' || l_partkey || ' +' || l_partkey || ' @@ x' ELSE '@@ -' || l_partkey || ',' || CAST(floor(l_quantity % 4) AS INT) || ' +' || l_partkey || ',2 @@' END, chr(10) ORDER BY l_orderkey, l_linenumber) AS diff
-        FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_suppkey"""),
+        FROM lineitem GROUP BY l_orderkey, l_suppkey"""),
     "err": ((), "SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS file, CAST(event_id % 500 AS INT) AS line, CASE WHEN event_id % 2 = 0 THEN 'unresolved call `t' || CAST(event_id % 9 AS VARCHAR) || '`' ELSE 'syntax: ' || event_type END AS message, event_id AS seq FROM events"),
     "cov": ((), """SELECT CAST(o_custkey % 97 AS VARCHAR) AS file, count(*) FILTER (o_custkey % 97 <> 5) AS call_sites, count(*) FILTER (o_custkey % 97 <> 5 AND o_orderstatus <> 'P') AS resolved_callees,
         count(*) FILTER (o_custkey % 97 <> 5 AND o_orderstatus = 'F') AS attributed_to_caller, count(*) FILTER (o_orderkey % 1000 = 0) AS failed_files FROM orders GROUP BY 1"""),
