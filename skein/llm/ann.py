@@ -9,9 +9,14 @@ that survive all blocks are measured exactly, in double precision, on the origin
 Lists larger than SALT rows are dealt out in parts, so a list that holds a third of all rows (one very common vector, say)
 is scanned by many tasks. Queries meet a part as a stream; a part's vectors are all that a task holds.
 
+How many lists a query probes is chosen from the sample: the fewest in which its own nearest neighbours lie for TARGET of
+them. Tight clusters take a few lists, vectors spread evenly over a sphere most of them. A query meets FLOOR candidates at
+least, so in small tables it meets all. Lists grow in number with the root of the table, up to a quarter of the sample.
+
 Nearest first by Euclidean distance, ties to the smaller vec_id. A vector that is null, zero, or holds a null or a
 component that is not finite takes no part; nor does one whose length is not the table's most frequent one, or whose
-vec_id is null. Rows that repeat an id are candidates each. With fewer candidates than asked for, all are given.
+vec_id is null. An id is one point: of rows that repeat it, the one whose vector comes first in order counts. With fewer
+candidates than asked for, all are given.
 """
 
 from __future__ import annotations
@@ -25,24 +30,27 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 
-#: The most vectors that centroids are fitted on, rounds of k-means, the most lists.
-SAMPLE, ROUNDS, LISTS = 20_000, 12, 4096
-#: The share of lists that a query probes, the fewest lists and candidates it does. The vectors at hand are spread almost
-#: evenly over the sphere, where neighbours lie in many lists; a table of tight clusters needs far fewer.
-PROBE, LEAST_LISTS, LEAST_ROWS = 0.65, 8, 200
+#: The most vectors that centroids are fitted on, rounds of k-means.
+SAMPLE, ROUNDS = 20_000, 12
+#: The share of the sample's neighbours that must lie in the lists probed, how many of the sample ask, and the fewest
+#: candidates that a query meets.
+TARGET, ASKING, FLOOR = 0.97, 500, 2000
 SALT, BLOCK, CHUNK = 4096, 16, 512
 #: How many standard deviations beyond its estimate a candidate's distance must lie to be abandoned.
 EPSILON = 2.1
 
 
-def valid(spark: SparkSession, vectors: DataFrame) -> DataFrame:
-    """vec_id, v of the vectors that take part."""
+def valid(vectors: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """vec_id, v of the vectors that take part. Only rows whose id may repeat are shuffled."""
     v = F.col("embedding").cast("array<double>")
     df = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     df = df.where(fine)
     sizes = df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return df.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    df = df.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    again = scratch.keep(df.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"))
+    one = common.sieve(df, again, "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return common.sieve(df, again, "vec_id", keep=False).unionByName(one)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -65,6 +73,23 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
+def lists_needed(x: np.ndarray, centres: np.ndarray, k: int, target: float = TARGET) -> int:
+    """The fewest lists, nearest first, that hold the target share of the k nearest neighbours of the first rows of x."""
+    asking = x[:ASKING]
+    square = (x**2).sum(axis=1)
+    list_of = nearest(x, centres, 1)[:, 0]
+    places = []
+    for a in range(0, len(asking), 64):
+        q = asking[a : a + 64]
+        d = square - 2 * q @ x.T
+        d[np.arange(len(q)), np.arange(a, a + len(q))] = np.inf
+        near = np.argpartition(d, min(k, len(x) - 1), axis=1)[:, :k] if len(x) > 1 else np.zeros((len(q), 0), np.int64)
+        place = np.argsort(nearest(q, centres, len(centres)), axis=1)
+        places.append(np.take_along_axis(place, list_of[near], axis=1).ravel())
+    places = np.sort(np.concatenate(places)) if places else np.zeros(0, np.int64)
+    return int(places[min(len(places) - 1, int(np.ceil(target * len(places))))]) + 1 if len(places) else 1
+
+
 def rotation(d: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
     return q * np.sign(np.diag(r))
@@ -167,27 +192,28 @@ def _probes(centres: np.ndarray, sizes: np.ndarray, n_lists: int, least_rows: in
     return probes
 
 
-def search(spark: SparkSession, vectors: DataFrame, asks, k: int = 10, probe: float = PROBE) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, asks, k: int = 10, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score. asks: the condition, on vec_id, of the rows that are queries."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    scratch, rows = common.Scratch(spark, "ann"), valid(spark, vectors)
+    scratch = common.Scratch(spark, "ann")
+    rows = valid(vectors, scratch)
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # bounded by SAMPLE
     x = _matrix(sample.column("v").combine_chunks()) if n else np.zeros((0, 1))
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # A list for every few hundred vectors, about as many as a list has rows in the end.
-    k_lists = int(min(LISTS, len(x) // 4 or 1, max(1, round(np.sqrt(n))))) if n > 2000 else 1
+    k_lists = int(min(len(x) // 4 or 1, max(1, round(np.sqrt(n)))))
     centres = kmeans(x, k_lists)
+    n_lists = lists_needed(x, centres, k, target)
     turn = rotation(x.shape[1])
 
     listed = scratch.keep(rows.mapInArrow(_listed(centres), "vec_id long, v array<double>, list int"))
-    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
+    counts = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
     sizes = np.array([counts.get(i, 0) for i in range(k_lists)])
     parts = F.element_at(F.array(*(F.lit(int(-(-s // SALT)) or 1) for s in sizes)), F.col("list") + 1)
     kept = listed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).withColumn("asks", F.lit(False))
-    n_lists = max(LEAST_LISTS, int(np.ceil(probe * k_lists)))
-    asked = listed.where(asks).select("vec_id", "v").mapInArrow(_probes(centres, sizes, n_lists, LEAST_ROWS), "vec_id long, v array<double>, lists array<int>")
+    asked = listed.where(asks).select("vec_id", "v").mapInArrow(_probes(centres, sizes, n_lists, FLOOR), "vec_id long, v array<double>, lists array<int>")
     asked = asked.select("vec_id", "v", F.explode("lists").alias("list"))
     asked = asked.select("vec_id", "v", "list", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("asks"))
     met = kept.select("list", "part", "asks", "vec_id", "v").unionByName(asked)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none, as in tests, one of our own."""
+    """The folder all executors share. Where the session names none, one of our own, but on a local master alone."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="skein-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -136,19 +139,32 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+#: Tokens of more bytes are hashed one by one.
+LONG_TOKEN = 256
+
+
 def hash_tokens(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end] that depends on those bytes alone."""
+    """A 64-bit hash of each data[start:end] that depends on those bytes alone.
+
+    Eight bytes at a time go into a state that is mixed through after each of them, so the hash is no polynomial of the
+    bytes: sums that cancel out for two tokens of one hash have no place in it.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = len(data)
-    letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-    total = np.zeros(n + 1, np.uint64)
-    x = letters[data]
-    x *= powers(BASE, n)
-    np.cumsum(x, out=total[1:])
-    low, high = powers(UNBASE, 1 << 16), powers(pow(UNBASE, 1 << 16, 1 << 64), (n >> 16) + 1)
-    out = (total[ends] - total[starts]) * low[starts & 0xFFFF] * high[starts >> 16]
-    return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    rows, at = np.flatnonzero((size > 0) & (size <= LONG_TOKEN)), 0
+    while len(rows):
+        left = np.minimum(size[rows] - at, 8).astype(np.uint64)
+        block = eight[starts[rows] + at] << (np.uint64(64) - (left << np.uint64(3)))  # bytes behind the token shifted out
+        out[rows] = mix(out[rows] ^ block)
+        at += 8
+        rows = rows[size[rows] > at]
+    for i in np.flatnonzero(size > LONG_TOKEN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

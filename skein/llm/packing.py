@@ -11,8 +11,9 @@ many documents there are. Pieces take their places by their rank among the piece
 (length, hash bucket), so a length that a third of all pieces have is ranked by many tasks.
 
 Tokens: a text is split at ASCII blanks, which no token of this vocabulary crosses, and each worker keeps the ids of the
-units it has met, by 64-bit hashes of their bytes. A null text is empty: its only id is the end id. Rows that repeat an id are packed each; rows with a
-null doc_id take no part.
+units it has met, by 64-bit hashes of their bytes; the bytes are kept and compared, so units of one hash are told apart.
+A null text is empty: its only id is the end id. Rows that repeat an id are packed each; rows with a null doc_id take no
+part. In the pipeline, fullness decides which pieces share a sequence, not the positions that the mix gave them.
 """
 
 from __future__ import annotations
@@ -40,12 +41,30 @@ PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 lo
 _tokenizers: dict = {}
 
 
+class Pool:
+    """Pieces of one long array that doubles as it fills."""
+
+    def __init__(self, kind: str):
+        self.flat, self.used = np.zeros(1 << 20, kind), 0
+
+    def add(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece begins, and how many values it has."""
+        n = np.array([len(x) for x in pieces], np.int64) // self.flat.itemsize
+        new = np.frombuffer(b"".join(pieces), self.flat.dtype)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(new)] = new
+        at = self.used + np.cumsum(n) - n
+        self.used += len(new)
+        return at, n
+
+
 class Cache:
-    """Ids of units by the units' 64-bit hashes, in arrays: a few dozen bytes a unit."""
+    """Ids of units, and the units' own bytes, by the units' 64-bit hashes, in arrays: a few dozen bytes a unit."""
 
     def __init__(self):
-        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+        self.hashes, self.ids, self.bytes = np.zeros(0, np.uint64), Pool("<u4"), Pool("u1")
+        self.at, self.n, self.text_at, self.text_n = (np.zeros(0, np.int64) for _ in range(4))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each hash stands or would stand, and whether it is there."""
@@ -53,16 +72,24 @@ class Cache:
         near = np.minimum(i, max(len(self.hashes) - 1, 0))
         return i, self.hashes[near] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
-    def add(self, where: np.ndarray, hashes: np.ndarray, ids: list[bytes]) -> None:
+    def add(self, where: np.ndarray, hashes: np.ndarray, units: list[bytes], ids: list[bytes]) -> None:
         """hashes: in order, none of them known."""
-        n = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        at = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
-        self.used += len(flat)
-        self.hashes, self.at, self.n = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.hashes = np.insert(self.hashes, where, hashes)
+        columns = zip(("at", "n", "text_at", "text_n"), (*self.ids.add(ids), *self.bytes.add(units)), strict=True)
+        for name, values in columns:
+            setattr(self, name, np.insert(getattr(self, name), where, values))
+
+    def strangers(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The units data[start:end] whose bytes are not those of the entry that has their hash."""
+        size = ends - starts
+        alike = self.text_n[entry] == size
+        rows = np.flatnonzero(alike)
+        n = size[rows]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = self.bytes.flat[np.repeat(self.text_at[entry[rows]], n) + step] == data[np.repeat(starts[rows], n) + step]
+        if not same.all():
+            alike[rows[np.repeat(np.arange(len(rows)), n)[~same]]] = False
+        return np.flatnonzero(~alike)
 
 
 _caches: dict[str, Cache] = {}
@@ -147,11 +174,19 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if not known.all():
         whole = data.tobytes()
         new = np.flatnonzero(~known)
-        cache.add(where[new], unique[new], _learnt([whole[starts[i] : ends[i]].decode() for i in first[new]], path))
+        units = [whole[starts[i] : ends[i]] for i in first[new]]
+        cache.add(where[new], unique[new], units, _learnt([u.decode() for u in units], path))
         where, _ = cache.find(unique)
-    n, begin = cache.n[where][inverse], cache.at[where][inverse]
+    entry = where[inverse]
+    n, begin, pool = cache.n[entry], cache.at[entry], cache.ids.flat
+    strange = cache.strangers(entry, data, starts, ends)
+    if len(strange):  # another unit has their hash: their ids stand behind the pool, for this batch
+        ids = _learnt([data[starts[i] : ends[i]].tobytes().decode() for i in strange], path)
+        n[strange] = [len(x) // 4 for x in ids]
+        begin[strange] = cache.ids.used + np.cumsum(n[strange]) - n[strange]
+        pool = np.concatenate([pool[: cache.ids.used], np.frombuffer(b"".join(ids), "<u4")])
     total = np.concatenate([[0], np.cumsum(n)])
-    ids = cache.pool[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+    ids = pool[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
     return ids, total[np.concatenate([[0], np.cumsum(counts)])]
 
 
