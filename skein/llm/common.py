@@ -41,6 +41,12 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{name}{i or ''}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no label may be learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -64,10 +70,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *folders: str) -> DataFrame:
+        """df, written and to be read anew. folders: columns by whose values the files lie in folders."""
         self.n += 1
         path = f"{self.at}/t{self.n}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.skein_path = path
         return kept
@@ -204,8 +211,9 @@ def sieve(df: DataFrame, ids: DataFrame, *keys: str, keep: bool = True) -> DataF
     A filter of at most FILTER_PLACES rows, whatever the size of ids: every row that has a match is kept, few others are
     as long as ids is small, and the join that follows then moves no more than those.
     """
-    marks = ids.select(place(*keys).alias("_skein_place")).distinct()
-    return df.withColumn("_skein_place", place(*keys)).join(F.broadcast(marks), "_skein_place", "left_semi" if keep else "left_anti").drop("_skein_place")
+    at = unused(df, "_place")
+    marks = ids.select(place(*keys).alias(at)).distinct()
+    return df.withColumn(at, place(*keys)).join(F.broadcast(marks), at, "left_semi" if keep else "left_anti").drop(at)
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import exactdedup, graph, ngramjoin, suffixdedup
@@ -13,13 +14,54 @@ from tests.llm.fixtures import corpus, documents, with_id
 ROWS = with_id(corpus())
 
 
-def test_directory_doubles_where_a_bucket_is_overfull():
-    counts = np.zeros(1 << 16, np.int64)
-    counts[:4] = 10
-    d = exactdedup.Directory(capacity=15).fill(counts)
-    assert d.depth == 16 and len(d.slots()) == 1 << 16
-    assert len(d.buckets) == 18  # one split at each depth, and two keys' worth in the last
-    assert exactdedup.Directory(capacity=1000).fill(counts).slots() == [0]
+def test_directory_doubles_where_a_bucket_is_as_deep():
+    d = exactdedup.Directory(capacity=1, depth=1)
+    d.split([(1, 0)])
+    assert d.depth == 2 and d.buckets == [(2, 0), (2, 1), (1, 1)]
+    d.split([(1, 1)])  # less deep than the directory: no doubling
+    assert d.depth == 2 and len(d.buckets) == 4
+    assert [d.bucket(k << 62) for k in range(4)] == [0, 1, 2, 3]
+
+
+def test_index_buckets_hold_their_ranges_and_no_more(spark):
+    """Keys crowd under one prefix of 40 bits; one key stands in more entries than a bucket holds."""
+    keys = [(1 << 63) + i for i in range(64)] + [k << 55 for k in range(1, 100)] + [7] * 50
+    rows = [(i, f"s{i}", k - (1 << 64) if k >> 63 else k) for i, k in enumerate(keys)]
+    reps = spark.createDataFrame(rows, "copy_of long, copy_sha string, key long")
+    directory, index = exactdedup.build_index(spark, reps, Scratch(spark, "test"), capacity=8)
+    assert sorted((r["copy_of"], r["copy_sha"], r["key"]) for r in index.collect()) == sorted(rows)
+    held = collections.defaultdict(list)
+    for r in index.collect():
+        held[r["start"] % 2**64, r["depth"]].append(r["key"] % 2**64)
+    for (start, depth), inside in held.items():
+        assert directory.buckets[directory.bucket(inside[0])] == (depth, start >> (64 - depth) if depth else 0)
+        assert all(k >> (64 - depth) == start >> (64 - depth) for k in inside if depth)
+        assert len(inside) <= 8 or len(set(inside)) == 1
+    assert max(directory.buckets)[0] == directory.depth == 61
+
+
+@pytest.mark.parametrize("capacity, chain", [(4, 2), (1 << 15, 4096)])
+def test_exact_dedup_through_small_buckets_and_long_chains(spark, capacity, chain, monkeypatch):
+    monkeypatch.setattr(exactdedup, "REMEMBERED", 0)
+    rows = [(i, f"text {i % 7}" + " " * (i % 5)) for i in range(150)] + [(200 + i, f"own {i}") for i in range(40)]
+    got = exactdedup.copies(spark, documents(spark, rows).repartition(9), capacity, chain).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t.replace(" ", "")].append((-len(t), i))
+    want = sorted((i, min(m)[1], len(m), i == min(m)[1]) for m in groups.values() for _, i in m)
+    assert sorted(tuple(r)[:4] for r in got) == want
+
+
+def test_a_directory_that_sends_keys_astray_loses_copies(spark, monkeypatch):
+    rows = [(i, "the same") for i in range(40)]
+    real = exactdedup._routed
+    monkeypatch.setattr(exactdedup, "REMEMBERED", 0)
+    monkeypatch.setattr(exactdedup, "_routed", lambda starts, depths: real(np.array([0], np.uint64), depths))
+    docs = documents(spark, rows).repartition(8)
+    assert exactdedup.copies(spark, docs).where("kept").count() == 1
+    spread = lambda batches: (pa.RecordBatch.from_arrays([*b.columns, b.column("copy_of"), pa.array([0] * b.num_rows, pa.int32())], names=[*b.schema.names, "start", "depth"]) for b in batches)
+    monkeypatch.setattr(exactdedup, "_routed", lambda starts, depths: spread)
+    assert exactdedup.copies(spark, docs).where("kept").count() > 1
 
 
 def test_exact_dedup_equals_brute_force(spark):
@@ -35,11 +77,15 @@ def test_exact_dedup_equals_brute_force(spark):
 
 
 def test_keys_that_collide_are_told_apart_by_their_bytes():
-    import pyarrow as pa
-
-    rows = pa.record_batch([pa.array([7, 7, 7]), pa.array([1, 2, 3]), pa.array(["a", "b", "c"]), pa.array([b"x", b"y", b"x"])], names=["key", "copy_of", "copy_sha", "body"])
+    rows = pa.record_batch([pa.array([0] * 3), pa.array([7] * 3), pa.array([0] * 3), pa.array([1, 2, 3]), pa.array(["a", "b", "c"]), pa.array([b"x", b"y", b"x"])], names=["start", "key", "part", "copy_of", "copy_sha", "body"])
     (out,) = exactdedup._chains([rows])
-    assert out.column("head").to_pylist() == ["1:a", "2:b", "1:a"]
+    assert out.column("head_of").to_pylist() == [1, 2, 1] and out.column("body").to_pylist() == [b"x", b"y", None]
+
+
+def test_exact_dedup_stage_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "kept text"), (1, "an other"), (2, "an other, no"), (3, "an  other"), (4, "kept  text "), (4, "alone"), (4, "alone")]
+    out = exactdedup.stage(spark, documents(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, out)) == sorted([(4, "kept  text "), (4, "alone"), (3, "an  other"), (2, "an other, no")])
 
 
 def test_exact_dedup_stage_keeps_columns(spark):

@@ -4,11 +4,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from skein.llm import mixing, packing
+from skein.llm import common, mixing, packing
 from tests.llm.fixtures import corpus, documents, with_id
 
 ROWS = with_id(corpus())
@@ -55,6 +56,20 @@ def test_mix_of_nothing_and_of_empty_texts(spark):
     assert [(r["size"], r["taken"]) for r in got] == [(0, 0), (0, 0)]
 
 
+def test_mix_stage_gives_each_source_its_target(spark):
+    """Rows that repeat an id, or all of a row; columns of the names that the operator works with."""
+    rows = [(i, f"w{i} " * (i % 40), f"s{i % 3}", i) for i in range(90)] + [(5, "an other text of one id", "s0", 1), (7, "w7 " * 7, "s1", 7), (7, "w7 " * 7, "s1", 7), (200, None, None, 0)]
+    docs = spark.createDataFrame([(i, t, s, n, n, n, n) for i, t, s, n in rows], "doc_id long, text string, source string, size long, s long, _at long, _draw long")
+    drawn = mixing.mix(spark, docs, row=F.xxhash64("text")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    words: dict = {}
+    for r in out.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len((r["text"] or "").split())
+    for r in drawn:
+        assert words.get(r["source"], 0) == r["taken"] and abs(r["taken"] - r["target"]) <= 1
+
+
 def test_curriculum_order_follows_the_schedules(spark):
     docs = spark.createDataFrame([(i, "w " * 10, f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
     mean = {}
@@ -133,6 +148,24 @@ def test_tokens_equal_the_tokenizer_s(texts):
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary())
+    plain = "a"
+    for _ in range(11):
+        plain += plain.translate(str.maketrans("ab", "ba"))
+    pair = [plain, plain.translate(str.maketrans("ab", "ba"))]
+    same = lambda texts: [ids[at[i] : at[i + 1]].tolist() for ids, at in [packing.token_ids(pa.array(texts), packing.vocabulary())] for i in range(len(texts))]
+    assert same(pair) == [t.encode(x, add_special_tokens=False).ids for x in pair]
+    real = common.hash_tokens
+    monkeypatch.setattr(common, "hash_tokens", lambda *a: real(*a) % np.uint64(5))
+    monkeypatch.setattr(packing, "_caches", {})
+    texts = ["the quick brown fox jumps, over the lazy dog.", "zebras cross again and again", "x y z the fox"]
+    for _ in range(2):
+        assert same(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
