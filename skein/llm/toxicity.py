@@ -3,14 +3,17 @@
 Four small transducers read a clause word by word: one for insults and threats (which word hits), one for targets (is
 somebody addressed), one for negation and one for reported speech (does the clause, or a quotation mark, hand the words
 to someone else). Their composition runs them side by side over one reading of the clause and emits one of a few clause
-patterns, such as "insult at a target" or "negated insult"; a hit outside a pattern scores nothing.
+patterns, such as "insult at a target" or "negated insult"; a hit outside a pattern scores nothing. Clauses alone are
+scored, by how many there are of each pattern and how large a share of the text they are.
 
 Insult stems and words are learnt from labelled rows. A greedy cover takes, again and again, the word or word beginning
 that explains most toxic texts not yet explained, among those seen hardly ever in clean texts, so that the other words of
 copied toxic texts are not taken along. A beginning that clean texts show too, but hardly ever twice, is taken as a weak
-stem: it is a hit like others, counted apart. General lists of insults and threats stand beside the learnt ones. The
-weights of the clause patterns, and of how many and how dense the hits are, are fitted to labelled rows by logistic
-regression, so a pattern counts as much as the labels say.
+stem, whose clauses have patterns of their own. General lists of insults and threats stand beside the learnt ones.
+
+Weights are fitted to labelled rows by logistic regression over steps: negated, reported, plain, at a target, each step
+the clauses of that rank or a higher one. No step's weight may fall below STEP, so whatever the labels say a plain insult
+weighs more than a reported one, that more than a negated one, and an insult at somebody the most.
 
 Fitted on at most SAMPLE labelled rows with crc32(doc_id) mod 5 <> 0, in the order of a hash of their ids; labels, lang,
 source and doc_id are no inputs of a score. Whole texts are read in Arrow batches. Empty and null texts have no clause
@@ -35,8 +38,8 @@ from skein.llm.quality import SAMPLE, labelled
 THRESHOLD = 0.5
 #: Lengths, in bytes, of the word beginnings that are tried as stems.
 STEMS = (4, 5, 6, 7, 8)
-#: The most candidates kept for the cover, and the most stems and words it takes.
-CANDIDATES, LEARNT = 60_000, 400
+#: The least weight of a step from one rank of patterns to the next.
+STEP = 0.05
 
 # General words, whole and lower-cased.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumbass bastard asshole retard arschloch wichser dummkopf trottel connard salaud abruti gilipollas pendejo".split()
@@ -46,9 +49,10 @@ TARGETS = "you your yours yourself u he she they them him her his their these th
 NEGATIONS = "not no never isn't aren't don't without nicht kein keine nie pas jamais nunca".split()
 REPORTS = "said says wrote told claimed quoted called reported sagte schrieb dit disait écrit dijo escribió".split()
 
-#: What is counted beside the clause patterns.
-COUNTS = ("strong", "weak", "weak_2", "weak_3", "density")
-PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported", "several", "threat", "threat_target", "threat_negated", "threat_reported")
+#: How a clause of a kind can stand, each rank weighing more than the one before.
+RANKS = ("negated", "reported", "plain", "target")
+KINDS = ("insult", "weak", "threat")
+PATTERNS = tuple(f"{k}_{r}" for k in KINDS for r in RANKS) + ("several",)
 
 
 @dataclass
@@ -62,11 +66,12 @@ class Transducer:
         return self.moves.get((state, symbol), state)
 
 
-#: Counts hits up to two; a threat needs a word of intent before it, or counts as a plain word.
-HITS = Transducer({(0, "insult"): 1, (1, "insult"): 2, (3, "insult"): 1, (4, "insult"): 1, (0, "intent"): 3, (3, "threat"): 4})
+#: Counts hits up to two; a threat needs a word of intent before it, or counts as a plain word. 5: a weak hit; 6: a weak hit,
+#: then a word of intent; two weak hits make an insult.
+HITS = Transducer({(0, "insult"): 1, (1, "insult"): 2, (3, "insult"): 1, (4, "insult"): 1, (5, "insult"): 1, (6, "insult"): 1, (0, "intent"): 3, (5, "intent"): 6, (3, "threat"): 4, (6, "threat"): 4, (0, "weak"): 5, (3, "weak"): 5, (5, "weak"): 1, (6, "weak"): 1, (1, "weak"): 2})
 TARGET = Transducer({(0, "target"): 1})
 #: A negation governs what follows it until the next hit.
-NEGATION = Transducer({(0, "negation"): 1, (0, "insult"): 2, (0, "threat"): 2, (1, "insult"): 3, (1, "threat"): 3})
+NEGATION = Transducer({(0, "negation"): 1} | {(s, hit): s + 2 for s in (0, 1) for hit in ("insult", "weak", "threat")})
 REPORTED = Transducer({(0, "report"): 1, (0, "quote"): 1})
 
 
@@ -90,15 +95,15 @@ _grammar = compose(HITS, TARGET, NEGATION, REPORTED)
 
 
 def pattern(symbols: Iterable[str]) -> str | None:
+    """The clause's pattern. Two hits stand as "several" beside an insult at a target, which they count as too."""
     hits, target, negated, reported = _grammar(symbols)
-    kind = {1: "insult", 2: "insult", 4: "threat"}.get(hits)
+    kind = {1: "insult", 2: "several", 4: "threat", 5: "weak", 6: "weak"}.get(hits)
     if kind is None:
         return None
-    if reported:
-        return f"{kind}_reported"
-    if negated == 3:
-        return f"{kind}_negated"
-    return "several" if hits == 2 else f"{kind}_target" if target else kind
+    rank = "negated" if negated == 3 else "reported" if reported else "target" if target else "plain"
+    if kind == "several":
+        return kind if rank in ("target", "plain") else f"insult_{rank}"
+    return f"{kind}_{rank}"
 
 
 @dataclass
@@ -108,9 +113,12 @@ class Lexicon:
     weak: set[bytes] = field(default_factory=set)
 
     def symbol(self, word: bytes) -> str | None:
-        if word in self.words or any(word[:n] in self.stems or word[:n] in self.weak for n in STEMS):
-            return "insult"
-        return _SYMBOLS.get(word)
+        known = _SYMBOLS.get(word)
+        if known is None or known == "insult":
+            if known or word in self.words or any(word[:n] in self.stems for n in STEMS):
+                return "insult"
+            return "weak" if any(word[:n] in self.weak for n in STEMS) else None
+        return known
 
 
 _SYMBOLS = {w.encode(): s for s, ws in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("intent", INTENT), ("threat", THREATS), ("insult", INSULTS)) for w in ws}
@@ -141,8 +149,14 @@ def letter_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def clause_counts(text: bytes, lexicon: Lexicon) -> Counter:
     """How many clauses of a lower-cased text have each pattern."""
+    return counted_clauses(text, lexicon)[0]
+
+
+def counted_clauses(text: bytes, lexicon: Lexicon) -> tuple[Counter, int]:
+    """How many clauses have each pattern, and how many there are that aren't blank."""
     out: Counter = Counter()
-    for clause in _CLAUSE.split(text):
+    clauses = [c for c in _CLAUSE.split(text) if c.strip()]
+    for clause in clauses:
         symbols = []
         for word in _WORD.findall(_QUOTE.sub(b'"', clause)):
             symbol = "quote" if word == b'"' else lexicon.symbol(word)
@@ -150,7 +164,27 @@ def clause_counts(text: bytes, lexicon: Lexicon) -> Counter:
                 symbols.append(symbol)
         if symbols and (found := pattern(symbols)):
             out[found] += 1
-    return out
+    return out, len(clauses)
+
+
+def steps(n: Counter, clauses: int) -> list[float]:
+    """What is weighed: for each kind and rank the clauses of that rank or a higher one; texts of several hits in a clause;
+    of two, and of three weak clauses or more; and the share that clauses neither negated nor reported are of the text."""
+    out = []
+    for kind in KINDS:
+        at_least = n["several"] if kind == "insult" else 0
+        row = []
+        for rank in reversed(RANKS):
+            at_least += n[f"{kind}_{rank}"]
+            row.append(at_least)
+        out += [float(np.log1p(x)) for x in reversed(row)]
+    weak = n["weak_plain"] + n["weak_target"]
+    said = sum(n[f"{kind}_{rank}"] for kind in KINDS for rank in ("plain", "target")) + n["several"]
+    return [*out, float(np.log1p(n["several"])), float(weak > 1), float(weak > 2), float(np.log1p(100 * max(said - 1, 0) / (clauses + 2)))]
+
+
+#: How many numbers steps() gives.
+WIDTH = len(steps(Counter(), 0))
 
 
 def _hash(words: Iterable[bytes]) -> np.ndarray:
@@ -166,11 +200,11 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _vectors(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """For each text, log(1 + clauses) of each pattern, then COUNTS. Texts without a word that could hit are passed over."""
+    """steps() of each text, and how many clauses have a pattern. Texts without a word that could hit are passed over."""
     raw, at = common.utf8(column)
     data = lowered(raw)
     n_texts = len(at) - 1
-    out = np.zeros((n_texts, len(PATTERNS) + len(COUNTS)))
+    out = np.zeros((n_texts, WIDTH + 1))
     starts, ends, text_of = letter_runs(data, at)
     hit = _among(common.hash_tokens(data, starts, ends), _hash(lexicon.words | {w for w, s in _SYMBOLS.items() if s in ("insult", "threat")}))
     weak = np.zeros(len(hit), bool)
@@ -179,13 +213,9 @@ def _vectors(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         begins = common.hash_tokens(data, starts[long], starts[long] + n)
         hit[long] |= _among(begins, _hash(s for s in lexicon.stems if len(s) == n))
         weak[long] |= _among(begins, _hash(s for s in lexicon.weak if len(s) == n))
-    weak &= ~hit
-    n_words, n_hits, n_weak = (np.bincount(x, minlength=n_texts) for x in (text_of, text_of[hit], text_of[weak]))
-    counts = (np.log1p(n_hits), np.log1p(n_weak), n_weak >= 2, n_weak >= 3, np.log1p(1000 * np.maximum(n_hits + n_weak - 1, 0) / (n_words + 20)))
-    out[:, len(PATTERNS) :] = np.stack(counts, axis=1)
     for i in np.unique(text_of[hit | weak]).tolist():
-        for name, n in clause_counts(data[at[i] : at[i + 1]].tobytes(), lexicon).items():
-            out[i, PATTERNS.index(name)] = np.log1p(n)
+        n, clauses = counted_clauses(data[at[i] : at[i + 1]].tobytes(), lexicon)
+        out[i] = [*steps(n, clauses), n.total()]
     return out
 
 
@@ -204,16 +234,20 @@ def _toxic_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(terms), pa.int64()), pa.array(list(terms), pa.binary())], names=["doc_id", "term"])
 
 
-def _counted(known: set[bytes]):
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            raw, at = common.utf8(batch.column("text"))
-            for terms in _terms(lowered(raw), at):
-                total.update(terms & known)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: Counter = Counter()
+    for batch in batches:
+        raw, at = common.utf8(batch.column("text"))
+        for terms in _terms(lowered(raw), at):
+            total.update(terms)
+        if len(total) > 200_000:  # a part of the counts; they are summed later
+            yield _counts(total)
+            total = Counter()
+    yield _counts(total)
+
 
-    return counted
+def _counts(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
 
 def impure(term: bytes) -> float:
@@ -222,11 +256,12 @@ def impure(term: bytes) -> float:
 
 
 def cover(toxic: dict[bytes, set[int]], clean: dict[bytes, int], n_toxic: int, n_clean: int) -> Lexicon:
-    """Greedy: the purest and widest term first, until what is left explains fewer than two texts."""
+    """Greedy: the purest and widest term first, until what is left explains fewer than two texts, so at most half as many
+    terms as texts are taken."""
     left, taken = set().union(*toxic.values()) if toxic else set(), Lexicon()
     pure = {t: len(ids) for t, ids in toxic.items() if clean.get(t, 0) / max(n_clean, 1) <= impure(t) * len(ids) / max(n_toxic, 1)}
     least = 2 if n_toxic < 200 else 3
-    while left and len(taken.words) + len(taken.stems) < LEARNT:
+    while left:
         # A whole word is preferred to a beginning that explains no more, a long beginning to a shorter one.
         best = max(pure, key=lambda t: (len(toxic[t] & left) - (0.5 if t[-2:] == b"**" else 3) * clean.get(t, 0), t[-1:] != b"*", t[-2:] != b"**", len(t), t), default=None)
         if best is None or len(toxic[best] & left) < least:
@@ -237,18 +272,29 @@ def cover(toxic: dict[bytes, set[int]], clean: dict[bytes, int], n_toxic: int, n
     return taken
 
 
-def newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Logistic regression; the last weight is the offset, which alone goes unpenalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-4
+def bounded_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 100) -> np.ndarray:
+    """Logistic regression whose weights stay at STEP or above; the last one is the offset, which has no bound or penalty.
+
+    One coordinate at a time, by Newton steps; rows that are alike are weighed together.
+    """
+    rows, inverse = np.unique(x, axis=0, return_inverse=True)
+    n, ones = np.bincount(inverse.ravel(), minlength=len(rows)), np.bincount(inverse.ravel(), y, minlength=len(rows))
+    rows = np.hstack([rows, np.ones((len(rows), 1))])
+    w = np.full(rows.shape[1], STEP)
+    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    z = rows @ w
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -2, 2)
-        if abs(step).max() < 1e-8:
+        moved = 0.0
+        for j in range(len(w)):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            penalty, column = (0.0 if j == len(w) - 1 else ridge), rows[:, j]
+            g = column @ (n * p - ones) + penalty * w[j]
+            h = (column**2) @ (n * p * (1 - p)) + penalty + 1e-6
+            new = w[j] - np.clip(g / h, -1, 1)
+            new = new if j == len(w) - 1 else max(new, STEP)
+            z += column * (new - w[j])
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved < 1e-6:
             break
     return w
 
@@ -262,7 +308,8 @@ class Model:
 def _measured(lexicon: Lexicon):
     def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(_vectors(batch.column("text"), lexicon)), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            x = _vectors(batch.column("text"), lexicon)[:, :WIDTH]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     return measured
 
@@ -272,26 +319,25 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     scratch = common.Scratch(spark, "toxicity")
     known = scratch.keep(labelled(docs, labels, "toxic", sample))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    # Whatever stands in two toxic texts at least, the most frequent first; both tables are bounded by the sample.
+    # Whatever stands in two toxic texts at least; all of it is bounded by the sample.
     terms = scratch.keep(known.where("label = 1").mapInArrow(_toxic_terms, "doc_id long, term binary").dropDuplicates())
-    often = terms.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    candidates = {bytes(r["term"]) for r in often.collect()}
-    clean = {bytes(r["term"]): r["n"] for r in known.where("label = 0").mapInArrow(_counted(candidates), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    often = terms.groupBy("term").agg(F.count("*").alias("toxic")).where("toxic > 1")
+    seen = known.where("label = 0").mapInArrow(_counted, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    often = often.join(seen, "term", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     share = max(n.get(0, 0), 1) / max(n.get(1, 0), 1)
-    pure = {t for t in candidates if clean.get(t, 0) <= impure(t) * share * n.get(1, 0)}
+    weakest = F.when(F.endswith("term", F.lit(b"**")), F.lit(impure(b"**"))).otherwise(F.lit(impure(b"")))
+    often = scratch.keep(often.where(F.col("n") <= weakest * share * F.col("toxic")))
+    clean = {bytes(r["term"]): r["n"] for r in often.select("term", "n").toLocalIterator()}
     toxic: dict[bytes, set[int]] = {}
-    wanted = spark.createDataFrame([(bytearray(t),) for t in pure], "term binary")  # at most CANDIDATES rows
-    for r in terms.join(F.broadcast(wanted), "term").groupBy("term").agg(F.collect_set("doc_id").alias("ids")).toLocalIterator():
+    for r in terms.join(often.select("term"), "term").groupBy("term").agg(F.collect_set("doc_id").alias("ids")).toLocalIterator():
         toxic[bytes(r["term"])] = set(r["ids"])
     lexicon = cover(toxic, clean, n.get(1, 0), n.get(0, 0))
     rows = known.mapInArrow(_measured(lexicon), "doc_id long, label int, x array<double>").toArrow()
-    width = len(PATTERNS) + len(COUNTS)
-    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, width)
+    x = np.array(rows.column("x").to_pylist(), float).reshape(-1, WIDTH)
     y = rows.column("label").to_numpy().astype(float)
-    x, y = np.vstack([x, np.eye(width)[: len(PATTERNS)]]), np.concatenate([y, np.ones(len(PATTERNS))])  # a pattern nobody labelled leans to toxic
-    scratch.drop(known, terms)
-    model = Model(lexicon, newton(x, y))
-    del rows, x, y, toxic, candidates, clean, pure
+    scratch.drop(known, terms, often)
+    model = Model(lexicon, bounded_fit(x, y))
+    del rows, x, y, toxic, clean
     common.release()
     return model
 
@@ -300,8 +346,8 @@ def _scored(model: Model):
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _vectors(batch.column("text"), model.lexicon)
-            score = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
-            clauses = np.rint(np.expm1(x[:, : len(PATTERNS)]).sum(axis=1)).astype(np.int64)
+            score = 1 / (1 + np.exp(-np.clip(x[:, :WIDTH] @ model.weights[:-1] + model.weights[-1], -30, 30)))
+            clauses = x[:, WIDTH].astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(clauses)], names=["doc_id", "score", "n_clauses"])
 
     return scored

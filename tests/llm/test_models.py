@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def test_coordinate_descent_separates():
 
 @pytest.mark.parametrize(
     "text, found",
-    [("you are an idiot", "insult_target"), ("idiot", "insult"), ("not an idiot", "insult_negated"), ('he said "idiot"', "insult_reported"), ("i will kill you", "threat_target"), ("they kill time", None), ("idiot and moron", "several"), ("kind words", None)],
+    [("you are an idiot", "insult_target"), ("idiot", "insult_plain"), ("not an idiot", "insult_negated"), ('he said "idiot"', "insult_reported"), ("i will kill you", "threat_target"), ("they kill time", None), ("idiot and moron", "several"), ("kind words", None)],
 )
 def test_clause_patterns(text, found):
     got = toxicity.clause_counts(text.encode(), toxicity.Lexicon())
@@ -68,7 +69,18 @@ def test_clause_patterns(text, found):
 
 
 def test_negation_ends_with_its_clause():
-    assert toxicity.clause_counts(b"this is not so. idiot", toxicity.Lexicon()) == {"insult": 1}
+    assert toxicity.clause_counts(b"this is not so. idiot", toxicity.Lexicon()) == {"insult_plain": 1}
+
+
+def test_an_insult_weighs_by_how_it_stands():
+    """Labels that say the contrary don't turn the order round, and words outside a pattern weigh nothing."""
+    texts = ["you are an idiot", "idiot", "he said idiot", "not an idiot", "kind words", "they kill time", "i will kill you", "kill was reported", "will not kill"]
+    column = pa.array(texts)
+    x = toxicity._vectors(column, toxicity.Lexicon())[:, : toxicity.WIDTH]
+    for y in ([1, 1, 0, 0, 0, 0, 1, 0, 0], [0, 0, 1, 1, 0, 0, 0, 1, 1], [1] * 9, [0] * 9):
+        w = toxicity.bounded_fit(np.repeat(x, 20, axis=0), np.repeat(y, 20).astype(float))
+        z = x @ w[:-1]
+        assert z[0] > z[1] > z[2] > z[3] > z[4] == z[5] == 0 and z[6] > z[8] and z[7] == 0
 
 
 def test_cover_leaves_out_words_of_copies():
