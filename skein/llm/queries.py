@@ -40,7 +40,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("positions")["position"].alias("positions"))
+    mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
+    first = F.try_element_at("positions", F.lit(1))["position"]
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.size("positions").cast("long").alias("draws"), F.round(first, 6).alias("first_position"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

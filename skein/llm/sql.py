@@ -12,4 +12,55 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
 """
 
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7}
+# Windows are cut from pieces of the text, as a string function walks to its place from the string's beginning.
+OP3 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
+piece AS (SELECT doc_id, k * 1000 AS base, substr(h, k * 2000 + 1, 2798) AS p
+  FROM (SELECT doc_id, h, unnest(generate_series(0, (len(h) // 2 - 400) // 1000)) AS k FROM d WHERE len(h) >= 800)),
+w AS (SELECT doc_id, base + i AS place, hash(substr(p, 2 * i + 1, 800)) AS g
+  FROM (SELECT doc_id, base, p, unnest(generate_series(0, len(p) // 2 - 400)) AS i FROM piece WHERE len(p) >= 800)),
+hit AS (SELECT doc_id, place FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+marked AS (SELECT doc_id, place, CASE WHEN place - lag(place) OVER x <= 400 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW x AS (PARTITION BY doc_id ORDER BY place)),
+island AS (SELECT doc_id, place, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS nth FROM marked),
+span AS (SELECT doc_id, min(place) AS a, max(place) + 400 AS b FROM island GROUP BY doc_id, nth),
+cut AS (SELECT doc_id, a, b, substr(h, 2 * before + 1, 2 * (a - before)) AS kept
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span) JOIN d USING (doc_id)),
+total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY a) AS kept, max(b) AS rest FROM cut GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id)
+"""
+
+OP8 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS nth FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][nth] AS DOUBLE) AS weight, CAST([-0.5, 0, 0.5][nth] AS DOUBLE) AS lean, CAST(2 AS DOUBLE) * source_size AS most FROM s),
+l AS (SELECT *, most / weight AS ratio, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
+t AS (SELECT source AS s, source_size, lean, coalesce(least(most, max(CASE WHEN level <= ratio THEN level END) OVER () * weight), most) AS target FROM l),
+e AS (SELECT d.*, source_size, lean, target, CAST(round(target) AS BIGINT) AS owed, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON source IS NOT DISTINCT FROM s),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN owed // source_size ELSE 0 END AS passes FROM e),
+r AS (SELECT *, greatest(0, least(size, owed - passes * source_size - before)) AS last FROM p),
+f AS (SELECT *, CASE WHEN passes > 0 AND size > 0 THEN (before + size / 2) / target WHEN last > 0 THEN (passes * source_size + before + last / 2) / target END AS place FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target, CAST(passes * size + last AS BIGINT) AS taken,
+  CAST(CASE WHEN size > 0 THEN passes ELSE 0 END + CASE WHEN last > 0 THEN 1 ELSE 0 END AS BIGINT) AS draws,
+  round(CASE WHEN lean = 0 THEN place ELSE (lean - 1 + sqrt((1 - lean) * (1 - lean) + 4 * lean * place)) / (2 * lean) END, 6) AS first_position
+FROM f
+"""
+
+OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE doc_id IS NOT NULL),
+x AS MATERIALIZED (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_sort(list_distinct(list_transform(generate_series(1, len(words) - 4), lambda i: array_to_string(words[i : i + 4], ' '))))
+  WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE CAST([] AS VARCHAR[]) END AS shingles FROM w),
+g AS MATERIALIZED (SELECT min(doc_id) AS node, shingles, len(shingles) AS n FROM x WHERE len(shingles) > 0 GROUP BY shingles),
+u AS MATERIALIZED (SELECT node, n, unnest(shingles) AS shingle FROM g),
+link AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+either_way AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT node, node AS other FROM g UNION SELECT reach.node, b FROM reach JOIN either_way ON a = other),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(x.shingles) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM x LEFT JOIN (SELECT shingles, component_id FROM g JOIN least USING (node)) USING (shingles)
+"""
+
+ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3, "op7_exact_dedup": OP7, "op8_mix": OP8, "op10_ngram_join": OP10}

@@ -168,10 +168,20 @@ def test_ngram_join_equals_brute_force(spark):
     assert set(map(tuple, got)) == brute_components(ROWS)
 
 
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    plain = "a"
+    for _ in range(11):
+        plain += plain.translate(str.maketrans("ab", "ba"))
+    pair = [plain, plain.translate(str.maketrans("ab", "ba"))]
+    rows = [(i, " ".join([w] * 5)) for i, w in enumerate(pair)]
+    assert set(map(tuple, ngramjoin.near_duplicates(spark, documents(spark, rows)).collect())) == {(0, 1, 0), (1, 1, 1)}
+
+
 def test_ngram_join_with_frequent_shingles_and_wide_entries(spark, monkeypatch):
     """Many members of one group, far apart from one another, and texts of little but shared sentences."""
     monkeypatch.setattr(ngramjoin, "NARROW", 4)
     monkeypatch.setattr(ngramjoin, "MEMBERS", 16)
+    monkeypatch.setattr(ngramjoin, "LIST", 5)
     rng = random.Random(5)
     words = [f"v{i}" for i in range(300)]
     base, lines = rng.choices(words, k=60), [" ".join(rng.choices(words, k=9)) for _ in range(6)]
