@@ -168,6 +168,21 @@ def test_licence_scan_equals_the_driver_version(spark):
     assert licence.scan(spark, docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, family",
+    [("GNU General Public License v2 only", "gpl-2.0"), ("Redistributions of source code must retain the above copyright notice", "bsd"), ("THE SOFTWARE IS PROVIDED AS IS", "mit"), ("ISC License", "isc"), ("Eclipse Public License 2.0", "epl-2.0"), ("distributed under the terms of the MIT license, see below", "mit"), ("the law on public works of art", "unknown")],
+)
+def test_notices_in_other_words(spark, text, family):
+    assert licence.classify(text)[0] == family
+    got = [r["family"] for r in licence.scan(spark, documents(spark, [(1, text)])).collect()]
+    assert got == ([family] if family != "unknown" else [])
+
+
+def test_calibration_texts_are_told_from_one_another():
+    right = [licence.classify(t)[0] == f for f, ts in licence.VARIANTS.items() for t in ts]
+    assert sum(right) >= 0.9 * len(right) and not any(licence.classify(t)[0] != "unknown" for t in licence.UNSEEN)
+
+
 @pytest.mark.parametrize("family", list(licence.TEMPLATES))
 def test_templates_are_recognised(family):
     assert all(licence.classify(t)[0] == family for t in licence.TEMPLATES[family])
