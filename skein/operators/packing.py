@@ -124,3 +124,10 @@ def fit_errors(items: DataFrame, errors: DataFrame, budget: int) -> DataFrame:
     order = Window.partitionBy("task_id").orderBy("file", "line", "message")
     cost = F.sum(T.token_count(line)).over(order.rowsBetween(Window.unboundedPreceding, 0)) + T.token_count(F.lit(R.DIAGNOSTICS))
     return hit.withColumn("cost", cost.cast("bigint")).where(F.col("cost") <= budget - F.col("used")).select("task_id", "file", "line", "message", "cost")
+
+
+def totals(items: DataFrame, errors: DataFrame, budget: int) -> DataFrame:
+    """(task_id, tokens, budget) of packs: what was spent, the overhead, and the diagnostics that fitted."""
+    notes = errors.groupBy("task_id").agg(F.max("cost").alias("_notes"))
+    used = items.groupBy("task_id").agg(F.max(F.col("spent") + F.col("overhead")).cast("long").alias("tokens"))
+    return used.join(notes, "task_id", "left").select("task_id", (F.col("tokens") + F.coalesce("_notes", F.lit(0).cast("long"))).alias("tokens"), F.lit(budget).alias("budget"))

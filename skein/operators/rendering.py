@@ -79,7 +79,15 @@ def markdown(items: DataFrame, totals: DataFrame, errors: DataFrame | None = Non
     return out.select("task_id", F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n")).alias("markdown"))
 
 
-def explain(items: DataFrame) -> DataFrame:
-    """(task_id, json): the items, in pack order, without their texts."""
-    item = F.struct("at", "id", "file", "start_line", "fidelity", "why", "tokens")
-    return items.groupBy("task_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("json"))
+def explain(items: DataFrame, totals: DataFrame, errors: DataFrame) -> DataFrame:
+    """(task_id, json): tokens and budget, the items in pack order without their texts, and the errors.
+
+    items: task_id, at, id, name, file, start_line, why, fidelity, tokens; totals: task_id, tokens, budget; errors: task_id,
+    file, line, message.
+    """
+    item = F.struct("id", "name", "file", F.col("start_line").alias("line"), "why", F.lower("fidelity").alias("fidelity"), "tokens")
+    listed = items.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    notes = errors.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("file", "line", "message"))).alias("errors"))
+    none = F.array().cast("array<struct<file:string,line:int,message:string>>")
+    out = totals.join(listed, "task_id").join(notes, "task_id", "left")
+    return out.select("task_id", F.to_json(F.struct("tokens", "budget", "items", F.coalesce("errors", none).alias("errors"))).alias("json"))

@@ -16,6 +16,7 @@ from skein.operators import retrieval as R
 from skein.operators.lineage import cut
 from skein.plans import graph_queries as GQ
 from skein.plans import index_queries as IQ
+from skein.plans import pack_sql as S
 from skein.plans import retrieval_queries as RQ
 from skein.plans import views as V
 from skein.plans.registry import query
@@ -68,52 +69,81 @@ def files_by_hit(ranked: DataFrame, symbols: DataFrame, limit: int = FILES) -> D
     return first.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit).select("task_id", "file", "rank")
 
 
-@query()
+@query(S.pack_sql(S.engine(), *S.ENGINE_VIEWS, budget=BUDGET))
 def arm_default(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d)
 
 
-@query()
+@query(S.pack_sql(S.engine(), *S.ENGINE_VIEWS, budget=BUDGET, full_share=0.0))
 def arm_all_stubs(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d, full_share=0.0)
 
 
-@query()
+@query(S.pack_sql(S.engine(penalty=1.0), *S.ENGINE_VIEWS, budget=BUDGET))
 def arm_seed_tests(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d, penalty=1.0)
 
 
-@query()
+@query(S.pack_sql(S.engine(dense=True), *S.ENGINE_VIEWS, budget=BUDGET))
 def arm_embed_seeds(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d, dense=True)
 
 
-@query()
+@query(S.pack_sql(S.engine(GQ.NONE, 400), *S.ENGINE_VIEWS, budget=BUDGET))
 def arm_seeds_only(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d, changed=GQ.NONE, n_seeds=400)
 
 
+_ABLATED = [arm for arm in GQ.ABLATIONS if arm != "default"]
+for _arm in _ABLATED:
+
+    def _ablation(spark: SparkSession, d: str, changed=GQ.ABLATIONS[_arm]) -> DataFrame:
+        return engine(spark, d, changed=changed)
+
+    query(S.pack_sql(S.engine(GQ.ABLATIONS[_arm]), *S.ENGINE_VIEWS, budget=BUDGET), name=f"arm_{_arm}")(_ablation)
+
+
+@query(S.pack_sql(S.engine(), *S.ENGINE_VIEWS, budget=BUDGET, full_share=1.0))
+def level2_engine(spark: SparkSession, d: str) -> DataFrame:
+    """The second level's arms pack bodies alone: this one, BM25, chunk_bm25_pack, and none, which gives no context."""
+    return engine(spark, d, full_share=1.0)
+
+
+@query(S.pack_sql(S.searched(600), "bm", budget=BUDGET, full_share=1.0))
+def level2_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return pack_ranked(spark, d, searched(spark, d, 600), full_share=1.0)
+
+
+@query(with_views("SELECT CAST(task_id AS VARCHAR) AS task_id, '' AS context, CAST(0 AS BIGINT) AS tokens FROM tsk", "tsk"))
+def level2_none(spark: SparkSession, d: str) -> DataFrame:
+    return V.tsk(spark, d).select(F.col("task_id").cast("string").alias("task_id"), F.lit("").alias("context"), F.lit(0).cast("long").alias("tokens"))
+
+
 @query()
 def arm_names_only(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d, edges=named_edges(spark, d))
 
 
-@query()
+@query(S.pack_sql(S.engine(), *S.ENGINE_VIEWS, budget=BUDGET, test_share=0.0))
 def arm_without_tests(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d, test_share=0.0)
 
 
-@query()
+@query(S.pack_sql(S.searched(600), "bm", budget=BUDGET, full_share=0.0))
 def arm_bm25_stubs(spark: SparkSession, d: str) -> DataFrame:
     return pack_ranked(spark, d, searched(spark, d, 600), full_share=0.0)
 
 
-@query()
+@query(S.pack_sql(S.searched(600), "bm", budget=BUDGET, full_share=0.3))
 def arm_bm25_bodies(spark: SparkSession, d: str) -> DataFrame:
     return pack_ranked(spark, d, searched(spark, d, 600), full_share=0.3)
 
 
-@query()
+_FILE_DUMP = f"""{S.searched(200).split("ranked AS")[0]}f AS (SELECT task_id, file, row_number() OVER (PARTITION BY task_id ORDER BY first, file) AS f FROM (SELECT task_id, file, min(rank) AS first FROM hit JOIN sym USING (id) GROUP BY ALL)),
+    ranked AS (SELECT task_id, id, 1.0 / f AS score, row_number() OVER (PARTITION BY task_id ORDER BY f, start_line, id) AS rank, 'file' AS why FROM f JOIN sym USING (file) WHERE f <= {FILES})"""
+
+
+@query(S.pack_sql(_FILE_DUMP, "bm", "sym", budget=BUDGET, full_share=1.0))
 def arm_file_dump(spark: SparkSession, d: str) -> DataFrame:
     s = V.sym(spark, d)
     files = files_by_hit(searched(spark, d, 200), s)
@@ -123,7 +153,12 @@ def arm_file_dump(spark: SparkSession, d: str) -> DataFrame:
     return pack_ranked(spark, d, ranked, full_share=1.0)
 
 
-@query()
+_REPO_MAP = f"""{IQ._MAP}, {IQ._MAPSTART}, {IQ._MAPRANK}, flow AS (SELECT task_id, to_file AS file, ident, round(sum(score * w / ow), 9) AS score FROM (SELECT *, sum(w) OVER (PARTITION BY task_id, from_file) AS ow FROM e)
+    JOIN (SELECT task_id, node AS from_file, score FROM r WHERE it = 30) USING (task_id, from_file) GROUP BY ALL),
+    ranked AS (SELECT task_id, id, score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, '(' || file || ', ' || ident || ')', id) AS rank, 'repo-map' AS why FROM flow JOIN (SELECT id, file, name AS ident FROM sym) USING (file, ident))"""
+
+
+@query(S.pack_sql(_REPO_MAP, "sym", "tsk", budget=BUDGET, full_share=0.0))
 def arm_repo_map(spark: SparkSession, d: str) -> DataFrame:
     edges, rank = IQ.map_rank(spark, d)
     found = N.map_definitions(edges, rank).withColumn("score", F.round("score", 9))

@@ -149,7 +149,7 @@ for _arm, _changed in ABLATIONS.items():
         query(_ranked_sql(_changed, 20), name=f"ppr_{_arm}")(_ablation)
 
 
-def _bfs_sql(levels: int) -> str:
+def bfs_views(levels: int) -> str:
     """Level by level: the earliest link of the earliest frontier node that reaches what no level before has."""
     parts = ["l0 AS MATERIALIZED (SELECT task_id, id AS node, 'seed' AS why, row_number() OVER (PARTITION BY task_id ORDER BY rank, id) AS ord FROM seeds)"]
     for i in range(1, levels + 1):
@@ -158,10 +158,10 @@ def _bfs_sql(levels: int) -> str:
             SELECT f.task_id, k.dst AS node, min({{'o': f.ord, 'l': k.ord, 'reason': k.reason}}) AS m FROM l{i - 1} f JOIN links k ON k.src = f.node AND k.w <> 0
             WHERE (f.task_id, k.dst) NOT IN ({seen}) GROUP BY ALL))""")
     union = " UNION ALL ".join(f"SELECT task_id, node, why, {i} AS level FROM l{i}" for i in range(levels + 1))
-    return ", ".join(parts) + f" {union}"
+    return ", ".join(parts) + f", walk AS ({union})"
 
 
-@query(with_views(f"WITH {seeds_sql()}, {links_sql()}, {_bfs_sql(6)}", *SEED_VIEWS, "edg"))
+@query(with_views(f"WITH {seeds_sql()}, {links_sql()}, {bfs_views(10)} SELECT * FROM walk", *SEED_VIEWS, "edg"))
 def bfs_why(spark: SparkSession, d: str) -> DataFrame:
     s, e = V.graph(spark, d)
     return G.provenance(seeds(spark, d, symbols=s), G.links(s, e, G.weight_table(spark)))

@@ -475,50 +475,8 @@ def pack_density(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The 400 best of BM25 with all that the packer asks for; bodies are whole texts."""
-    from skein.operators import graph as G
-    from skein.operators.retrieval import ranked
-
-    docs_ = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    top = cut(ranked(V.bm(spark, d), P.CANDIDATES).withColumn("id", V.doc_id(F.col("doc_id"))))
-    contains = V.edg(spark, d).where("kind = 'CONTAINS'")
-    above = G.ancestors(contains, top)
-    below = G.descendants(contains, top).groupBy("id").agg(F.collect_list("descendant").alias("descendants"))
-    top = top.join(V.sym(spark, d).withColumnRenamed("pos", "doc_id").drop("id"), "doc_id").join(docs_, "doc_id")
-    top = top.join(above, "id", "left").join(below, "id", "left")
-    return top.withColumn("task_id", F.col("task_id").cast("string")).withColumn("why", F.lit("bm25"))
-
-
-@query()
-def pack_two_pass(spark: SparkSession, d: str) -> DataFrame:
-    return P.pack(candidates(spark, d), 2000)
-
-
-@query()
-def pack_tests_capped(spark: SparkSession, d: str) -> DataFrame:
-    return P.pack(candidates(spark, d), 2000, test_share=0.0)
-
-
 @query(with_views(f"""WITH {_ITEMS}, f AS (SELECT DISTINCT task_id, file FROM items), c AS (SELECT task_id, file, line, message, sum(len(regexp_extract_all('- `' || file || ':' || line || '`: ' || message || chr(10), '[A-Za-z0-9]+|[^A-Za-z0-9 \\n\\t\\r]')))
     OVER (PARTITION BY task_id ORDER BY file, line, message) + 3 AS cost FROM (SELECT DISTINCT task_id, file, line, message FROM f JOIN err USING (file))) SELECT task_id, file, line, message, CAST(cost AS BIGINT) AS cost FROM c WHERE cost <= 400""", "bm", "sym", "err"))
 def pack_errors(spark: SparkSession, d: str) -> DataFrame:
     used = items(spark, d).select("task_id", "file", F.lit(1600).alias("used"))
     return P.fit_errors(used, V.err(spark, d).drop("seq"), 2000)
-
-
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    got = P.pack(candidates(spark, d), 2000)
-    return got.join(V.sym(spark, d).select("id", "fq_name", "file", "start_line", "is_test"), "id")
-
-
-@query()
-def pack_markdown(spark: SparkSession, d: str) -> DataFrame:
-    got = _packed(spark, d)
-    totals = got.groupBy("task_id").agg((F.max("spent") + F.max("overhead")).alias("tokens")).withColumn("budget", F.lit(2000))
-    return Re.markdown(got, totals)
-
-
-@query()
-def pack_explain(spark: SparkSession, d: str) -> DataFrame:
-    return Re.explain(_packed(spark, d))
