@@ -53,6 +53,11 @@ def worth_reusing(n_changed: int, n_indexed: int) -> bool:
     return n_indexed > 0 and n_changed <= REUSE_SHARE * n_indexed
 
 
+def reusable(changes: DataFrame) -> DataFrame:
+    """Rows (..., n_changed, n_indexed) whose base is worth patching."""
+    return changes.where((F.col("n_indexed") > 0) & (F.col("n_changed") <= F.lit(REUSE_SHARE) * F.col("n_indexed")))
+
+
 def referrers_to_removed(symbols: DataFrame, edges: DataFrame, changed: DataFrame, survivors: DataFrame) -> DataFrame:
     """Files, not changed themselves, with an edge to a declaration of a changed file that is gone."""
     gone = symbols.join(changed, "file", "left_semi").select("id").join(survivors.select("id"), "id", "left_anti")

@@ -119,7 +119,10 @@ def level2_none(spark: SparkSession, d: str) -> DataFrame:
     return V.tsk(spark, d).select(F.col("task_id").cast("string").alias("task_id"), F.lit("").alias("context"), F.lit(0).cast("long").alias("tokens"))
 
 
-@query()
+_NAMES_ONLY = S.pack_sql(f"{S.NAMED_EDGES}, {S.engine()}", *S.ENGINE_VIEWS, budget=BUDGET).replace("edg AS MATERIALIZED (SELECT DISTINCT", "real_edg AS MATERIALIZED (SELECT DISTINCT", 1)
+
+
+@query(_NAMES_ONLY)
 def arm_names_only(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d, edges=named_edges(spark, d))
 
@@ -212,7 +215,10 @@ def chunk_bm25_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_chunks(spark, d, chunk_scores(spark, d))
 
 
-@query()
+_BY_VECTOR = _WINDOWS[: _WINDOWS.index("ws AS (SELECT task_id")] + "ws AS (SELECT task_id, key, score FROM dense JOIN (SELECT file, key FROM w) ON file = id),\n    " + _WINDOWS[_WINDOWS.index("wk AS (SELECT key") :]
+
+
+@query(with_views(f"WITH {RQ.dense_sql(1.0, 2**31 - 1)}, {_BY_VECTOR} SELECT task_id, key, score, CAST(tokens AS INT) AS tokens, credited FROM (SELECT task_id, unnest(f.took) AS key FROM p) JOIN ws USING (task_id, key) JOIN wk USING (key)", "sym"))
 def chunk_embed_pack(spark: SparkSession, d: str) -> DataFrame:
     """Windows by their document's vector; every window has a score."""
     near = RQ.dense_channel(spark, d, 2**31 - 1).select("task_id", F.col("id").alias("file"), "score")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema
+from skein.operators import incremental
 
 VERSION = 1
 _INDEX = (
@@ -36,9 +39,42 @@ def read_index_json(spark: SparkSession, path: str) -> dict[str, DataFrame] | No
 
 
 def write_index(index: dict[str, DataFrame], root: str, commit: str) -> None:
-    """One folder a table, a partition a commit, under the version of the schema."""
+    """One folder a table, a partition a commit, under the version of the schema. A commit written again replaces itself."""
     for name, df in index.items():
-        df.withColumn("commit", F.lit(commit)).write.mode("append").partitionBy("commit").parquet(f"{root}/v{VERSION}/{name}")
+        rows = df.withColumn("commit", F.lit(commit)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy("commit").parquet(f"{root}/v{VERSION}/{name}")
+    spark = next(iter(index.values())).sparkSession  # last: the commit is there once all of its tables are
+    done = spark.createDataFrame([(commit,)], "commit string").withColumn("written", F.lit(True))
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit").parquet(f"{root}/v{VERSION}/commits")
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """(commit) of the store."""
+    try:
+        return spark.read.schema("written boolean, commit string").parquet(f"{root}/v{VERSION}/commits").select("commit")
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "commit string")
+        raise
+
+
+def index_at(spark: SparkSession, root: str, commit: str, changes: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame | None], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The index of a commit: read if the store has it, else patched from the nearest commit that is near enough, else built.
+
+    changes: of stored commits (commit), (commit, base, file) of the files that differ between them and this one. index: the
+    tables of some files, or of all (None). What is not read is written.
+    """
+    stored = commits(spark, root)
+    if stored.where(F.col("commit") == commit).isEmpty():
+        differ = changes(stored)
+        near = incremental.nearest(differ.groupBy("commit", "base").agg(F.count("*").alias("n_changed"))).first()
+        base = read_index(spark, root, near["base"]) if near else None
+        if base and incremental.worth_reusing(near["n_changed"], base["symbols"].select("file").distinct().count()):
+            fresh = incremental.patched(base, differ.where(F.col("base") == near["base"]).select("file"), index)
+        else:
+            fresh = index(None)
+        write_index(fresh, root, commit)
+    return read_index(spark, root, commit)
 
 
 def read_index(spark: SparkSession, root: str, commit: str) -> dict[str, DataFrame]:

@@ -1,4 +1,4 @@
-"""A live index: batches of changed files are merged as they arrive."""
+"""A live index: batches of changed files are patched into it as they arrive."""
 
 from __future__ import annotations
 
@@ -8,28 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.incremental import merge
+from skein.operators.incremental import patched, stamps
 
 
 def watch(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stream of index rows that land in a folder as JSON lines."""
+    """A stream of rows that land in a folder as JSON lines."""
     return spark.readStream.schema(schema).json(path)
 
 
-def keep_merged(symbols: DataFrame, base: Callable[[], dict[str, DataFrame]], save: Callable[[dict[str, DataFrame], int], None], checkpoint: str) -> StreamingQuery:
-    """Merges each batch of symbols into base() and hands the outcome to save with the batch's number.
+def keep_patched(changes: DataFrame, base: Callable[[], dict[str, DataFrame]], index: Callable[[DataFrame], dict[str, DataFrame]], save: Callable[[dict[str, DataFrame], int], None], checkpoint: str) -> StreamingQuery:
+    """Patches base() by each batch of changed files (file) and hands the outcome to save with the batch's number.
 
-    A batch may come again after a failure: save must write by the batch's number, so that the second write replaces the
-    first.
+    index: symbols, edges, errors and coverage of the files in a table (file). Unchanged files that refer to what is gone, or
+    that called what is new, are indexed anew as well. A batch may come again after a failure: save must write by the
+    batch's number, so that the second write replaces the first.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        now = base()
-        dirty = batch.select("file").distinct()
-        fresh = {k: df.limit(0) for k, df in now.items()} | {"symbols": batch.select(now["symbols"].columns)}
-        save(merge(now, dirty, fresh), number)
+        save(patched(base(), batch.select("file"), index), number)
 
-    return symbols.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def is_fresh(files: DataFrame, stored: DataFrame) -> bool:
+    """Whether an index is still that of the files: their stamps (file, stamp) are the stored ones, no more and no fewer."""
+    now = stamps(files)
+    differ = now.join(stored, ["file", "stamp"], "left_anti").select("file").unionByName(stored.join(now, ["file", "stamp"], "left_anti").select("file"))
+    return differ.isEmpty()
 
 
 def freshness(changes: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from skein.plans import arms, graph_queries, index_queries, pack_queries, retrieval_queries  # noqa: F401
+from skein.plans import arms, graph_queries, index_queries, pack_queries, retrieval_queries, source_queries  # noqa: F401
 from skein.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
