@@ -214,7 +214,10 @@ def test_markdown_and_explanation(spark):
     text = Re.markdown(items, totals, errors).first()["markdown"]
     assert text == ("# Context pack\n\n50 / 400 tokens, 3 declarations.\n\n## Definitions\n\n### p.A\n`a.kt:3` — seed\n\n```kotlin\nclass A {\n}\n```\n"
                     "\n## Related signatures\n\n`b.kt`\n- 7: fun b( x) — caller-of:A\n\n## Tests likely affected\n\n`t.kt`\n- 1: fun t() — test-of:A\n\n## Diagnostics\n- `a.kt:4`: oops\n")
-    assert [i["id"] for i in json.loads(Re.explain(items).first()["json"])["items"]] == ["A", "b", "T"]
+    told = json.loads(Re.explain(items.withColumn("name", F.lower("id")), totals, errors).first()["json"])
+    assert told["tokens"] == 50 and told["budget"] == 400 and told["errors"] == [{"file": "a.kt", "line": 4, "message": "oops"}]
+    assert [i["id"] for i in told["items"]] == ["A", "b", "T"]
+    assert told["items"][0] == {"id": "A", "name": "a", "file": "a.kt", "line": 3, "why": "seed", "fidelity": "full", "tokens": 9}
 
 
 def test_errors_fit_from_the_head(spark):
@@ -359,9 +362,89 @@ def test_index_files_and_ledgers(spark, tmp_path):
     assert L.pending(led.select("task", "arm").union(spark.createDataFrame([("t2", "jp")], "task string, arm string")), kept).count() == 1
 
 
-def test_stream_merges_batches(spark, tmp_path):
-    base = {"symbols": symbols(spark, [("old", "old", "a.kt", 1, 2), ("keep", "keep", "b.kt", 1, 2)]), "edges": spark.createDataFrame([("old", "keep", "CALLS"), ("keep", "old", "CALLS")], schema.EDGES), "errors": spark.createDataFrame([], schema.ERRORS), "coverage": spark.createDataFrame([], schema.COVERAGE)}
-    symbols(spark, [("new", "new", "a.kt", 1, 3)]).write.json(str(tmp_path / "in"))
+def test_stream_patches_batches_and_repairs_referrers(spark, tmp_path):
+    base = {
+        "symbols": symbols(spark, [("old", "old", "a.kt", 1, 2), ("stay", "stay", "a.kt", 3, 4), ("keep", "keep", "b.kt", 1, 2), ("far", "far", "c.kt", 1, 2), ("ask", "ask", "d.kt", 1, 2)]),
+        "edges": spark.createDataFrame([("old", "keep", "CALLS"), ("keep", "old", "CALLS"), ("stay", "far", "CALLS"), ("far", "stay", "CALLS")], schema.EDGES),
+        "errors": spark.createDataFrame([("d.kt", 1, "unresolved call `x.new(1)`"), ("a.kt", 1, "gone soon")], schema.ERRORS),
+        "coverage": spark.createDataFrame([("a.kt", 5, 1, 1, 0), ("c.kt", 2, 2, 2, 0)], schema.COVERAGE),
+    }
+    asked = []
+
+    def index(some):
+        """Anew: a.kt has stay and new, new calling far; b.kt calls stay; d.kt calls new."""
+        names = {r["file"] for r in some.collect()}
+        asked.append(names)
+        every = {"a.kt": ([("stay", "stay", "a.kt", 1, 2), ("new", "new", "a.kt", 3, 3)], [("new", "far", "CALLS"), ("stay", "far", "CALLS")]), "b.kt": ([("keep", "keep", "b.kt", 1, 2)], [("keep", "stay", "CALLS")]), "d.kt": ([("ask", "ask", "d.kt", 1, 2)], [("ask", "new", "CALLS")])}
+        rows, edges = [x for n in names for x in every[n][0]], [x for n in names for x in every[n][1]]
+        none = symbols(spark, [("x", "x", "x", 1, 1)]).limit(0)
+        return {"symbols": symbols(spark, rows) if rows else none, "edges": spark.createDataFrame(edges, schema.EDGES), "errors": spark.createDataFrame([], schema.ERRORS), "coverage": spark.createDataFrame([(n, 1, 1, 1, 0) for n in names], schema.COVERAGE)}
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"file": "a.kt"}\n{"file": "a.kt"}\n')
     saved = {}
-    live.keep_merged(live.watch(spark, str(tmp_path / "in"), schema.SYMBOLS), lambda: base, lambda index, n: saved.update({n: ({r["id"] for r in index["symbols"].collect()}, index["edges"].count())}), str(tmp_path / "cp")).awaitTermination(60)
-    assert saved == {0: ({"new", "keep"}, 1)}
+    keep = lambda out, n: saved.update({n: {k: sorted(map(tuple, out[k].select(c).collect())) for k, c in (("symbols", ["id"]), ("edges", ["from_id", "to_id"]), ("errors", ["file"]), ("coverage", ["file"]))}})
+    live.keep_patched(live.watch(spark, str(tmp_path / "in"), "file string"), lambda: base, index, keep, str(tmp_path / "cp")).awaitTermination(120)
+    assert asked == [{"a.kt"}, {"b.kt", "d.kt"}]
+    assert saved[0]["symbols"] == [("ask",), ("far",), ("keep",), ("new",), ("stay",)]
+    assert saved[0]["edges"] == sorted([("new", "far"), ("stay", "far"), ("far", "stay"), ("keep", "stay"), ("ask", "new")])
+    assert saved[0]["errors"] == [] and saved[0]["coverage"] == [("a.kt",), ("b.kt",), ("c.kt",), ("d.kt",)]
+
+
+def test_index_is_fresh_while_stamps_are_alike(spark):
+    files = spark.createDataFrame([("a.kt", "x"), ("b.kt", "y")], "file string, text string")
+    stored = I.stamps(files)
+    assert live.is_fresh(files, stored)
+    assert not live.is_fresh(files.where("file = 'a.kt'"), stored) and not live.is_fresh(files.withColumn("text", F.lit("z")), stored)
+
+
+def test_index_of_a_commit_is_read_patched_or_built(spark, tmp_path):
+    root, asked = str(tmp_path / "store"), []
+
+    def index(some):
+        names = None if some is None else {r["file"] for r in some.collect()}
+        asked.append(names)
+        rows = [(f"s{i}", f"s{i}", f"f{i}.kt", 1, 2) for i in range(9) if names is None or f"f{i}.kt" in names]
+        none = symbols(spark, [("x", "x", "x", 1, 1)]).limit(0)
+        return {"symbols": symbols(spark, rows) if rows else none, "edges": spark.createDataFrame([], schema.EDGES), "errors": spark.createDataFrame([], schema.ERRORS), "coverage": spark.createDataFrame([], schema.COVERAGE)}
+
+    def changes(few):
+        def of(stored):
+            pairs = stored.select(F.lit("now").alias("commit"), F.col("commit").alias("base"))
+            return pairs.crossJoin(spark.createDataFrame([(f"f{i}.kt",) for i in range(few)], "file string"))
+
+        return of
+
+    assert store.index_at(spark, root, "one", changes(0), index)["symbols"].count() == 9 and asked == [None]
+    assert store.index_at(spark, root, "one", changes(0), index)["symbols"].count() == 9 and asked == [None]
+    assert store.index_at(spark, root, "two", changes(2), index)["symbols"].count() == 9 and asked[1:] == [{"f0.kt", "f1.kt"}, set()]
+    assert store.index_at(spark, root, "three", changes(8), index)["symbols"].count() == 9 and asked[-1] is None
+    store.write_index(index(None), root, "two")
+    assert store.read_index(spark, root, "two")["symbols"].count() == 9
+
+
+@pytest.mark.parametrize(
+    "text, head",
+    [
+        ("fun f(a: Int = 3): String = a.x", "fun f(a: Int = 3): String"),
+        ("/** Doc = {x} */\nfun f(b: () -> Unit = { g() }) { h() }", "fun f(b: () -> Unit = { g() })"),
+        ('class A(val s: String = "{=") : B(1 == 2) { }', 'class A(val s: String = "{=") : B(1 == 2)'),
+        ("val x = 1", "val x"),
+        ("interface I", "interface I"),
+    ],
+)
+def test_signature_ends_where_the_body_begins(spark, text, head):
+    assert one(spark, T.signature(F.col("t")), t=text) == head
+
+
+def test_signature_by_the_parser_s_offset(spark):
+    assert one(spark, T.signature(F.col("t"), F.lit(24)), t="/** d */ val x: Int  =   3") == "val x: Int"
+
+
+def test_protocols_are_met_by_shape():
+    from skein import protocols
+
+    class Own:
+        def pack(self, tasks, budget): ...
+
+    assert isinstance(Own(), protocols.Retriever) and not isinstance(Own(), protocols.DenseSeeds)
