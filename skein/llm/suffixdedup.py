@@ -20,8 +20,9 @@ same offset, so only suffixes at anchors, one in about (WINDOW - LEAD) / 2 bytes
    of a chunk whose hull repeats are repeated; the windows of other chunks are counted one by one.
 5. Each text's intervals are merged and cut out.
 
-Equality of hulls and windows is equality of 128-bit hashes; cores have 64 bits, where a false match only costs a look. Rows that repeat an id are texts of their own (a row is known by its id
-and a hash of its text); a row with a null doc_id takes no part.
+Equality of hulls and windows is equality of 128-bit hashes; cores have 64 bits, where a false match only costs a look.
+Rows that repeat an id are texts of their own (a row is known by its id and a hash of its text); a row with a null doc_id
+takes no part.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from skein.llm import common
 
 WINDOW, LEAD = 400, 64
+#: Suffixes in a bucket, on the average at most.
+SUFFIXES = 200_000
 #: Windows of neighbouring distances to their anchor that are judged together.
 LARGE, CHUNK = 176, 16
 #: Texts are read in blocks of so many window starts; a position in a block takes 24 bits of a sort key.
@@ -270,7 +273,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: common.Scratch
     """(doc_id, uid, a, b): bytes a to b of that text are covered by repeated windows. docs: doc_id, uid, text."""
     suffixes = scratch.keep(docs.mapInArrow(_suffixes(window, lead), SUFFIX))
     salt = F.xxhash64("doc_id", "uid", "anchor")
-    classed = scratch.keep(suffixes.repartitionByRange("lead", salt).mapInArrow(_bucket(lead), CLASSED))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // SUFFIXES))
+    classed = scratch.keep(suffixes.repartitionByRange(buckets, "lead", salt).mapInArrow(_bucket(lead), CLASSED))
     scratch.drop(suffixes)
 
     # Across boundaries: a lead that ends one bucket and begins others. Two rows a bucket at most come here.

@@ -186,3 +186,73 @@ def test_pipeline_stages_on_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, "").count() > 0, name
         assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def brute_components(texts: dict) -> dict:
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Stage by stage in plain Python, but for the classifier: its scores are taken as they are, its decision is not."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from skein.llm import quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: (r["text"] or "", r["source"]) for r in docs.collect()}
+    scores = {r["doc_id"]: r["score"] for r in quality.score(spark, docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    kept = {i: x for i, x in rows.items() if scores[i] >= 0.3}
+    groups: dict = {}
+    for i, (t, _) in kept.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i))
+    kept = {min(g)[1]: kept[min(g)[1]] for g in groups.values()}
+    root = brute_components({i: t for i, (t, _) in kept.items()})
+    kept = {i: x for i, x in kept.items() if root[i] == i}
+    sizes: dict = {}
+    words = {i: re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t) for i, (t, _) in kept.items()}
+    for i, (_, s) in kept.items():
+        sizes[s] = sizes.get(s, 0) + len(words[i])
+    t, want = Tokenizer.from_file(packing.vocabulary()), []
+    for s, target in brute_targets(sizes).items():
+        owed, mine = round(target), sorted((i for i in kept if kept[i][1] == s), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+        while owed > 0 and sizes[s]:
+            for i in mine:
+                n = min(owed, len(words[i]))
+                owed -= n
+                if n:
+                    ids = t.encode("".join(words[i][:n]) if n < len(words[i]) else kept[i][0], add_special_tokens=False).ids + [0]
+                    want += [(i, p // 2048, p, len(ids[p : p + 2048]), zlib.crc32(np.array(ids[p : p + 2048], "<u4").tobytes())) for p in range(0, len(ids), 2048)]
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    held: dict = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in held.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(held) <= -(-sum(w[3] for w in want) // 2048) + 1

@@ -126,6 +126,95 @@ def test_segmentation_finds_the_cheapest_split():
     assert w.split("freebets") == ["free", "bets"] and w.split("") == [] and w.split("zzzz") == ["zzzz"]
 
 
+def test_segmentation_of_words_run_together():
+    """Of all ordered pairs of listed words, at least nine in ten are split where they were joined."""
+    listed = [*urlfilter.BLOCKED, *urlfilter.PASSED]
+    w = urlfilter.Words({x: 5 for x in listed})
+    pairs = [(a, b) for a in listed for b in listed if a != b]
+    right = sum(w.split(a + b) == [a, b] for a, b in pairs)
+    assert right >= 0.9 * len(pairs)
+    triples = [(a, b, c) for a, b, c in zip(listed, listed[1:], listed[2:])]
+    assert sum(w.split("".join(t)) == list(t) for t in triples) >= 0.9 * len(triples)
+
+
+def brute_verdicts(urls):
+    """The method written plainly: cheapest split by trying all, counts, two rounds of naive Bayes, over (url,) rows."""
+    import math
+    import re
+    from collections import Counter
+    from functools import lru_cache
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+        return low(host), path, low(path)
+
+    known = Counter()
+    for url in urls:
+        host, _, path = parts(url)
+        for label in host.split("."):
+            runs = re.findall("[a-z]+|[0-9]+", label)
+            known.update(runs if len(runs) > 1 else [])
+        known.update(r for r in re.findall("[a-z]+|[0-9]+", path) if not r.isdigit())
+    usual = max(5, sum(known.values()) // 2000)
+    for x in (*urlfilter.BLOCKED, *urlfilter.PASSED):
+        known[x] += usual
+    total = sum(known.values()) + 1
+
+    def cost(x):
+        if x in known and 1 < len(x) <= urlfilter.LONGEST:
+            return -math.log((known[x] + 0.5) / total)
+        return math.log(total) + 2.0 + 2.3 * len(x)
+
+    @lru_cache(None)
+    def split(s):
+        """(cost, words) of the cheapest split, by its last word."""
+        if not s:
+            return 0.0, ()
+        return min(((split(s[:i])[0] + cost(s[i:]), (*split(s[:i])[1], s[i:])) for i in range(max(0, len(s) - urlfilter.LONGEST), len(s))), key=lambda t: t[0])
+
+    def words(url):
+        host, _, path = parts(url)
+        labels = host.rsplit("@", 1)[-1].split(":", 1)[0].split(".")
+        own = labels[:-1] if len(labels) > 1 else labels
+        runs = [r for label in own if label not in ("www", "m") for r in re.findall("[a-z]+|[0-9]+", label)]
+        return [x for r in [*runs, *(r for r in re.findall("[a-z]+|[0-9]+", path) if not r.isdigit())] for x in split(r)[1]]
+
+    score = None
+    for _ in range(2):
+        bad, good, n_bad, n_good = Counter(dict.fromkeys(urlfilter.BLOCKED, 2)), Counter(dict.fromkeys(urlfilter.PASSED, 2)), 0, 0
+        for url in urls:
+            found = words(url)
+            a, b = sum(x in urlfilter.BLOCKED for x in found), sum(x in urlfilter.PASSED for x in found)
+            if a > b or a == b and score is not None and score(found) > 0:
+                n_bad += 1
+                bad.update(found)
+            else:
+                n_good += 1
+                good.update(found)
+        every = set(bad) | set(good)
+        of_bad, of_good = sum(bad.values()) + len(every) + 1, sum(good.values()) + len(every) + 1
+
+        def score(found, bad=bad, good=good, every=every, of_bad=of_bad, of_good=of_good, n=(n_bad, n_good)):
+            return math.log(n[0] + 1) - math.log(n[1] + 1) + sum(math.log((bad[x] + 1) / of_bad) - math.log((good[x] + 1) / of_good) for x in found if x in every)
+
+    out = []
+    for url in urls:
+        host, path, _ = parts(url)
+        fits = [(len(h + p), h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        out.append((host, path, *(max(fits)[1:] if fits else (None, "block" if score(words(url)) > 0 else "allow"))))
+    return out
+
+
+def test_url_filter_equals_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").collect()
+    rows += [(10**6 + i, f"http://{a}{b}.shop.com/{b}-{a}/x?{i}") for i, (a, b) in enumerate([("free", "casino"), ("history", "museum"), ("unseenword", "poker"), ("zzz", "qqq")])]
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(spark, spark.createDataFrame([tuple(r) for r in rows], "page_id long, url string")).collect()}
+    assert [got[r[0]] for r in rows] == brute_verdicts([r[1] for r in rows])
+
+
 def brute_neighbours(rows, k=10):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = set()
@@ -149,6 +238,26 @@ def test_ann_on_a_small_table_is_exact(spark):
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_ann_gives_each_id_once(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    again = rows + [rows[0], rows[0], rows[7], (9, [9.0] * 4)]  # rows that repeat an id: the vector that comes first in order
+    df = spark.createDataFrame(again, "vec_id long, embedding array<double>")
+    least = {i: min(v for j, v in again if j == i) for i, _ in again}
+    got = {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(spark, df, F.col("vec_id") % 100 == 0).collect()}
+    assert got == brute_neighbours(list(least.items())) and len(got) == 10
+
+
+def test_ann_probes_few_lists_where_clusters_are_tight():
+    rng = np.random.default_rng(3)
+    spots = rng.normal(size=(50, 16)) * 10
+    tight = np.repeat(spots, 40, axis=0) + rng.normal(size=(2000, 16)) * 0.1
+    tight = tight[rng.permutation(2000)]
+    even = rng.normal(size=(2000, 16))
+    few, many = (ann.lists_needed(x, ann.kmeans(x, 45), 10) for x in (tight, even))
+    assert few <= 10 < many
+
+
 def test_ann_recall_over_lists(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]
