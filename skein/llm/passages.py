@@ -1,0 +1,135 @@
+"""Passages of many words that stand in several documents, whatever their length in bytes.
+
+A passage is a run of WORDS words (split at ASCII blanks, as they are written). Each window of so many words is known by its
+anchor, the run of GRAM words in it that hashes lowest, so equal windows have equal anchors at the same place. Runs of windows
+that share an anchor are grouped by it; an anchor in one document alone has no shared passage. Runs that are equal as a whole
+are settled by one hash; the windows of the others are compared one by one. Equality is that of 64-bit hashes within an
+anchor's 64-bit class. Counts are partial aggregates, so a passage that a third of all documents hold meets in no task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.llm import common
+
+WORDS, GRAM = 50, 8
+#: Places of words in a batch take so many bits of a sort key.
+PLACE = np.uint64((1 << 26) - 1)
+
+RUN = "doc_id long, uid long, first long, last long, lead long, hull long"
+WINDOWED = "doc_id long, uid long, start long, lead long, hash long, needed boolean"
+
+
+def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+class Spans:
+    """Hashes of runs of words, from sums over their words' hashes."""
+
+    def __init__(self, token: np.ndarray):
+        n = len(token)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(token * common.powers(common.BASE, n), out=self.total[1:])
+        self.low, self.high = common.powers(common.UNBASE, 1 << 16), common.powers(pow(common.UNBASE, 1 << 16, 1 << 64), (n >> 16) + 1)
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return common.mix((self.total[b] - self.total[a]) * self.low[a & 0xFFFF] * self.high[a >> 16])
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many each text has."""
+    raw, at = common.utf8(column)
+    data, starts, ends, counts = common.words(raw, at, lower=False)
+    return common.hash_tokens(data, starts, ends), counts
+
+
+def _runs(words: int, gram: int):
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, counts = _tokens(batch.column("text"))
+            n = len(token)
+            if n < words:
+                continue
+            text_of = np.repeat(np.arange(len(counts)), counts)
+            inside = np.flatnonzero(text_of[: n - words + 1] == text_of[words - 1 :])  # starts of windows within one text
+            if not len(inside):
+                continue
+            grams = np.zeros(n - gram + 1, np.uint64)
+            for i in range(gram):
+                grams = grams * np.uint64(0x9FB21C651E98DF25) + token[i : i + len(grams)]
+            grams = common.mix(grams)
+            least = sliding_minimum(grams & ~PLACE | np.arange(len(grams), dtype=np.uint64), words - gram + 1)[inside]
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(inside) != 1) | (least[1:] != least[:-1])]))
+            first, last = inside[begin], inside[np.concatenate([begin[1:], [len(inside)]]) - 1]
+            anchor = (least[begin] & PLACE).astype(np.int64)
+            shape = (anchor - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
+            hull = common.mix(Spans(token).hash(first, last + words) ^ common.mix(shape + np.uint64(1)))
+            row = text_of[first]
+            begins = (np.cumsum(counts) - counts)[row]
+            ids = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "uid")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(first - begins), pa.array(last - begins), pa.array(grams[anchor].view(np.int64)), pa.array(hull.view(np.int64))], names=["doc_id", "uid", "first", "last", "lead", "hull"])
+
+    return runs
+
+
+def _windows(words: int):
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, counts = _tokens(batch.column("text"))
+            spans, begins = Spans(token), np.cumsum(counts) - counts
+            lists = batch.column("runs")
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            first, last, lead = (flat.field(c).to_numpy() for c in ("first", "last", "lead"))
+            needed = flat.field("needed").to_numpy(zero_copy_only=False)
+            n = last - first + 1
+            which = np.repeat(np.arange(len(n)), n)
+            start = first[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = begins[row[which]] + start
+            hashes = spans.hash(at, at + words).view(np.int64)
+            ids = [batch.column(c).take(pa.array(row[which])) for c in ("doc_id", "uid")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(start), pa.array(lead[which]), pa.array(hashes), pa.array(needed[which])], names=["doc_id", "uid", "start", "lead", "hash", "needed"])
+
+    return windows
+
+
+def shared_passages(docs: DataFrame, scratch: common.Scratch, words: int = WORDS, gram: int = GRAM) -> DataFrame:
+    """(doc_id, uid, a, b): words a to b of that text lie in passages that another document holds too. docs: doc_id, uid,
+    text; uid names a text."""
+    runs = scratch.keep(docs.mapInArrow(_runs(words, gram), RUN))
+    several = (F.min("uid") < F.max("uid")).alias("several")
+    leads = runs.groupBy("lead").agg(several, (F.min("hull") < F.max("hull")).alias("mixed")).where("several").select("lead", "mixed")
+    shared = scratch.keep(runs.join(leads, "lead"))
+    scratch.drop(runs)
+
+    one = F.min(F.struct("doc_id", "uid", "first", "last")).alias("one")
+    hulls = scratch.keep(shared.where("mixed").groupBy("lead", "hull").agg(several, one))
+    copies = shared.where("mixed").join(hulls.where("several").select("lead", "hull"), ["lead", "hull"], "left_semi").unionByName(shared.where("not mixed"))
+    spans = copies.select("doc_id", "uid", F.col("first").alias("a"), (F.col("last") + words).alias("b"))
+
+    # Of each hull one run goes on: needed where it stands in one document alone, a partner for others where in several.
+    wanted = hulls.select("lead", "one.*", (~F.col("several")).alias("needed"))
+    wanted = wanted.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("first", "last", "lead", "needed")).alias("runs"))
+    wanted = scratch.keep(wanted)
+    windows = common.sieve(docs, wanted, "doc_id", "uid").join(wanted, ["doc_id", "uid"]).select("doc_id", "uid", "text", "runs")
+    windows = scratch.keep(windows.mapInArrow(_windows(words), WINDOWED))
+    who = F.when(F.col("needed"), F.col("uid")).otherwise(F.lit(-1))  # a partner stands for more than one document
+    twice = windows.groupBy("lead", "hash").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.max("needed").alias("some")).where("lo < hi and some").select("lead", "hash")
+    found = windows.where("needed").join(twice, ["lead", "hash"], "left_semi")
+    same = hulls.where("not several").select("lead", "hull", "one")
+    # A document may hold a run more than once: all of its places are found with the one that was looked at.
+    places = shared.where("mixed").join(same, ["lead", "hull"]).select("doc_id", "uid", "lead", F.col("one")["first"].alias("of"), (F.col("first") - F.col("one")["first"]).alias("by"), F.col("one")["last"].alias("to"))
+    found = found.join(places, ["doc_id", "uid", "lead"]).where("start between of and to").select("doc_id", "uid", (F.col("start") + F.col("by")).alias("a"))
+    return spans.unionByName(found.select("doc_id", "uid", "a", (F.col("a") + words).alias("b")))

@@ -25,10 +25,14 @@ island AS (SELECT doc_id, place, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p
 span AS (SELECT doc_id, min(place) AS a, max(place) + 400 AS b FROM island GROUP BY doc_id, nth),
 cut AS (SELECT doc_id, a, b, substr(h, 2 * before + 1, 2 * (a - before)) AS kept
   FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span) JOIN d USING (doc_id)),
+word AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+passage AS (SELECT doc_id, i, hash(array_to_string(ws[i : i + 49], ' ')) AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM word WHERE len(ws) >= 50)),
+shared AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM passage WHERE g IN (SELECT g FROM passage GROUP BY g HAVING min(doc_id) < max(doc_id))),
+passages AS (SELECT doc_id, sum(least(50, coalesce(i - before, 50))) AS n_words FROM shared GROUP BY doc_id),
 total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY a) AS kept, max(b) AS rest FROM cut GROUP BY doc_id)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN total USING (doc_id)
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256, CAST(coalesce(n_words, 0) AS BIGINT) AS n_passage_words
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN passages USING (doc_id)
 """
 
 OP8 = r"""
