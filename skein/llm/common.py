@@ -100,6 +100,12 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of what nothing refers to any more: it acts when the driver collects."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes end to end, and where each value starts in them (one more for the end)."""
     if isinstance(column, pa.ChunkedArray):

@@ -110,9 +110,10 @@ def shared_passages(docs: DataFrame, scratch: common.Scratch, words: int = WORDS
     text; uid names a text."""
     runs = scratch.keep(docs.mapInArrow(_runs(words, gram), RUN))
     several = (F.min("uid") < F.max("uid")).alias("several")
-    leads = runs.groupBy("lead").agg(several, (F.min("hull") < F.max("hull")).alias("mixed")).where("several").select("lead", "mixed")
+    # A table of its own, so that the join is one of two shuffles, whose hot keys Spark deals anew.
+    leads = scratch.keep(runs.groupBy("lead").agg(several, (F.min("hull") < F.max("hull")).alias("mixed")).where("several").select("lead", "mixed"))
     shared = scratch.keep(runs.join(leads, "lead"))
-    scratch.drop(runs)
+    scratch.drop(runs, leads)
 
     one = F.min(F.struct("doc_id", "uid", "first", "last")).alias("one")
     hulls = scratch.keep(shared.where("mixed").groupBy("lead", "hull").agg(several, one))
@@ -132,4 +133,6 @@ def shared_passages(docs: DataFrame, scratch: common.Scratch, words: int = WORDS
     # A document may hold a run more than once: all of its places are found with the one that was looked at.
     places = shared.where("mixed").join(same, ["lead", "hull"]).select("doc_id", "uid", "lead", F.col("one")["first"].alias("of"), (F.col("first") - F.col("one")["first"]).alias("by"), F.col("one")["last"].alias("to"))
     found = found.join(places, ["doc_id", "uid", "lead"]).where("start between of and to").select("doc_id", "uid", (F.col("start") + F.col("by")).alias("a"))
-    return spans.unionByName(found.select("doc_id", "uid", "a", (F.col("a") + words).alias("b")))
+    out = scratch.keep(spans.unionByName(found.select("doc_id", "uid", "a", (F.col("a") + words).alias("b"))))
+    scratch.drop(shared, hulls, wanted, windows)
+    return out

@@ -290,10 +290,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: common.Scratch
 
     key = ["doc_id", "uid", "first"]
     large = still_open(contexts.mapInArrow(_large(window, lead), CORE), "core").groupBy(*key).agg(F.collect_list("large").alias("open"))
-    parts = still_open(contexts.join(large, key).mapInArrow(_chunks(window), PART), "core")
-    parts = scratch.keep(parts)
+    cut = scratch.keep(still_open(contexts.join(large, key).mapInArrow(_chunks(window), PART), "core"))
+    parts = cut
     again = parts.groupBy(*name).agg(F.count("*").alias("n"), F.min(F.struct(*key, "a", "b", "needed")).alias("p"))
     parts = scratch.keep(parts.join(again.select(*name, (F.col("n") > 1).alias("again"), F.col("p").alias("of")), name))
+    scratch.drop(cut)
     spans.append(parts.where("needed and again").select("doc_id", "uid", "a", (F.col("b") + window).alias("b")))
     # A part whose hull repeats is settled, and stands, once, as a partner for the windows of others.
     left = parts.where("needed and not again").select("core").distinct()
@@ -305,8 +306,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: common.Scratch
     twice = singles.groupBy(*hashes).agg(F.count("*").alias("n"), F.max("needed").alias("some")).where("n > 1 and some").select(*hashes)
     found = singles.where("needed").join(twice, hashes, "left_semi")
     spans.append(found.select("doc_id", "uid", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
-    scratch.drop(contexts)
-    return spans[0].unionByName(spans[1]).unionByName(spans[2])
+    out = scratch.keep(spans[0].unionByName(spans[1]).unionByName(spans[2]))
+    scratch.drop(contexts, classed, hulls, parts, singles)
+    return out
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, lead: int = LEAD) -> DataFrame:
@@ -319,6 +321,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, l
     scratch = common.Scratch(spark, "suffixdedup")
     rows = common.documents(docs).withColumn("uid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(spark, rows, scratch, window, lead)
+    common.release_shuffles(spark)
     spans = spans.withColumn("kind", F.lit("bytes")).unionByName(shared_passages(rows, scratch).withColumn("kind", F.lit("words")))
     listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("a", "b")))
     by_text = scratch.keep(spans.groupBy("doc_id", "uid").agg(listed("bytes").alias("spans"), listed("words").alias("shared")))
