@@ -14,8 +14,8 @@ from skein.operators.lineage import cut, numbered
 from skein.schema import EDGE_KINDS, WEIGHTS
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 40, 1e-8
-#: Where mass that returns to the restart vector is gathered in a round.
-HOME = "\u0000home"
+#: Where mass that returns to the restart vector is gathered in a round; nodes have numbers from 0 there.
+HOME = -1
 # Fixed value: the class that all others extend.
 ROOT_CLASS = "kotlin.Any"
 #: Levels of a walk after which the parts seen so far are written as one table.
@@ -119,19 +119,25 @@ def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, itera
     refers to the state once, so plans grow by a step a round; every few rounds the state is cut off from its lineage and
     compared with the one before, task by task: one that moved less than the tolerance is finished and leaves the loop.
     """
-    moves = moves.where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    moves = cut(moves.where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    start = cut(start)
+    every_node = moves.select(F.col("src").alias("node")).unionByName(moves.select(F.col("dst").alias("node"))).unionByName(start.select("node")).distinct()
+    numbers = cut(numbered(every_node, "n", "node"))
+    of = lambda c: numbers.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    moves = moves.join(of("src"), "src").join(of("dst"), "dst").select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"), "w")
+    start = cut(start.join(of("node"), "node").select(by, F.col("n_node").alias("node"), "mass"))
     share = F.col("w") / F.sum("w").over(Window.partitionBy("src"))
     moves = moves.select("src", "dst", (damping * share).alias("p"))
-    home = moves.select("src").distinct().select("src", F.lit(HOME).alias("dst"), F.lit(1 - damping).alias("p"))
-    moves = moves.unionByName(home).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    start = cut(start)
+    home = moves.select("src").distinct().select("src", F.lit(HOME).cast("long").alias("dst"), F.lit(1 - damping).alias("p"))
+    stuck = numbers.select(F.col("n").alias("src")).join(moves.select("src").distinct(), "src", "left_anti").select("src", F.lit(HOME).cast("long").alias("dst"), F.lit(1.0).alias("p"))
+    moves = moves.unionByName(home).unionByName(stuck).repartition(int(start.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.MEMORY_AND_DISK)
     dealt = start.groupBy(by).agg(F.collect_list(F.struct("node", "mass")).alias("deal"))  # the seeds of a task
     dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     state = previous = start.select(by, "node", F.col("mass").alias("score"))
     done: list[DataFrame] = []
     for i in range(1, iterations + 1):
-        moved = state.withColumnRenamed("node", "src").join(moves, "src", "left")
-        moved = moved.groupBy(by, F.coalesce("dst", F.lit(HOME)).alias("node")).agg(F.sum(F.col("score") * F.coalesce("p", F.lit(1.0))).alias("score"))
+        moved = moves.join(state.withColumnRenamed("node", "src"), "src")
+        moved = moved.groupBy(by, F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("score"))
         shares = F.transform("deal", lambda x: F.struct(x["node"].alias("node"), (x["mass"] * F.col("score")).alias("score")))
         rows = moved.join(dealt, by).select(by, F.inline(F.when(F.col("node") == HOME, shares).otherwise(F.array(F.struct("node", "score")))))
         state = rows.groupBy(by, "node").agg(F.sum("score").alias("score"))
@@ -148,7 +154,8 @@ def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, itera
             previous = state
     moves.unpersist()
     dealt.unpersist()
-    return functools.reduce(DataFrame.unionByName, done, state)
+    scores = functools.reduce(DataFrame.unionByName, done, state).withColumnRenamed("node", "n")
+    return scores.join(numbers, "n").select(by, "node", "score")
 
 
 def provenance(seeds: DataFrame, links_: DataFrame) -> DataFrame:
