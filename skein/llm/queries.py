@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import ann, exactdedup, fim, licence, mixing, ngramjoin, packing, quality, simhash, suffixdedup, toxicity, urlfilter
+from skein.llm import ann, exactdedup, fim, licence, mixing, ngramjoin, packing, quality, simhash, suffixdedup, toxicity, urlfilter, wand
 from skein.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.rank(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.transform(spark, table(spark, sf_dir, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
+    "op11_wand": op11_wand,
     "op12_fim": op12_fim,
     "op13_simhash": op13_simhash,
 }
