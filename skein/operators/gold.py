@@ -6,23 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.intervals import covering
 
 
 def touched(changed: DataFrame, symbols: DataFrame) -> DataFrame:
     """(task_id, id, file, start_line, end_line, pos) of declarations that hold a changed line (task_id, file, line).
 
-    The file is the equi-key of the interval join; changed lines are distinct first, so a declaration comes once a line.
+    Tasks that change one line of a file ask for it once.
     """
     lines = changed.select("task_id", "file", "line").distinct()
-    hit = lines.join(symbols, "file").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return hit.select("task_id", "id", "file", "start_line", "end_line", "pos").distinct()
+    spans = symbols.select("file", "id", "start_line", "end_line", "pos")
+    held = covering(lines.select("file", "line").distinct(), spans, ["file"])
+    return lines.join(held, ["file", "line"]).select("task_id", "id", "file", "start_line", "end_line", "pos").distinct()
 
 
 def innermost_gold(touched_: DataFrame) -> DataFrame:
-    """(task_id, id): touched declarations that enclose no other touched one. Of two on one range, neither stays."""
-    a, b = touched_.alias("a"), touched_.alias("b")
-    enclosing = a.join(b, (F.col("a.task_id") == F.col("b.task_id")) & (F.col("a.file") == F.col("b.file")) & (F.col("a.pos") != F.col("b.pos")) & (F.col("a.start_line") <= F.col("b.start_line")) & (F.col("a.end_line") >= F.col("b.end_line")), "left_semi")
-    return touched_.select("task_id", "id").distinct().join(enclosing.select("task_id", "id").distinct(), ["task_id", "id"], "left_anti")
+    """(task_id, id): touched declarations that enclose no other touched one. Of two on one range, neither stays.
+
+    One sweep over a file's declarations from the last start to the first: a declaration encloses another if one that starts
+    later ends no later, or if of those that start with it another one ends no later.
+    """
+    later = Window.partitionBy("task_id", "file").orderBy(F.desc("start_line")).rangeBetween(Window.unboundedPreceding, -1)
+    beside = Window.partitionBy("task_id", "file", "start_line").orderBy("end_line").rangeBetween(Window.unboundedPreceding, 0)
+    swept = touched_.select("task_id", "id", "file", "start_line", "end_line", (F.min("end_line").over(later)).alias("_ends"), F.count("*").over(beside).alias("_beside"))
+    encloses = F.coalesce(F.col("_ends") <= F.col("end_line"), F.lit(False)) | (F.col("_beside") > 1)
+    return swept.groupBy("task_id", "id").agg(F.max(encloses).alias("_encloses")).where("not _encloses").select("task_id", "id")
 
 
 def callers(gold: DataFrame, edges: DataFrame) -> DataFrame:

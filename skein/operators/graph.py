@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 
 from pyspark import StorageLevel
@@ -10,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.blocks import walk
 from skein.operators.lineage import cut, numbered
+from skein.operators.reach import provenance  # noqa: F401  part of this module's names
 from skein.schema import EDGE_KINDS, WEIGHTS
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 40, 1e-8
-#: Where mass that returns to the restart vector is gathered in a round; nodes have numbers from 0 there.
-HOME = -1
 # Fixed value: the class that all others extend.
 ROOT_CLASS = "kotlin.Any"
 #: Levels of a walk after which the parts seen so far are written as one table.
@@ -110,79 +109,13 @@ def restart(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
     return known.select("task_id", F.col("id").alias("node"), (F.col("score") / F.sum("score").over(Window.partitionBy("task_id"))).alias("mass"))
 
 
-def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, by: str = "task_id", every: int = 4) -> DataFrame:
-    """(task, node, score) of personalised PageRank, all tasks in one loop.
+def pagerank(start: DataFrame, moves: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float | None = TOLERANCE, by: str = "task_id") -> DataFrame:
+    """(task, node, score) of personalised PageRank, all tasks at once (operators/blocks.py).
 
     start: (task, node, mass), summing to 1 a task. moves: (src, dst, w). Mass at nodes without outgoing weight returns to
-    the restart vector, as does the share 1 - damping of all other mass: both go to a gathering place first, which then
-    deals them out by the vector. Each round is a join with the moves, kept partitioned by source, and two sums, and
-    refers to the state once, so plans grow by a step a round; every few rounds the state is cut off from its lineage and
-    compared with the one before, task by task: one that moved less than the tolerance is finished and leaves the loop.
+    the restart vector, as does the share 1 - damping of all other mass.
     """
-    moves = cut(moves.where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    start = cut(start)
-    every_node = moves.select(F.col("src").alias("node")).unionByName(moves.select(F.col("dst").alias("node"))).unionByName(start.select("node")).distinct()
-    numbers = cut(numbered(every_node, "n", "node"))
-    of = lambda c: numbers.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
-    moves = moves.join(of("src"), "src").join(of("dst"), "dst").select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst"), "w")
-    start = cut(start.join(of("node"), "node").select(by, F.col("n_node").alias("node"), "mass"))
-    share = F.col("w") / F.sum("w").over(Window.partitionBy("src"))
-    moves = moves.select("src", "dst", (damping * share).alias("p"))
-    home = moves.select("src").distinct().select("src", F.lit(HOME).cast("long").alias("dst"), F.lit(1 - damping).alias("p"))
-    stuck = numbers.select(F.col("n").alias("src")).join(moves.select("src").distinct(), "src", "left_anti").select("src", F.lit(HOME).cast("long").alias("dst"), F.lit(1.0).alias("p"))
-    moves = moves.unionByName(home).unionByName(stuck).repartition(int(start.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.MEMORY_AND_DISK)
-    dealt = start.groupBy(by).agg(F.collect_list(F.struct("node", "mass")).alias("deal"))  # the seeds of a task
-    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
-    state = previous = start.select(by, "node", F.col("mass").alias("score"))
-    done: list[DataFrame] = []
-    for i in range(1, iterations + 1):
-        moved = moves.join(state.withColumnRenamed("node", "src"), "src")
-        moved = moved.groupBy(by, F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("score"))
-        shares = F.transform("deal", lambda x: F.struct(x["node"].alias("node"), (x["mass"] * F.col("score")).alias("score")))
-        rows = moved.join(dealt, by).select(by, F.inline(F.when(F.col("node") == HOME, shares).otherwise(F.array(F.struct("node", "score")))))
-        state = rows.groupBy(by, "node").agg(F.sum("score").alias("score"))
-        if i % every == 0 or i == iterations:
-            state = cut(state)
-            if tolerance is not None and i < iterations:
-                moved = F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
-                gaps = state.join(previous.withColumnRenamed("score", "was"), [by, "node"], "full").groupBy(by).agg(moved.alias("gap"))
-                still = cut(gaps.where(F.col("gap") >= tolerance).select(by))
-                done.append(state.join(still, by, "left_anti"))
-                state = state.join(still, by, "left_semi")
-                if still.isEmpty():
-                    break
-            previous = state
-    moves.unpersist()
-    dealt.unpersist()
-    scores = functools.reduce(DataFrame.unionByName, done, state).withColumnRenamed("node", "n")
-    return scores.join(numbers, "n").select(by, "node", "score")
-
-
-def provenance(seeds: DataFrame, links_: DataFrame) -> DataFrame:
-    """(task_id, node, why, level): the reason of the link over which a breadth-first walk first reaches a node.
-
-    Order decides: the earlier node of the frontier, then the earlier of its links. seeds: (task_id, id, rank). The walk
-    ends when a level reaches nothing new; what was seen is one table again every FOLD levels, so plans stay short.
-    """
-    walk = links_.where("w <> 0").select("src", "dst", "reason", F.col("ord").alias("link_ord")).persist(StorageLevel.MEMORY_AND_DISK)
-    order = Window.partitionBy("task_id").orderBy("rank", "id")
-    frontier = seeds.select("task_id", F.col("id").alias("node"), F.row_number().over(order).cast("bigint").alias("ord"))
-    frontier = cut(frontier)
-    seen = frontier.select("task_id", "node", F.lit("seed").alias("why"), F.lit(0).alias("level"))
-    for level in itertools.count(1):
-        step = frontier.join(walk, F.col("node") == F.col("src")).select("task_id", "dst", "reason", "ord", "link_ord")
-        step = step.join(seen.select("task_id", F.col("node").alias("dst")), ["task_id", "dst"], "left_anti")
-        found = step.groupBy("task_id", "dst").agg(F.min(F.struct("ord", "link_ord", "reason")).alias("m"))
-        nth = F.row_number().over(Window.partitionBy("task_id").orderBy("m.ord", "m.link_ord")).cast("bigint")
-        new = cut(found.select("task_id", F.col("dst").alias("node"), F.col("m.reason").alias("why"), nth.alias("ord")))
-        if new.isEmpty():
-            break
-        seen = seen.unionByName(new.select("task_id", "node", "why", F.lit(level).alias("level")))
-        if level % FOLD == 0:
-            seen = cut(seen)
-        frontier = new
-    walk.unpersist()
-    return seen
+    return walk(start, moves, damping, iterations, tolerance, by).scores()
 
 
 def descendants(contains: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.intervals import covering
 
 MAX_DEFINITIONS, WINDOW_LINES, SELF_EDGE = 20, 40, 0.1
 
@@ -24,10 +25,9 @@ def bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 def innermost(marks: DataFrame, symbols: DataFrame) -> DataFrame:
     """marks (file, line, ...) with the id of the covering declaration that starts last; the first in order of ties."""
-    spans = symbols.select("file", "id", "start_line", "end_line")
-    hit = marks.join(spans, "file").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    order = Window.partitionBy(*marks.columns).orderBy(F.desc("start_line"), "id")
-    return hit.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*marks.columns, "id")
+    hit = covering(marks, symbols.select("file", "id", "start_line", "end_line"), ["file"])
+    last = hit.groupBy(*marks.columns).agg(F.min(F.struct(-F.col("start_line"), "id")).alias("_least"))
+    return last.select(*marks.columns, F.col("_least.id").alias("id"))
 
 
 def name_calls(calls: DataFrame, symbols: DataFrame, max_definitions: int | None = MAX_DEFINITIONS) -> DataFrame:
@@ -49,9 +49,10 @@ def windows(files: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
 
 
 def contained(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file, chunk, id) of declarations that lie wholly in a window."""
-    spans = symbols.select("file", "id", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    return chunks.join(spans, "file").where("s >= start_line and e <= end_line").select("file", "chunk", "id")
+    """(file, chunk, id) of declarations that lie wholly in a window: the window that holds their first line holds the last."""
+    firsts = symbols.select("file", "id", F.col("start_line").alias("_first"), F.col("end_line").alias("_last"))
+    held = covering(firsts, chunks.select("file", "chunk", "start_line", "end_line"), ["file"], line="_first")
+    return held.where("_last <= end_line").select("file", "chunk", "id")
 
 
 def reference_counts(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -63,20 +64,46 @@ def reference_counts(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.where("`count` > 0").select("file", "ident", "count")
 
 
-def map_edges(references: DataFrame, symbols: DataFrame, mentioned: DataFrame) -> DataFrame:
-    """(task_id, from_file, to_file, ident, w): referencing files to defining ones. mentioned: (task_id, ident), and a row
-    with a null ident for each task."""
+NAMED = 10.0
+
+
+def map_references(references: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(from_file, to_file, ident, w) of referencing files to defining ones, as for a task that names nothing; and of files
+    to themselves, for what they define and no file refers to."""
     defines = symbols.select(F.col("file").alias("to_file"), F.col("name").alias("ident")).distinct()
     spread = defines.groupBy("ident").agg(F.count("*").alias("definers"))
     long_mixed = (F.length("ident") >= 8) & ((F.col("ident").rlike("[A-Z]") & F.col("ident").rlike("[a-z]")) | F.contains("ident", F.lit("_")))
     base = F.when(long_mixed, 10.0).otherwise(1.0) * F.when(F.startswith("ident", F.lit("_")), 0.1).otherwise(1.0) * F.when(F.col("definers") > 5, 0.1).otherwise(1.0)
-    named = references.select(F.col("file").alias("from_file"), "ident", "count").join(defines, "ident").join(spread, "ident").withColumn("w", base * F.sqrt(F.col("count").cast("double")))
+    joined = references.select(F.col("file").alias("from_file"), "ident", "count").join(defines, "ident").join(spread, "ident")
+    referred = joined.select("from_file", "to_file", "ident", (base * F.sqrt(F.col("count").cast("double"))).alias("w"))
+    alone = defines.join(references.select("ident").distinct(), "ident", "left_anti")
+    return referred, alone.select(F.col("to_file").alias("from_file"), "to_file", "ident", F.lit(SELF_EDGE).alias("w"))
+
+
+def map_overlay(referred: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """(task_id, from_file, to_file, ident, w): what a task adds to the weights of what it names."""
+    asked = mentioned.where("ident is not null").select("task_id", "ident").distinct()
+    return asked.join(referred, "ident").select("task_id", "from_file", "to_file", "ident", ((NAMED - 1) * F.col("w")).alias("w"))
+
+
+def map_edges(references: DataFrame, symbols: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """(task_id, from_file, to_file, ident, w): the map as each task sees it, written out. mentioned: (task_id, ident), and a
+    row with a null ident for each task. Ranks don't need it: they take the base and the overlay."""
+    referred, alone = map_references(references, symbols)
     tasks = mentioned.select("task_id").distinct()
     asked = mentioned.where("ident is not null").select("task_id", "ident").distinct().withColumn("named", F.lit(True))
-    each = tasks.crossJoin(named.select("from_file", "to_file", "ident", "w")).join(asked, ["task_id", "ident"], "left")  # a task set against all edges
-    each = each.select("task_id", "from_file", "to_file", "ident", (F.col("w") * F.when(F.col("named"), 10.0).otherwise(1.0)).alias("w"))
-    lone = defines.join(references.select("ident").distinct(), "ident", "left_anti")
-    return each.unionByName(tasks.crossJoin(lone).select("task_id", F.col("to_file").alias("from_file"), "to_file", "ident", F.lit(SELF_EDGE).alias("w")))
+    each = tasks.crossJoin(referred).join(asked, ["task_id", "ident"], "left")  # a task set against all edges: this is the result
+    each = each.select("task_id", "from_file", "to_file", "ident", (F.col("w") * F.when(F.col("named"), NAMED).otherwise(1.0)).alias("w"))
+    return each.unionByName(tasks.crossJoin(alone).select("task_id", "from_file", "to_file", "ident", "w"))
+
+
+def map_start(symbols: DataFrame, mentioned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(task_id, node, mass): files by how many mentioned names they define; and (task_id) of tasks none of whose names any
+    file defines, which start at all files alike."""
+    asked = mentioned.where("ident is not null").select("task_id", "ident").distinct()
+    named = asked.join(symbols.select(F.col("file").alias("node"), F.col("name").alias("ident")), "ident").groupBy("task_id", "node").agg(F.count("*").alias("n"))
+    start = named.select("task_id", "node", (F.col("n") / F.sum("n").over(Window.partitionBy("task_id"))).alias("mass"))
+    return start, mentioned.select("task_id").distinct().join(named.select("task_id").distinct(), "task_id", "left_anti")
 
 
 def map_restart(symbols: DataFrame, mentioned: DataFrame) -> DataFrame:

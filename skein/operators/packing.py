@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,27 +11,50 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import rendering as R
+from skein.operators.lineage import cut
 
 CANDIDATES, FULL_SHARE, TEST_SHARE, SECTION_OVERHEAD, CHARS_PER_TOKEN = 400, 0.15, 0.1, 12, 3.6
 
 
-def skip_greedy(items: DataFrame, budget: int, task: str, order: list[Column], tokens: str, columns: list[str]) -> DataFrame:
+#: Items of a task that are folded at a time.
+GREEDY_BLOCK = 128
+
+
+def skip_greedy(items: DataFrame, budget: int, task: str, order: list[Column], tokens: str, columns: list[str], block: int = GREEDY_BLOCK) -> DataFrame:
     """Takes each item, in order, that still fits, and goes on past those that don't. Rows of the taken ones.
 
-    A running sum would stop at the first that doesn't fit, so this folds over the ordered items of a task; the fold
-    carries the tokens spent and a flag for each item.
+    A running sum would stop at the first that doesn't fit, so items are folded, a block of a task at a time. What doesn't
+    fit into what is left of the budget never will, so a block holds the next items that fit alone, however far down they
+    stand, and a task none of whose items does leaves the loop.
     """
     nth = F.row_number().over(Window.partitionBy(task).orderBy(*order)).cast("int")
-    rows = items.withColumn("_at", nth)
-    listed = rows.groupBy(task).agg(F.array_sort(F.collect_list(F.struct("_at", F.col(tokens).cast("int").alias("t")))).alias("l"))
-    start = F.struct(F.lit(0).alias("spent"), F.array().cast("array<int>").alias("took"))
+    rows = cut(items.select(task, *(c for c in columns if c != task), nth.alias("_at"), F.col(tokens).cast("int").alias("_tokens")))
+    start = lambda spent: F.struct(spent.alias("spent"), F.array().cast("array<int>").alias("took"))
 
     def step(acc, x):
-        fits = acc["spent"] + x["t"] <= budget
-        return F.struct(F.when(fits, acc["spent"] + x["t"]).otherwise(acc["spent"]).alias("spent"), F.when(fits, F.array_append(acc["took"], x["_at"])).otherwise(acc["took"]).alias("took"))
-
-    took = listed.select(task, F.explode(F.aggregate("l", start, step, lambda acc: acc["took"])).alias("_at"))
-    return rows.join(took, [task, "_at"]).select(task, *columns)
+        fits = acc["spent"] + x["_tokens"] <= budget
+        return F.struct(F.when(fits, acc["spent"] + x["_tokens"]).otherwise(acc["spent"]).alias("spent"), F.when(fits, F.array_append(acc["took"], x["_at"])).otherwise(acc["took"]).alias("took"))
+
+    fit = rows.select(task, "_at", "_tokens", F.lit(0).alias("_spent"), F.lit(0).alias("_last"))
+    took: list[DataFrame] = []
+    while True:
+        fit = fit.where((F.col("_at") > F.col("_last")) & (F.col("_tokens") <= budget - F.col("_spent")))
+        first = fit.withColumn("_n", F.row_number().over(Window.partitionBy(task).orderBy("_at"))).where(F.col("_n") <= block)
+        listed = first.groupBy(task, "_spent").agg(F.array_sort(F.collect_list(F.struct("_at", "_tokens"))).alias("l"))
+        folded = cut(listed.select(task, F.aggregate("l", start(F.col("_spent")), step).alias("f"), F.element_at("l", -1)["_at"].alias("_last")))
+        if folded.isEmpty():
+            break
+        took.append(folded.select(task, F.explode("f.took").alias("_at")))
+        fit = rows.select(task, "_at", "_tokens").join(folded.select(task, F.col("f.spent").alias("_spent"), "_last"), task)
+    if not took:
+        return rows.limit(0).select(task, *columns)
+    return rows.join(functools.reduce(DataFrame.unionByName, took), [task, "_at"]).select(task, *columns)
+
+
+def credited(taken: DataFrame, held: DataFrame) -> DataFrame:
+    """(task_id, id, why, tokens): declarations (file, chunk, id) of the taken windows (task_id, file, chunk), at no tokens:
+    the window's text has been paid for."""
+    return taken.join(held, ["file", "chunk"]).select("task_id", "id", F.concat(F.lit("chunk:"), "file").alias("why"), F.lit(0).alias("tokens"))
 
 
 def estimate(fidelity: str) -> Column:

@@ -163,8 +163,7 @@ _REPO_MAP = f"""{IQ._MAP}, {IQ._MAPSTART}, {IQ._MAPRANK}, flow AS (SELECT task_i
 
 @query(S.pack_sql(_REPO_MAP, "sym", "tsk", budget=BUDGET, full_share=0.0))
 def arm_repo_map(spark: SparkSession, d: str) -> DataFrame:
-    edges, rank = IQ.map_rank(spark, d)
-    found = N.map_definitions(edges, rank).withColumn("score", F.round("score", 9))
+    found = IQ.map_definitions(spark, d).withColumn("score", F.round("score", 9))
     s = V.sym(spark, d).select("id", "file", F.col("name").alias("ident"))
     pair = F.concat(F.lit("("), "file", F.lit(", "), "ident", F.lit(")"))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), pair, "id")
@@ -189,13 +188,25 @@ def chunk_scores(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25_of(w.select("key", terms.alias("terms")), q, key="key")
 
 
-def pack_chunks(spark: SparkSession, d: str, scores: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Windows by score, then file and place, greedily; each taken one credits the declarations it holds, at 0 tokens."""
+def shown(file: F.Column, start: F.Column, text: F.Column) -> F.Column:
+    """A window as a reader is shown it. Fixed value: the heading and the fence around the text."""
+    return F.concat(F.lit("### "), file, F.lit(":"), start.cast("string"), F.lit("\n\n```kotlin\n"), text, F.lit("\n```\n"))
+
+
+def pack_chunks(spark: SparkSession, d: str, scores: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """Windows by score, then file and place, greedily: (task_id, key, score, tokens, file, chunk) of those taken; and all
+    (file, chunk, id) of declarations that windows hold whole."""
     w = N.windows(IQ.files(spark, d)).withColumn("key", F.concat("file", F.lit("#"), F.lpad(F.col("chunk").cast("string"), 6, "0")))
-    w = w.withColumn("tokens", T.token_count(F.concat_ws("\n", "file", "text")))
-    held = N.contained(w.select("file", "chunk", "start_line", "end_line"), IQ.spans(spark, d)).groupBy("file", "chunk").agg(F.count("*").alias("credited"))
-    rows = scores.withColumn("score", F.round("score", 6)).join(w.select("key", "file", "chunk", "tokens"), "key").join(held, ["file", "chunk"], "left").withColumn("credited", F.coalesce("credited", F.lit(0).cast("long")))
-    return P.skip_greedy(rows, budget, "task_id", [F.desc("score"), F.col("key")], "tokens", ["key", "score", "tokens", "credited"])
+    sized = w.withColumn("tokens", T.token_count(shown(F.col("file"), F.col("start_line"), F.col("text")))).select("key", "file", "chunk", "tokens")
+    rows = scores.withColumn("score", F.round("score", 6)).join(sized, "key")
+    taken = P.skip_greedy(rows, budget, "task_id", [F.desc("score"), F.col("key")], "tokens", ["key", "score", "tokens", "file", "chunk"])
+    return taken, N.contained(w, IQ.spans(spark, d))
+
+
+def with_credits(taken: DataFrame, held: DataFrame) -> DataFrame:
+    """(task_id, key, score, tokens, credited): taken windows with the number of declarations that they are credited with."""
+    counts = held.groupBy("file", "chunk").agg(F.count("*").alias("credited"))
+    return taken.join(counts, ["file", "chunk"], "left").select("task_id", "key", "score", "tokens", F.coalesce("credited", F.lit(0).cast("long")).alias("credited"))
 
 
 _WINDOWS = f"""w AS MATERIALIZED (SELECT file || '#' || lpad(CAST(c AS VARCHAR), 6, '0') AS key, file, c AS chunk, c * 40 + 1 AS ws, least(c * 40 + 40, len(l)) AS we, file || chr(10) || array_to_string(l[c * 40 + 1 : c * 40 + 40], chr(10)) AS body
@@ -204,7 +215,9 @@ _WINDOWS = f"""w AS MATERIALIZED (SELECT file || '#' || lpad(CAST(c AS VARCHAR),
     ws AS (SELECT task_id, key, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(t) / al))), 6) AS score
       FROM (SELECT task_id, term, count(*) AS times FROM q GROUP BY ALL) JOIN wp USING (term) JOIN (SELECT term, count(*) AS df FROM wp GROUP BY term) USING (term) JOIN wt USING (key),
       (SELECT count(*) AS n, avg(len(t)) AS al FROM wt) GROUP BY task_id, key),
-    wk AS (SELECT key, len(regexp_extract_all(body, '[A-Za-z0-9]+|[^A-Za-z0-9 \\n\\t\\r]')) AS tokens, (SELECT count(*) FROM ({IQ._SPANS}) s WHERE s.file = w.file AND s.s >= w.ws AND s.e <= w.we) AS credited FROM w),
+    held AS MATERIALIZED (SELECT w.file, w.chunk, w.key, s.id FROM w JOIN ({IQ._SPANS}) s ON s.file = w.file AND (s.s - 1) // 40 = w.chunk WHERE s.e <= w.we),
+    wk AS MATERIALIZED (SELECT w.key, len(regexp_extract_all('### ' || w.file || ':' || w.ws || chr(10) || chr(10) || '```kotlin' || chr(10) || body[len(w.file) + 2 :] || chr(10) || '```' || chr(10), '[A-Za-z0-9]+|[^A-Za-z0-9 \\n\\t\\r]')) AS tokens, coalesce(n, 0) AS credited
+      FROM w LEFT JOIN (SELECT key, count(*) AS n FROM held GROUP BY key) c ON c.key = w.key),
     l AS (SELECT task_id, list(struct_pack(k := key, t := tokens) ORDER BY score DESC, key) AS items FROM ws JOIN wk USING (key) GROUP BY task_id),
     p AS (SELECT task_id, list_reduce(list_prepend(struct_pack(spent := CAST(0 AS BIGINT), took := CAST([] AS VARCHAR[]), k := '', t := CAST(0 AS BIGINT)), list_transform(items, lambda x: struct_pack(spent := CAST(0 AS BIGINT), took := CAST([] AS VARCHAR[]), k := x.k, t := CAST(x.t AS BIGINT)))),
       lambda a, x: CASE WHEN a.spent + x.t <= {BUDGET} THEN struct_pack(spent := a.spent + x.t, took := list_append(a.took, x.k), k := x.k, t := x.t) ELSE struct_pack(spent := a.spent, took := a.took, k := x.k, t := x.t) END) AS f FROM l)"""
@@ -212,18 +225,24 @@ _WINDOWS = f"""w AS MATERIALIZED (SELECT file || '#' || lpad(CAST(c AS VARCHAR),
 
 @query(with_views(f"WITH {_WINDOWS} SELECT task_id, key, score, CAST(tokens AS INT) AS tokens, credited FROM (SELECT task_id, unnest(f.took) AS key FROM p) JOIN ws USING (task_id, key) JOIN wk USING (key)", "q"))
 def chunk_bm25_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack_chunks(spark, d, chunk_scores(spark, d))
+    return with_credits(*pack_chunks(spark, d, chunk_scores(spark, d)))
+
+
+@query(with_views(f"WITH {_WINDOWS} SELECT task_id, id, 'chunk:' || file AS why, CAST(0 AS INT) AS tokens FROM (SELECT task_id, unnest(f.took) AS key FROM p) JOIN held USING (key)", "q"))
+def chunk_bm25_items(spark: SparkSession, d: str) -> DataFrame:
+    """The declarations that the taken windows are credited with, as items of the pack."""
+    return P.credited(*pack_chunks(spark, d, chunk_scores(spark, d)))
 
 
-_BY_VECTOR = _WINDOWS[: _WINDOWS.index("ws AS (SELECT task_id")] + "ws AS (SELECT task_id, key, score FROM dense JOIN (SELECT file, key FROM w) ON file = id),\n    " + _WINDOWS[_WINDOWS.index("wk AS (SELECT key") :]
+_BY_VECTOR = _WINDOWS[: _WINDOWS.index("ws AS (SELECT task_id")] + "ws AS (SELECT task_id, key, score FROM dense JOIN (SELECT file, key FROM w) ON file = id),\n    " + _WINDOWS[_WINDOWS.index("held AS MATERIALIZED") :]
 
 
 @query(with_views(f"WITH {RQ.dense_sql(1.0, 2**31 - 1)}, {_BY_VECTOR} SELECT task_id, key, score, CAST(tokens AS INT) AS tokens, credited FROM (SELECT task_id, unnest(f.took) AS key FROM p) JOIN ws USING (task_id, key) JOIN wk USING (key)", "sym"))
 def chunk_embed_pack(spark: SparkSession, d: str) -> DataFrame:
     """Windows by their document's vector; every window has a score."""
-    near = RQ.dense_channel(spark, d, 2**31 - 1).select("task_id", F.col("id").alias("file"), "score")
+    near = RQ.dense_channel(spark, d, None).select("task_id", F.col("id").alias("file"), "score")
     w = N.windows(IQ.files(spark, d)).select("file", F.concat("file", F.lit("#"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("key"))
-    return pack_chunks(spark, d, near.join(w, "file").select("task_id", "key", "score"))
+    return with_credits(*pack_chunks(spark, d, near.join(w, "file").select("task_id", "key", "score")))
 
 
 @query(with_views(r"""WITH t AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 'other/x' ELSE 'own/x' END AS repo, CASE WHEN s_suppkey % 5 = 0 THEN 'src/test/T.kt' WHEN s_suppkey % 7 = 0 THEN 'A.md' ELSE 'src/A' || CAST(s_suppkey % 3 AS VARCHAR) || '.kt' END AS f FROM supplier)

@@ -13,6 +13,7 @@ from skein.operators import ledger as L
 from skein.operators import names as N
 from skein.operators import packing as P
 from skein.operators import rendering as Re
+from skein.operators.blocks import Vectors, spread, walk
 from skein.operators.lineage import cut
 from skein.plans import views as V
 from skein.plans.registry import query
@@ -127,16 +128,24 @@ def repo_map_edges(spark: SparkSession, d: str) -> DataFrame:
     return map_edges(spark, d).withColumn("w", F.round("w", 6))
 
 
-def map_rank(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Edges, and (task_id, node, score) after exactly 30 rounds. Graphs differ by task, so nodes carry it."""
-    from skein.operators.graph import pagerank
+def map_rank(spark: SparkSession, d: str) -> tuple[Vectors, DataFrame, DataFrame]:
+    """Ranks of files after exactly 30 rounds; the map's edges, and what each task adds to them."""
+    s = cut(V.sym(spark, d).select("file", "name"))
+    referred, alone = N.map_references(N.reference_counts(source_files(spark, d), s), s)
+    referred, mentioned = cut(referred), cut(asked(spark, d))
+    edges, overlay = referred.unionByName(alone), cut(N.map_overlay(referred, mentioned))
+    start, lost = N.map_start(s, mentioned)
+    move = lambda df, *more: df.select(*more, F.col("from_file").alias("src"), F.col("to_file").alias("dst"), "w")
+    ranks = walk(start, move(edges), 0.85, 30, None, overlay=move(overlay, "task_id"), everywhere=(lost, s.select(F.col("file").alias("node"))))
+    return ranks, edges, overlay
 
-    edges = map_edges(spark, d)
-    tagged = lambda c: F.concat(F.col("task_id").cast("string"), F.lit("|"), F.col(c))
-    start = N.map_restart(V.sym(spark, d), asked(spark, d)).select("task_id", tagged("node").alias("node"), "mass").where("mass > 0")
-    moves = edges.select(tagged("from_file").alias("src"), tagged("to_file").alias("dst"), "w")
-    scores = pagerank(start, moves, iterations=30, tolerance=None)
-    return edges, scores.select("task_id", F.substring_index("node", "|", -1).alias("node"), "score")
+
+def map_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """(task_id, file, ident, score): a file's rank flows out along its edges to what they name."""
+    ranks, edges, overlay = map_rank(spark, d)
+    move = lambda df, *more: df.select(*more, F.col("from_file").alias("src"), F.struct("to_file", "ident").alias("dst"), "w")
+    found = spread(ranks, move(edges), move(overlay, "task_id")).scores()
+    return found.select("task_id", F.col("node.to_file").alias("file"), F.col("node.ident").alias("ident"), "score")
 
 
 _MAPRANK = """m AS MATERIALIZED (SELECT task_id, from_file, to_file, sum(w) / sum(sum(w)) OVER (PARTITION BY task_id, from_file) AS p FROM e GROUP BY task_id, from_file, to_file),
@@ -148,15 +157,14 @@ _MAPRANK = """m AS MATERIALIZED (SELECT task_id, from_file, to_file, sum(w) / su
 
 @query(with_views(f"WITH {_MAP}, {_MAPSTART}, {_MAPRANK} SELECT task_id, node, round(score, 6) AS score FROM r WHERE it = 30 AND round(score, 6) > 0", "sym", "tsk", recursive=True))
 def repo_map_rank(spark: SparkSession, d: str) -> DataFrame:
-    return map_rank(spark, d)[1].withColumn("score", F.round("score", 6)).where("score > 0")
+    return map_rank(spark, d)[0].scores().withColumn("score", F.round("score", 6)).where("score > 0")
 
 
 @query(with_views(f"""WITH {_MAP}, {_MAPSTART}, {_MAPRANK}, f AS (SELECT task_id, to_file AS file, ident, sum(score * w / ow) AS score FROM (SELECT *, sum(w) OVER (PARTITION BY task_id, from_file) AS ow FROM e)
     JOIN (SELECT task_id, node AS from_file, score FROM r WHERE it = 30) USING (task_id, from_file) GROUP BY ALL)
     SELECT * FROM (SELECT task_id, file, ident, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, '(' || file || ', ' || ident || ')') AS rank FROM f) WHERE rank <= 50""", "sym", "tsk", recursive=True))
 def repo_map_defs(spark: SparkSession, d: str) -> DataFrame:
-    edges, rank = map_rank(spark, d)
-    out = N.map_definitions(edges, rank).withColumn("score", F.round("score", 6))
+    out = map_definitions(spark, d).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), F.concat(F.lit("("), "file", F.lit(", "), "ident", F.lit(")")))
     return out.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 50")
 

@@ -103,7 +103,7 @@ def seeds(spark: SparkSession, d: str, penalty: float = R.TEST_PENALTY, limit: i
     return R.fuse(channels, limit)
 
 
-def dense_channel(spark: SparkSession, d: str, limit: int, penalty: float = 1.0, symbols: DataFrame | None = None) -> DataFrame:
+def dense_channel(spark: SparkSession, d: str, limit: int | None, penalty: float = 1.0, symbols: DataFrame | None = None) -> DataFrame:
     e = V.table(spark, d, "embeddings")
     tasks = V.tsk(spark, d).select("task_id")
     q = tasks.join(e, F.col("task_id") == F.col("vec_id")).select("task_id", F.col("embedding").alias("q"))
