@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of stored(), by session, name and what their inputs were like.
+_stored: dict[tuple, tuple[DataFrame, ...]] = {}
+
+
+def stamps(spark: SparkSession, *paths: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, length, time of last change) of every file at the paths."""
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored(spark: SparkSession, name: str, paths: list[str], build: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """The tables of build(), written once for what lies at the paths: a file there that is another by its length or its time
+    of last change has them made anew. They last as long as the process, like all of cut()'s."""
+    key = (spark.sparkContext.applicationId, name, stamps(spark, *paths))
+    if key not in _stored:
+        _stored[key] = tuple(cut(df) for df in build())
+    return _stored[key]
+
+
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """df with its place, from 0, in the order of all rows: a range sort, and counts of the partitions before each one.
 

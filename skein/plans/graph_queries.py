@@ -94,7 +94,7 @@ _RESTART = "start AS (SELECT task_id, id AS node, score / sum(score) OVER (PARTI
 
 @query(with_views(f"WITH {seeds_sql()}, {_RESTART} SELECT task_id, node, round(mass, 6) AS mass FROM start", *SEED_VIEWS))
 def restart_vector(spark: SparkSession, d: str) -> DataFrame:
-    s = cut(V.sym(spark, d))
+    s = V.sym(spark, d)
     return G.restart(seeds(spark, d, symbols=s), s).withColumn("mass", F.round("mass", 6))
 
 

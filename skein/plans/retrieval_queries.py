@@ -51,7 +51,7 @@ def bm25_dup_terms(spark: SparkSession, d: str) -> DataFrame:
     """The first three terms of a task count once more: repeated terms are not made distinct."""
     t = T.terms(F.col("text"))
     q = V.tsk(spark, d).select("task_id", F.explode(F.concat(t, F.slice(t, 1, 3))).alias("term"))
-    scores = R.bm25_of(V.docs(spark, d), q)
+    scores = R.bm25(*V.postings(spark, d), q)
     return R.ranked(scores, 10).select("task_id", "doc_id", "score", "rank")
 
 
@@ -95,7 +95,7 @@ def search_channel(spark: SparkSession, d: str, penalty: float, limit: int = R.C
 
 def seeds(spark: SparkSession, d: str, penalty: float = R.TEST_PENALTY, limit: int = R.SEEDS, dense: bool = False, symbols: DataFrame | None = None) -> DataFrame:
     """(task_id, id, score, why, rank)"""
-    symbols = cut(V.sym(spark, d)) if symbols is None else symbols
+    symbols = V.sym(spark, d) if symbols is None else symbols
     channels = R.exact_names(V.tsk(spark, d), symbols).withColumn("why", F.lit("seed:mentioned"))
     channels = channels.unionByName(search_channel(spark, d, penalty, symbols=symbols).select("task_id", "id", "rank").withColumn("why", F.lit("seed:search")))
     if dense:

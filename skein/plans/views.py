@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators.lineage import cut
+from skein.operators.lineage import cut, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,16 @@ def tsk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of the index: written once for the tables at hand, and read by all queries from there on."""
+    return stored(spark, "sym", [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"], lambda: (_sym(spark, sf_dir),))[0]
+
+
+def edg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from_id, to_id, kind): the edges of the index, like sym."""
+    return stored(spark, "edg", [f"{sf_dir}/documents.parquet"], lambda: (_edg(spark, sf_dir),))[0]
+
+
+def _sym(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol for each document: its source is its file, its lines follow those of the documents before it."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     lines = F.split("text", "\n")
@@ -65,8 +75,7 @@ def sym(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(from_id, to_id, kind)"""
+def _edg(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     edge = lambda a, b, kind: (a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("kind"))
     t = post(spark, sf_dir).select("doc_id", "term")
@@ -85,35 +94,59 @@ def edg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """sym and edg, written once, as read_index() would give them: links and walks read them many times over."""
-    return cut(sym(spark, sf_dir)), cut(edg(spark, sf_dir))
+    return sym(spark, sf_dir), edg(spark, sf_dir)
+
+
+def postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored inverted index of documents: (term, doc_id, tf), (doc_id, len)."""
+    from skein.operators.retrieval import index
+
+    return stored(spark, "postings", [f"{sf_dir}/documents.parquet"], lambda: index(docs(spark, sf_dir)))
 
 
 def bm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task_id, doc_id, score) of BM25 over documents, not rounded."""
-    from skein.operators.retrieval import bm25_of
+    from skein.operators.retrieval import bm25
 
     q = tsk(spark, sf_dir).select("task_id", F.explode(T.terms(F.col("text"))).alias("term"))
-    return bm25_of(docs(spark, sf_dir), q)
+    return bm25(*postings(spark, sf_dir), q)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task_id, id): documents that hold a benchmark passage.
 
-    What lies between two blanks of a passage lies between two blanks of a document that holds it, so three such pieces in
-    a row are an equi-key. Passages of fewer than five pieces have no such key and are compared with every document.
+    What lies between two blanks of a passage lies between two blanks of a document that holds it. So three such pieces in a
+    row, or one where there aren't three, are an equi-key; a passage of one or two pieces has none, and is looked for in
+    every document by a filter that holds all of these.
     """
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("passage"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces, key = F.split("text", " "), lambda p, i: F.xxhash64(F.slice(p, i, 3))
-    b = b.withColumn("p", F.split("passage", " ")).withColumn("n", F.size("p"))
-    keyed = b.where("n >= 5").select("task_id", key(F.col("p"), F.lit(2)).alias("key"))
-    grams = d.select("doc_id", pieces.alias("p")).where(F.size("p") >= 5)
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("p") - 3), lambda i: key(F.col("p"), i)))).alias("key"))
-    pairs = grams.join(keyed, "key").select("doc_id", "task_id").distinct()
-    held = pairs.join(b.where("n >= 5").select("task_id", "passage"), "task_id").join(d, "doc_id").where(F.contains("text", F.col("passage")))
-    short = d.join(b.where("n < 5").select("task_id", "passage"), F.contains("text", F.col("passage")))
-    return held.select("task_id", doc_id(F.col("doc_id")).alias("id")).unionByName(short.select("task_id", doc_id(F.col("doc_id")).alias("id"))).distinct()
+    inner = F.slice("p", 2, F.greatest(F.size("p") - 2, F.lit(0)))  # pieces with a blank on both sides
+    split = lambda df, text: df.withColumn("p", F.split(text, " ")).withColumn("inner", inner).withColumn("n", F.size("inner"))
+    runs = lambda size: F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.xxhash64(F.lit(size), F.slice("inner", i, size)))
+    b = split(b, "passage")
+    keyed = b.where("n > 0").select("task_id", "passage", F.when(F.col("n") >= 3, F.xxhash64(F.lit(3), F.slice("inner", 1, 3))).otherwise(F.xxhash64(F.lit(1), F.slice("inner", 1, 1))).alias("key"))
+    split_docs = split(d, "text").where("n > 0")
+    grams = split_docs.select("doc_id", F.explode(F.array_distinct(F.concat(F.when(F.col("n") >= 3, runs(3)).otherwise(F.array().cast("array<bigint>")), runs(1)))).alias("key"))
+    pairs = grams.join(keyed.select("task_id", "key"), "key").select("doc_id", "task_id").distinct()
+    held = pairs.join(keyed.select("task_id", "passage"), "task_id").join(d, "doc_id").where(F.contains("text", F.col("passage"))).select("task_id", "doc_id")
+    return held.unionByName(_without_key(d, b.where("n = 0").select("task_id", "passage"))).select("task_id", doc_id(F.col("doc_id")).alias("id")).distinct()
+
+
+#: Passages without a key that one pass over the documents looks for.
+LOOSE = 256
+
+
+def _without_key(d: DataFrame, passages: DataFrame) -> DataFrame:
+    """(task_id, doc_id) of documents that hold a passage, LOOSE passages a pass: their texts are constants of it."""
+    found = d.sparkSession.createDataFrame([], f"task_id {passages.schema['task_id'].dataType.simpleString()}, doc_id {d.schema['doc_id'].dataType.simpleString()}")
+    loose = cut(passages)
+    for n in range(-(-loose.count() // LOOSE)):
+        part = loose.where(F.pmod(F.xxhash64("task_id"), F.lit(-(-loose.count() // LOOSE))) == n).collect()  # some LOOSE rows
+        if part:
+            asked = F.filter(F.array(*(F.when(F.contains("text", F.lit(r["passage"])), F.lit(r["task_id"])) for r in part)), lambda t: t.isNotNull())
+            found = found.unionByName(d.select(F.explode(asked).alias("task_id"), "doc_id"))
+    return found
 
 
 def chg(spark: SparkSession, sf_dir: str) -> DataFrame:

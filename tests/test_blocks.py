@@ -64,8 +64,9 @@ def frames(spark, moves, start, own):
     )
 
 
-@pytest.mark.parametrize("hub, overlaid", [(4, True), (1 << 16, False)])
-def test_walks_of_many_tasks_equal_each_by_itself(spark, world, hub, overlaid):
+@pytest.mark.parametrize("hub, part, overlaid", [(4, 40, True), (1 << 16, 1 << 17, False)])
+def test_walks_of_many_tasks_equal_each_by_itself(spark, world, hub, part, overlaid, monkeypatch):
+    monkeypatch.setattr(blocks, "PART", part)
     nodes, moves, start, own = world
     m, s, o = frames(spark, moves, start, own)
     got = blocks.walk(s, m, 0.85, 9, None, overlay=o if overlaid else None, hub=hub)
@@ -153,7 +154,7 @@ def test_a_step_in_many_chunks_is_the_step_in_one(monkeypatch):
     links = pa.table({"s": rng.integers(0, 30, n), "d": rng.integers(0, 40, n), "l": rng.permutation(n)})
     at = [[{"t": int(t), "place": int(rng.integers(0, 50))} for t in rng.choice(20, 7, replace=False)] for _ in range(12)]
     frontier = pa.table({"n": rng.choice(30, 12, replace=False), "at": pa.array(at, pa.list_(pa.struct([("t", pa.int64()), ("place", pa.int64())])))})
-    step = reach._step(20)
+    step = reach._step(20, n)
     whole = step(links, frontier.slice(1))
     monkeypatch.setattr(reach, "CHUNK", 3)
     assert step(links, frontier.slice(1)).equals(whole)
@@ -164,7 +165,7 @@ def test_a_step_in_many_chunks_is_the_step_in_one(monkeypatch):
                 if node == s:
                     want[x["t"], d] = min(want.get((x["t"], d), (99, 0)), (x["place"], l))
     places = {k: v[0] for k, v in want.items()}  # of equal places, a node's own links decide
-    assert {(t, d): p for t, d, p in zip(*(whole.column(c).to_pylist() for c in ("t", "d", "place")), strict=True)} == places
+    assert {(t, d): c // n for t, d, c in zip(*(whole.column(c).to_pylist() for c in ("t", "d", "code")), strict=True)} == places
 
 
 def test_tiles_cover_a_span_once(spark):
