@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.lineage import numbered
+
+# An outcome without an answer, and how many of them in a row end a run.
+SILENCE, SILENT = "NO_ANSWER", 4
+
 
 def outcome_pivot(ledger: DataFrame, outcomes: list[str]) -> DataFrame:
     """Per arm, trials of each outcome and mean tokens. The outcomes are given, so no pass is spent on finding them."""
@@ -39,6 +44,20 @@ def pending(wanted: DataFrame, ledger: DataFrame) -> DataFrame:
     return wanted.join(ledger.select("task", "arm"), ["task", "arm"], "left_anti")
 
 
+def stopped(trials: DataFrame, limit: int = SILENT, run: str = "run", order: str = "seq") -> DataFrame:
+    """The trials (run, seq, outcome, ...) that are made when a run ends with its limit-th silent answer in a row: those after
+    it are not.
+
+    Trials are numbered in order of run and seq by a range sort. A silent one counts for each of the limit places that a row
+    of silence could begin at to hold it; a place that as many count for is such a row. So a long run is no one task's.
+    """
+    rows = numbered(trials, "_place", run, order)
+    begins = F.explode(F.sequence(F.col("_place") - (limit - 1), F.col("_place"))).alias("_from")
+    silent = rows.where(F.col("outcome") == SILENCE).select(run, begins).groupBy(run, "_from").agg(F.count("*").alias("_n"))
+    ends = silent.where(F.col("_n") == limit).groupBy(run).agg((F.min("_from") + (limit - 1)).alias("_last"))
+    return rows.join(ends, run, "left").where(F.col("_last").isNull() | (F.col("_place") <= F.col("_last"))).select(trials.columns)
+
+
 def certified(record: DataFrame, gold_arm: str, bare_arm: str) -> DataFrame:
     """Tasks that the gold patch resolves and the bare checkout doesn't."""
     good = record.where((F.col("arm") == gold_arm) & (F.col("outcome") == "RESOLVED")).select("task").distinct()

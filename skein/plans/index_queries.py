@@ -321,6 +321,16 @@ def ledger_resume(spark: SparkSession, d: str) -> DataFrame:
     return L.pending(V.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("task")).crossJoin(F.broadcast(arms)), V.led(spark, d))
 
 
+@query("""WITH t AS (SELECT CAST(o_custkey % 100 AS VARCHAR) || o_orderpriority AS run, o_orderkey AS seq, CASE WHEN floor(o_totalprice) % 3 = 0 THEN 'NO_ANSWER' ELSE 'UNRESOLVED' END AS outcome FROM orders),
+    n AS (SELECT *, row_number() OVER w AS nth, count(*) FILTER (outcome = 'NO_ANSWER') OVER (PARTITION BY run ORDER BY seq ROWS 3 PRECEDING) AS silent FROM t WINDOW w AS (PARTITION BY run ORDER BY seq)),
+    s AS (SELECT run, min(nth) AS last FROM n WHERE silent = 4 GROUP BY run) SELECT run, seq, outcome FROM n LEFT JOIN s USING (run) WHERE last IS NULL OR nth <= last""")
+def ledger_stop(spark: SparkSession, d: str) -> DataFrame:
+    """Runs, of orders, that end with their fourth silent answer in a row."""
+    o = V.table(spark, d, "orders")
+    outcome = F.when(F.floor("o_totalprice") % 3 == 0, F.lit(L.SILENCE)).otherwise(F.lit("UNRESOLVED"))
+    return L.stopped(o.select(F.concat((F.col("o_custkey") % 100).cast("string"), "o_orderpriority").alias("run"), F.col("o_orderkey").alias("seq"), outcome.alias("outcome")))
+
+
 @query(with_views("SELECT DISTINCT task FROM led WHERE arm = '1-URGENT' AND outcome = 'RESOLVED' AND task IN (SELECT task FROM led WHERE arm = '5-LOW' AND outcome = 'UNRESOLVED')", "led"))
 def certified(spark: SparkSession, d: str) -> DataFrame:
     return L.certified(V.led(spark, d), "1-URGENT", "5-LOW")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema
 from skein.operators import incremental
+from skein.operators.lineage import cut
 
 VERSION = 1
 _INDEX = (
@@ -89,6 +91,45 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.{kt,kts}") -> Data
     return raw.select(F.regexp_replace("path", f"^(file:)?/*{path.strip('/')}/", "").alias("file"), F.col("content").cast("string").alias("text"))
 
 
+ANALYSIS = "file string, symbols array<struct<%s>>, edges array<struct<%s>>, errors array<struct<line:int,message:string>>, call_sites int, resolved_callees int, attributed_to_caller int, failed_files int"
+
+
+def analysed(spark: SparkSession, path: str, analyse: Callable[[str, str], dict], glob: str = "*.{kt,kts}", notes: int = incremental.NOTES) -> dict[str, DataFrame]:
+    """symbols, edges, errors and coverage of a source tree, file by file: one that fails costs no other its place.
+
+    analyse: of (file, text) a dict of symbols and edges (tuples as in the schema, symbols without their file), errors (line,
+    message; the first `notes` are kept) and the three counts of call sites. A file that can't be read, isn't UTF-8 or that
+    analyse() raises on has a row of coverage with failed_files 1, an error on line 1, and nothing else. Files are listed
+    without being opened; what can't be read is what the listing has and the reader, which passes over it, hasn't. An
+    empty file gives nothing.
+    """
+    source = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    name = F.regexp_replace("path", f"^(file:)?/*{path.strip('/')}/", "").alias("file")
+    listed = source().load(path).select(name)
+    got = source().option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path).select(name, "content")
+
+    def one(file: str, content: bytes | None) -> tuple:
+        try:
+            found = analyse(file, content.decode("utf-8"))
+            symbols = [(*s[:4], file, *s[4:]) for s in found.get("symbols", ())]
+            return file, symbols, list(found.get("edges", ())), list(found.get("errors", ()))[:notes], *(int(found.get(c, 0)) for c in ("call_sites", "resolved_callees", "attributed_to_caller")), 0
+        except Exception as e:  # whatever a file brings about is told of that file, and the others go on  # noqa: BLE001
+            return file, [], [], [(1, f"{type(e).__name__}: {e}"[:200])], 0, 0, 0, 1
+
+    def each(batches):
+        for batch in batches:
+            yield pd.DataFrame([one(f, c) for f, c in zip(batch["file"], batch["content"], strict=True)], columns=["file", "symbols", "edges", "errors", "call_sites", "resolved_callees", "attributed_to_caller", "failed_files"])
+
+    kind = ANALYSIS % tuple(s.replace(", ", ",").replace(" ", ":") for s in (schema.SYMBOLS, schema.EDGES))
+    told = cut(listed.join(got, "file", "left").mapInPandas(each, kind))
+    return {
+        "symbols": told.select(F.inline("symbols")),
+        "edges": told.select(F.inline("edges")),
+        "errors": told.select("file", F.inline("errors")).select("file", "line", "message"),
+        "coverage": told.select("file", "call_sites", "resolved_callees", "attributed_to_caller", "failed_files"),
+    }
+
+
 LEDGER = "task string, arm string, outcome string, tokens long"
 
 
@@ -98,7 +139,14 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.select("task", "arm", "outcome", "tokens").write.mode("append").csv(path, sep="\t")
+    """Adds trials; a (task, arm) that the ledger has already stays as it is, so a batch may be added again."""
+    new = rows.select("task", "arm", "outcome", "tokens").dropDuplicates(["task", "arm"])
+    try:
+        new = new.join(read_ledger(rows.sparkSession, path).select("task", "arm"), ["task", "arm"], "left_anti")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new.select("task", "arm", "outcome", "tokens").write.mode("append").csv(path, sep="\t")
 
 
 def write_contexts(markdown: DataFrame, path: str) -> None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from skein.operators.incremental import patched, stamps
+from skein.operators.ledger import SILENCE, SILENT
 
 
 def watch(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,6 +40,29 @@ def is_fresh(files: DataFrame, stored: DataFrame) -> bool:
     return differ.isEmpty()
 
 
+def until_silent(trials: DataFrame, limit: int = SILENT) -> DataFrame:
+    """A stream of trials (run, seq, outcome) up to the limit-th silent answer in a row of their run; later ones are dropped.
+
+    What is kept of a run is how many of its last answers were silent, and whether it has ended. Trials of a run come in order
+    from batch to batch; within a batch they are put in order.
+    """
+
+    def go_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        silent, ended = state.get if state.exists else (0, False)
+        for batch in [pd.concat(list(batches)).sort_values("seq", kind="stable")]:
+            kept = 0
+            for outcome in batch["outcome"]:
+                if ended:
+                    break
+                kept += 1
+                silent = silent + 1 if outcome == SILENCE else 0
+                ended = silent >= limit
+            state.update((silent, ended))
+            yield batch.head(kept)[["run", "seq", "outcome"]]
+
+    return trials.groupBy("run").applyInPandasWithState(go_on, "run string, seq long, outcome string", "silent int, ended boolean", "append", "NoTimeout")
+
+
 def freshness(changes: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Changed files by window of event time (ts), late ones up to the delay."""
     return changes.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w")).agg(F.approx_count_distinct("file").alias("files"))
