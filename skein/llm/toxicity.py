@@ -13,7 +13,10 @@ stem, whose clauses have patterns of their own. General lists of insults and thr
 
 Weights are fitted to labelled rows by logistic regression over steps: negated, reported, plain, at a target, each step
 the clauses of that rank or a higher one. No step's weight may fall below STEP, so whatever the labels say a plain insult
-weighs more than a reported one, that more than a negated one, and an insult at somebody the most.
+weighs more than a reported one, that more than a negated one, and an insult at somebody the most. The steps to negated
+and to reported clauses may not pass MUTED, which leaves a text that has such clauses alone below the threshold; the step
+to a threat at a target is at least what takes one such clause past it, as labels may show few of them. That a hit without
+a target counts at all is what the labels say: they mark texts for single words among others.
 
 Fitted on at most SAMPLE labelled rows with crc32(doc_id) mod 5 <> 0, in the order of a hash of their ids; labels, lang,
 source and doc_id are no inputs of a score. Whole texts are read in Arrow batches. Empty and null texts have no clause
@@ -38,8 +41,9 @@ from skein.llm.quality import SAMPLE, labelled
 THRESHOLD = 0.5
 #: Lengths, in bytes, of the word beginnings that are tried as stems.
 STEMS = (4, 5, 6, 7, 8)
-#: The least weight of a step from one rank of patterns to the next.
-STEP = 0.05
+#: The least weight of a step from one rank of patterns to the next; the most that negated and reported clauses may weigh; by
+#: how much one threat at a target passes the threshold.
+STEP, MUTED, DIRECT = 0.05, 0.3, 0.2
 
 # General words, whole and lower-cased.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumbass bastard asshole retard arschloch wichser dummkopf trottel connard salaud abruti gilipollas pendejo".split()
@@ -272,30 +276,43 @@ def cover(toxic: dict[bytes, set[int]], clean: dict[bytes, int], n_toxic: int, n
     return taken
 
 
+def bounds(offset: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most that each of steps() may weigh beside an offset."""
+    low, high = np.full(WIDTH, STEP), np.full(WIDTH, np.inf)
+    for k, kind in enumerate(KINDS):
+        at = k * len(RANKS)
+        high[at : at + 2] = MUTED
+        if kind == "threat":
+            low[at + len(RANKS) - 1] = max(STEP, (DIRECT - offset) / np.log(2))
+    return low, high
+
+
 def bounded_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 100) -> np.ndarray:
-    """Logistic regression whose weights stay at STEP or above; the last one is the offset, which has no bound or penalty.
+    """Logistic regression whose weights stay within bounds(); the last one is the offset, which has no bound or penalty.
 
     One coordinate at a time, by Newton steps; rows that are alike are weighed together.
     """
     rows, inverse = np.unique(x, axis=0, return_inverse=True)
     n, ones = np.bincount(inverse.ravel(), minlength=len(rows)), np.bincount(inverse.ravel(), y, minlength=len(rows))
     rows = np.hstack([rows, np.ones((len(rows), 1))])
-    w = np.full(rows.shape[1], STEP)
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    offset = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    w = np.append(bounds(offset)[0], offset)
     z = rows @ w
     for _ in range(rounds):
-        moved = 0.0
+        moved, (low, high) = 0.0, bounds(float(w[-1]))
         for j in range(len(w)):
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             penalty, column = (0.0 if j == len(w) - 1 else ridge), rows[:, j]
             g = column @ (n * p - ones) + penalty * w[j]
             h = (column**2) @ (n * p * (1 - p)) + penalty + 1e-6
             new = w[j] - np.clip(g / h, -1, 1)
-            new = new if j == len(w) - 1 else max(new, STEP)
+            new = new if j == len(w) - 1 else np.clip(new, low[j], high[j])
             z += column * (new - w[j])
             moved, w[j] = max(moved, abs(new - w[j])), new
         if moved < 1e-6:
             break
+    low, high = bounds(float(w[-1]))
+    w[:-1] = np.clip(w[:-1], low, high)
     return w
 
 

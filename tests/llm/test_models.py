@@ -32,6 +32,19 @@ def test_toxicity_holds_on_held_out_rows(spark):
     assert n > 50 and right >= 0.95
 
 
+def test_what_a_clause_says_decides(spark):
+    """Threats and insults at somebody are toxic, negated and reported ones aren't, however many there are."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(spark, docs, labels)
+    toxic = ["i will kill you", "We must destroy them all", "you are an idiot", "kind words. you pathetic clown"]
+    clean = ["", "you are not an idiot", "nobody said you are an idiot", 'they wrote "idiot"', "they kill time", "you will not kill them", "you are not an idiot. " * 9, "he said you are scum. " * 9, "the day is tuesday"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(toxic + clean))), "text": toxic + clean})
+    (got,) = toxicity._scored(model)([batch])
+    scores = got.column("score").to_pylist()
+    assert all(s >= 0.5 for s in scores[: len(toxic)]) and all(s < 0.5 for s in scores[len(toxic) :]), scores
+
+
 @pytest.mark.parametrize("f", [quality.score, toxicity.score])
 def test_scores_of_odd_rows(spark, f):
     docs = documents(spark)
