@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -321,6 +323,35 @@ def ledger_resume(spark: SparkSession, d: str) -> DataFrame:
     return L.pending(V.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("task")).crossJoin(F.broadcast(arms)), V.led(spark, d))
 
 
+_CHAIN = 5  # commits: a snapshot and deltas on it
+
+
+@query(with_views("""WITH v AS (SELECT *, (SELECT max(k) FROM range(0, 5) t(k) WHERE k % (s.pos % 5 + 2) = 0) AS last FROM sym s)
+    SELECT v.id, v.id || '.kt' AS file, v.tokens + last AS tokens, count(e.to_id) AS n_edges FROM v LEFT JOIN edg e ON e.from_id = v.id AND e.kind = 'CONTAINS' WHERE NOT (pos % 7 = 3) GROUP BY ALL""", "sym", "edg"))
+def store_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The last commit of a chain of deltas: symbols as files of their own. A file changes with every commit whose number its
+    own period divides, and of every seventh the file is gone by then."""
+    from skein.operators.lineage import shared_dir
+    from skein.sources import store
+
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    s, e = V.graph(spark, d)
+    names = [c.split()[0] for c in schema.SYMBOLS.split(", ")]
+    edges = cut(e.where("kind = 'CONTAINS'"))
+    errors, coverage = spark.createDataFrame([], schema.ERRORS), spark.createDataFrame([], schema.COVERAGE)
+    for k in range(_CHAIN):
+        version = F.floor(F.lit(k) / (F.col("pos") % 5 + 2)) * (F.col("pos") % 5 + 2)  # the last commit that changed it
+        now = s.where(~((F.col("pos") % 7 == 3) & (F.lit(k) >= 2))).withColumns({"file": F.concat("id", F.lit(".kt")), "tokens": (F.col("tokens") + version).cast("int")})
+        index = {"symbols": now.select(names), "edges": edges, "errors": errors, "coverage": coverage}
+        if k:
+            store.write_delta(index, root, f"c{k:02d}", f"c{k - 1:02d}")
+        else:
+            store.write_index(index, root, "c00")
+    last = store.read_index(spark, root, f"c{_CHAIN - 1:02d}")
+    held = last["symbols"].join(last["edges"].groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n_edges")), "id", "left")
+    return held.select("id", "file", F.col("tokens").cast("long").alias("tokens"), F.coalesce("n_edges", F.lit(0).cast("long")).alias("n_edges"))
+
+
 @query("""WITH t AS (SELECT CAST(o_custkey % 100 AS VARCHAR) || o_orderpriority AS run, o_orderkey AS seq, CASE WHEN floor(o_totalprice) % 3 = 0 THEN 'NO_ANSWER' ELSE 'UNRESOLVED' END AS outcome FROM orders),
     n AS (SELECT *, row_number() OVER w AS nth, count(*) FILTER (outcome = 'NO_ANSWER') OVER (PARTITION BY run ORDER BY seq ROWS 3 PRECEDING) AS silent FROM t WINDOW w AS (PARTITION BY run ORDER BY seq)),
     s AS (SELECT run, min(nth) AS last FROM n WHERE silent = 4 GROUP BY run) SELECT run, seq, outcome FROM n LEFT JOIN s USING (run) WHERE last IS NULL OR nth <= last""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pandas as pd
@@ -40,26 +41,80 @@ def read_index_json(spark: SparkSession, path: str) -> dict[str, DataFrame] | No
     return {"symbols": symbols, "edges": edges, "errors": errors, "coverage": coverage, "stamps": stamps}
 
 
-def write_index(index: dict[str, DataFrame], root: str, commit: str) -> None:
+TABLES = {"symbols": schema.SYMBOLS, "edges": f"{schema.EDGES}, file string", "errors": schema.ERRORS, "coverage": schema.COVERAGE, "touched": "file string"}
+MANIFEST = "base string, depth int, commit string"
+#: Deltas on a snapshot before the next commit is written whole again.
+DEPTH = 8
+
+
+def _by_file(index: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with a file in each row: an edge goes by the file of what it comes from (none: the empty name)."""
+    if "edges" not in index or "symbols" not in index:
+        return index
+    owner = index["symbols"].groupBy(F.col("id").alias("from_id")).agg(F.max("file").alias("file"))
+    edges = index["edges"].select("from_id", "to_id", "kind").join(owner, "from_id", "left").select("from_id", "to_id", "kind", F.coalesce("file", F.lit("")).alias("file"))
+    return {**index, "edges": edges}
+
+
+def _prints(tables: dict[str, DataFrame]) -> DataFrame:
+    """(file, print): what all rows of a file come to, in whatever order they stand."""
+    rows = [df.select("file", F.xxhash64(F.lit(n), *sorted(c for c in df.columns if c != "file")).cast("decimal(38,0)").alias("h")) for n, df in sorted(tables.items())]
+    return functools.reduce(DataFrame.unionByName, rows).groupBy("file").agg(F.struct(F.sum("h"), F.count("*")).alias("print"))
+
+
+def _write(tables: dict[str, DataFrame], root: str, commit: str, base: str | None, depth: int) -> None:
     """One folder a table, a partition a commit, under the version of the schema. A commit written again replaces itself."""
-    for name, df in index.items():
+
+    def put(name: str, df: DataFrame) -> None:
         rows = df.withColumn("commit", F.lit(commit)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         rows.partitionBy("commit").parquet(f"{root}/v{VERSION}/{name}")
-    spark = next(iter(index.values())).sparkSession  # last: the commit is there once all of its tables are
-    done = spark.createDataFrame([(commit,)], "commit string").withColumn("written", F.lit(True))
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("commit").parquet(f"{root}/v{VERSION}/commits")
 
+    for name, df in tables.items():
+        put(name, df)
+    spark = next(iter(tables.values())).sparkSession  # last: the commit is there once all of its tables are
+    put("commits", spark.createDataFrame([(base, depth)], "base string, depth int"))
 
-def commits(spark: SparkSession, root: str) -> DataFrame:
-    """(commit) of the store."""
+
+def write_index(index: dict[str, DataFrame], root: str, commit: str) -> None:
+    """A snapshot: all rows of all tables."""
+    _write(_by_file(index), root, commit, None, 0)
+
+
+def write_delta(index: dict[str, DataFrame], root: str, commit: str, base: str) -> None:
+    """The commit as what differs from a stored one: rows of files that have other rows than there, and the names of these
+    files (of a file that is gone there is the name alone). What is written is in proportion to such files; every DEPTH-th
+    delta on a snapshot is a snapshot in its turn, so no chain grows longer."""
+    spark = index["symbols"].sparkSession
+    depth = _manifest(spark, root, base)["depth"] + 1
+    if depth > DEPTH:
+        return write_index(index, root, commit)
+    tables, before = _by_file(index), _by_file(read_index(spark, root, base))
+    now, was = _prints({n: tables[n] for n in before}), _prints(before).withColumnRenamed("print", "was")
+    touched = cut(now.join(was, "file", "full").where(~F.col("print").eqNullSafe(F.col("was"))).select("file"))
+    return _write({**{n: tables[n].join(touched, "file", "left_semi") for n in before}, "touched": touched}, root, commit, base, depth)
+
+
+def _table(spark: SparkSession, root: str, name: str, columns: str) -> DataFrame:
     try:
-        return spark.read.schema("written boolean, commit string").parquet(f"{root}/v{VERSION}/commits").select("commit")
+        return spark.read.schema(columns).parquet(f"{root}/v{VERSION}/{name}")
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], "commit string")
+            return spark.createDataFrame([], columns)
         raise
 
 
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """(commit) of the store: those whose manifest is there."""
+    return _table(spark, root, "commits", MANIFEST).select("commit")
+
+
+def _manifest(spark: SparkSession, root: str, commit: str) -> dict:
+    found = _table(spark, root, "commits", MANIFEST).where(F.col("commit") == commit).first()
+    if found is None:
+        raise KeyError(f"the store has no commit {commit}")
+    return found.asDict()
+
+
 def index_at(spark: SparkSession, root: str, commit: str, changes: Callable[[DataFrame], DataFrame], index: Callable[[DataFrame | None], dict[str, DataFrame]]) -> dict[str, DataFrame]:
     """The index of a commit: read if the store has it, else patched from the nearest commit that is near enough, else built.
 
@@ -72,17 +127,28 @@ def index_at(spark: SparkSession, root: str, commit: str, changes: Callable[[Dat
         near = incremental.nearest(differ.groupBy("commit", "base").agg(F.count("*").alias("n_changed"))).first()
         base = read_index(spark, root, near["base"]) if near else None
         if base and incremental.worth_reusing(near["n_changed"], base["symbols"].select("file").distinct().count()):
-            fresh = incremental.patched(base, differ.where(F.col("base") == near["base"]).select("file"), index)
+            write_delta(incremental.patched(base, differ.where(F.col("base") == near["base"]).select("file"), index), root, commit, near["base"])
         else:
-            fresh = index(None)
-        write_index(fresh, root, commit)
+            write_index(index(None), root, commit)
     return read_index(spark, root, commit)
 
 
 def read_index(spark: SparkSession, root: str, commit: str) -> dict[str, DataFrame]:
-    """The tables of one commit: its partition alone is read."""
-    kinds = {"symbols": schema.SYMBOLS, "edges": schema.EDGES, "errors": schema.ERRORS, "coverage": schema.COVERAGE}
-    return {n: spark.read.schema(f"{s}, commit string").parquet(f"{root}/v{VERSION}/{n}").where(F.col("commit") == commit).drop("commit") for n, s in kinds.items()}
+    """The tables of one commit. Of its chain of deltas and the snapshot below them, the last commit that touched a file has
+    its rows; the partitions of the chain alone are read."""
+    chain = [_manifest(spark, root, commit)]
+    while chain[-1]["base"] is not None:
+        chain.append(_manifest(spark, root, chain[-1]["base"]))
+    order = {m["commit"]: at for at, m in enumerate(reversed(chain))}
+    place = F.coalesce(*(F.when(F.col("commit") == c, F.lit(at)) for c, at in order.items()))
+    kinds = {n: c for n, c in TABLES.items() if n != "touched"}
+    out = {n: _table(spark, root, n, f"{c}, commit string").where(F.col("commit").isin(list(order))) for n, c in kinds.items()}
+    if len(chain) > 1:
+        later = [c for c, at in order.items() if at]
+        last = _table(spark, root, "touched", f"{TABLES['touched']}, commit string").where(F.col("commit").isin(later)).groupBy("file").agg(F.max(place).alias("_last"))
+        out = {n: df.withColumn("_place", place).join(last, "file", "left").where(F.col("_place") == F.coalesce("_last", F.lit(0))) for n, df in out.items()}
+    whole = {"symbols": schema.SYMBOLS, "edges": schema.EDGES, "errors": schema.ERRORS, "coverage": schema.COVERAGE}
+    return {n: df.select([c.split()[0] for c in whole[n].split(", ")]) for n, df in out.items()}
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.{kt,kts}") -> DataFrame:
