@@ -21,6 +21,7 @@ from skein.plans import retrieval_queries as RQ
 from skein.plans import views as V
 from skein.plans.registry import query
 from skein.plans.views import terms_sql, with_views
+from skein.protocols import DenseSeeds
 
 BUDGET, FILES = 4000, 10
 
@@ -37,8 +38,8 @@ def pack_ranked(spark: SparkSession, d: str, ranked: DataFrame, budget: int = BU
     return P.pack(top, budget, **options)
 
 
-def engine(spark: SparkSession, d: str, changed: dict | None = None, edges: DataFrame | None = None, n_seeds: int = R.SEEDS, penalty: float = R.TEST_PENALTY, dense: bool = False, **options) -> DataFrame:
-    """Seeds, PageRank over the typed graph, provenance, pack."""
+def engine(spark: SparkSession, d: str, changed: dict | None = None, edges: DataFrame | None = None, n_seeds: int = R.SEEDS, penalty: float = R.TEST_PENALTY, dense: bool | DenseSeeds = False, **options) -> DataFrame:
+    """Seeds, PageRank over the typed graph, provenance, pack. dense: as for seeds()."""
     index = s, e = V.graph(spark, d)
     links = G.links(s, e if edges is None else edges, G.weight_table(spark, **(changed or {})))
     seeds = cut(RQ.seeds(spark, d, penalty, n_seeds, dense, s))

@@ -10,6 +10,7 @@ from skein.operators import retrieval as R
 from skein.operators.lineage import cut
 from skein.plans import views as V
 from skein.plans.registry import query
+from skein.protocols import DenseSeeds
 from skein.plans.views import terms_sql, with_views
 
 
@@ -93,13 +94,17 @@ def search_channel(spark: SparkSession, d: str, penalty: float, limit: int = R.C
     return R.ranked(R.penalised(scores, tests, penalty, "id"), limit, key="id")
 
 
-def seeds(spark: SparkSession, d: str, penalty: float = R.TEST_PENALTY, limit: int = R.SEEDS, dense: bool = False, symbols: DataFrame | None = None) -> DataFrame:
-    """(task_id, id, score, why, rank)"""
+def seeds(spark: SparkSession, d: str, penalty: float = R.TEST_PENALTY, limit: int = R.SEEDS, dense: bool | DenseSeeds = False, symbols: DataFrame | None = None) -> DataFrame:
+    """(task_id, id, score, why, rank). dense: whether stored vectors are a channel too, or what scores in their place."""
     symbols = V.sym(spark, d) if symbols is None else symbols
     channels = R.exact_names(V.tsk(spark, d), symbols).withColumn("why", F.lit("seed:mentioned"))
     channels = channels.unionByName(search_channel(spark, d, penalty, symbols=symbols).select("task_id", "id", "rank").withColumn("why", F.lit("seed:search")))
     if dense:
-        channels = channels.unionByName(dense_channel(spark, d, R.CANDIDATES, penalty, symbols).select("task_id", "id", "rank").withColumn("why", F.lit("seed:embed")))
+        if dense is True:
+            near = dense_channel(spark, d, R.CANDIDATES, penalty, symbols)
+        else:
+            near = R.ranked(R.penalised(dense.score(V.tsk(spark, d)), symbols.select("id", "is_test"), penalty, "id"), R.CANDIDATES, key="id")
+        channels = channels.unionByName(near.select("task_id", "id", "rank").withColumn("why", F.lit("seed:embed")))
     return R.fuse(channels, limit)
 
 
