@@ -37,7 +37,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import common
-from skein.llm.passages import shared_passages, sliding_minimum
 
 WINDOW, LEAD = 400, 64
 #: Suffixes in a bucket, on the average at most.
@@ -47,6 +46,16 @@ LARGE, CHUNK = 176, 16
 #: Texts are read in blocks of so many window starts; a position in a block takes 24 bits of a sort key.
 BLOCK, PLACE = 1 << 23, np.uint64((1 << 24) - 1)
 
+
+def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = np.minimum(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
 SUFFIX = "doc_id long, uid long, anchor long, first long, last long, hull1 long, hull2 long, lead binary"
 CLASSED = "doc_id long, uid long, anchor long, first long, last long, hull1 long, hull2 long, class long, alone boolean, mixed boolean, edge boolean"
 
@@ -234,7 +243,7 @@ def _singles(window: int):
     return singles
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -250,15 +259,14 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text, spans, shared in zip(batch.column("doc_id").to_pylist(), common.values(batch.column("text")), batch.column("spans").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+        for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), common.values(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
             spans = merged([(x["a"], x["b"]) for x in spans or ()])
             kept, at = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(text[at:a])
                 at = b
             kept.update(text[at:])
-            words = sum(b - a for a, b in merged([(x["a"], x["b"]) for x in shared or ()]))
-            rows.append((doc_id, len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), words))
+            rows.append((doc_id, len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
         yield _batch(rows, RESULT)
 
 
@@ -312,21 +320,14 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, scratch: common.Scratch
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, lead: int = LEAD) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words.
-
-    n_passage_words: the words that lie in passages of passages.WORDS words which another document holds too, removed or
-    not: such a passage may have fewer bytes than a window.
-    """
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     common.small_batches(spark)
     scratch = common.Scratch(spark, "suffixdedup")
     rows = common.documents(docs).withColumn("uid", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(spark, rows, scratch, window, lead)
     common.release_shuffles(spark)
-    spans = spans.withColumn("kind", F.lit("bytes")).unionByName(shared_passages(rows, scratch).withColumn("kind", F.lit("words")))
-    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("a", "b")))
-    by_text = scratch.keep(spans.groupBy("doc_id", "uid").agg(listed("bytes").alias("spans"), listed("words").alias("shared")))
-    key, columns = ["doc_id", "uid"], ["doc_id", "text", "spans", "shared"]
+    by_text = scratch.keep(spans.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    key, columns = ["doc_id", "uid"], ["doc_id", "text", "spans"]
     cut = common.sieve(rows, by_text, *key).join(by_text, key, "left").select(*columns)
-    none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
-    whole = common.sieve(rows, by_text, *key, keep=False).withColumn("spans", none).withColumn("shared", none)
+    whole = common.sieve(rows, by_text, *key, keep=False).withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
     return cut.unionByName(whole.select(*columns)).mapInArrow(_cut, RESULT)

@@ -133,27 +133,6 @@ def test_suffix_dedup_over_random_bytes_and_other_windows(spark):
     assert got == sorted((i, *r) for (i, _), r in zip(rows, brute_repeats([t.encode() for _, t in rows], 120), strict=True))
 
 
-def test_passages_of_fifty_words_in_other_documents(spark):
-    rng = random.Random(7)
-    words = [f"w{i}" for i in range(900)]
-    passage, other = rng.choices(words, k=70), rng.choices(words, k=55)
-    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 90)) + passage[i % 3 :] + rng.choices(words, k=rng.randint(0, 90)))) for i in range(12)]
-    rows += [(20 + i, " ".join(other[: 49 + i] + rng.choices(words, k=9))) for i in range(5)]  # 49 words are too few
-    rows += [(30, " ".join((rng.choices(words, k=60)) * 3)), (31, "x " * 200), (32, "x " * 90 + "y"), (33, None), (34, "")]  # repeats of one's own don't count
-    rows += [(40, rows[0][1] + " and " + rows[0][1]), (41, rows[30 - 9][1])]
-    texts = [(t or "").split() for _, t in rows]
-    seen = collections.defaultdict(set)
-    for i, w in enumerate(texts):
-        for k in range(len(w) - 49):
-            seen[tuple(w[k : k + 50])].add(i)
-    want = []
-    for (i, _), w in zip(rows, texts, strict=True):
-        held = {j for k in range(len(w) - 49) if len(seen[tuple(w[k : k + 50])]) > 1 for j in range(k, k + 50)}
-        want.append((i, len(held)))
-    got = suffixdedup.remove_repeats(spark, documents(spark, rows)).select("doc_id", "n_passage_words").collect()
-    assert sorted(map(tuple, got)) == sorted(want) and any(n for _, n in want) and not all(n for _, n in want)
-
-
 def test_multikey_quicksort_sorts():
     rng = np.random.default_rng(1)
     tokens = rng.integers(0, 3, (5000, 4)).astype(np.uint64)

@@ -121,17 +121,24 @@ def test_url_rules_and_verdicts(spark):
 
 
 def test_url_verdicts_equal_the_same_model_on_the_driver(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    words, model = urlfilter.fit(pages.select("page_id", "url"))
-    for r in urlfilter.judge(spark, pages).join(pages, "page_id").select(urlfilter_cols()).collect():
-        host, path = urlfilter.split_url(r["url"])
-        a, b = urlfilter.tokens(host, path, words)
-        rule = urlfilter.rule_for(host, path)
-        assert r["verdict"] == (rule[1] if rule else "block" if model.score(a + b) > 0 else "allow")
-
-
-def urlfilter_cols():
-    return [F.col(c) for c in ("url", "verdict")]
+    """Pages with their text: its words are unigrams too."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(spark, pages).collect()}
+    assert [got[int(r["page_id"])] for r in rows] == brute_verdicts([r["url"] for r in rows], [r["html"] for r in rows])
+
+
+def test_names_outside_the_lists_are_split(spark):
+    """400 names of two words that no list has, made of words that the pages' text has: held out, as no page delimits them."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html")
+    counts = urlfilter.unigrams(spark, spark.createDataFrame([], "token string"), pages)
+    listed = {*urlfilter.BLOCKED, *urlfilter.PASSED}
+    rows = [r["token"] for r in counts.where("length(token) >= 4 and n >= 3").orderBy("token").collect() if r["token"] not in listed]
+    rng = random.Random(3)
+    names = {a + b: [a, b] for a, b in (rng.sample(rows, 2) for _ in range(400))}
+    split = urlfilter.splits(spark, spark.createDataFrame([(n,) for n in names], "run string"), counts)
+    right = sum(r["words"] == names[r["run"]] for r in split.collect())
+    assert len(names) > 380 and right >= 0.8 * len(names), (right, len(names))
 
 
 def test_segmentation_finds_the_cheapest_split():
@@ -150,8 +157,8 @@ def test_segmentation_of_words_run_together():
     assert sum(w.split("".join(t)) == list(t) for t in triples) >= 0.9 * len(triples)
 
 
-def brute_verdicts(urls):
-    """The method written plainly: cheapest split by trying all, counts, two rounds of naive Bayes, over (url,) rows."""
+def brute_verdicts(urls, texts=()):
+    """The method written plainly: cheapest split by trying all, counts, two rounds of naive Bayes, over urls and pages' texts."""
     import math
     import re
     from collections import Counter
@@ -171,6 +178,9 @@ def brute_verdicts(urls):
             runs = re.findall("[a-z]+|[0-9]+", label)
             known.update(runs if len(runs) > 1 else [])
         known.update(r for r in re.findall("[a-z]+|[0-9]+", path) if not r.isdigit())
+    for t in texts:
+        bare = re.sub(r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?[a-z0-9]+;", " ", t.lower())
+        known.update(x for x in re.findall(r"[^\W\d_]+", bare) if re.fullmatch("[a-z]{2,%d}" % urlfilter.LONGEST, x))
     usual = max(5, sum(known.values()) // 2000)
     for x in (*urlfilter.BLOCKED, *urlfilter.PASSED):
         known[x] += usual
