@@ -241,7 +241,7 @@ _SCORES = f"""{_CALLERS}, {_ITEMS}, g AS (SELECT task_id, count(*) AS gold_size
 def items(spark: SparkSession, d: str) -> DataFrame:
     from skein.operators.retrieval import ranked
 
-    top = ranked(V.bm(spark, d), 20).withColumn("at", F.col("rank") - 1)
+    top = ranked(V.bm_best(spark, d, 20), 20).withColumn("at", F.col("rank") - 1)
     return top.join(V.sym(spark, d).select(F.col("pos").alias("doc_id"), "id", "file", "is_test", "tokens"), "doc_id")
 
 

@@ -20,7 +20,7 @@ BUDGET = 2000
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """The 400 best of BM25 with all that the packer asks for; bodies are whole texts."""
     docs_ = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    top = cut(ranked(V.bm(spark, d), P.CANDIDATES).withColumn("id", V.doc_id(F.col("doc_id"))))
+    top = cut(ranked(V.bm_best(spark, d, P.CANDIDATES), P.CANDIDATES).withColumn("id", V.doc_id(F.col("doc_id"))))
     contains = V.edg(spark, d).where("kind = 'CONTAINS'")
     above = G.ancestors(contains, top)
     below = G.descendants(contains, top).groupBy("id").agg(F.collect_list("descendant").alias("descendants"))

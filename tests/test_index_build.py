@@ -41,3 +41,27 @@ def test_symbols_and_edges_move_no_texts(spark, tmp_path):
         assert (s["start_line"], s["end_line"]) == (start, start + 19)
         at[s["file"]] = start + 20
     assert [s["id"] for s in symbols if s["is_test"]] == ["d0000007"]
+
+
+def test_the_best_of_bm25_are_those_of_all_scores(spark, monkeypatch):
+    """Before, every (task, document) that shares a word was shuffled, whatever the limit."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, rng.choices(words, k=rng.randint(0, 30))) for i in range(500)]
+    docs += [(500 + i, docs[3][1]) for i in range(60)] + [(600, None)]  # ties
+    queries = [(t, w) for t in range(30) for w in rng.choices([*words, "nowhere"], k=6)]
+    d = spark.createDataFrame(docs, "doc_id long, terms array<string>").repartition(5)
+    q = spark.createDataFrame(queries, "task_id long, term string")
+    factors = spark.createDataFrame([(i, 0.3) for i in range(0, 600, 4)], "doc_id long, factor double")
+    index = R.index(d).cache()
+    whole = R.bm25(*R.postings(index), q).join(factors, "doc_id", "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0))).select("task_id", "doc_id", "score")
+    show = lambda df: sorted((r["task_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in R.ranked(df, 7).collect())
+    want = show(whole)
+    for block, few in ((1024, 1 << 20), (4, 3)):
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        monkeypatch.setattr(R, "FACTORS", few)
+        best = R.bm25_best(index, q, 7, factors)
+        assert show(best) == want
+    assert show(R.bm25_best(index, q, 7)) == show(R.bm25(*R.postings(index), q))
+    assert best.count() <= 1.1 * 30 * 7 * 5  # partitions
+    assert R.bm25_best(R.index(d.where("doc_id = 600")), q, 7).count() == 0
