@@ -20,8 +20,15 @@ that family alone, and no overlapping run of the family fits a template better (
 of different families that overlap are told apart by how many n-grams of its template each matches: one stays. A line of any
 length is one paragraph of one family, the likeliest, also if it names several.
 
-One row per paragraph that holds a word of the gate (a word of a weighted n-gram that is not COMMON) and is given to a
-family, or would be but for its calibrated probability or its template ("unknown"). Null and empty texts give no row; rows that repeat an id are scanned each; rows with a null
+So a wrapped notice that another follows without a line between shares its run with it, and one of the two is lost. With
+`every`, shorter runs are judged as well. Of confirmed paragraphs those count that hold no shorter one of the family that
+matches as many n-grams of a template and as great a share of one; by that number, the greatest first, each stays that meets none that stays already. Such a paragraph
+is a row too, unless a row of its family overlaps it, or it is a run over a line that is a row of its own.
+
+One row per paragraph that holds a word of the gate and is given to a
+family, or would be but for its calibrated probability or its template ("unknown"). The gate has the words of weighted n-grams
+that are not COMMON, and so many others that without them no text holds CONFIRM of a template: it loses nothing that a
+template confirms. Null and empty texts give no row; rows that repeat an id are scanned each; rows with a null
 doc_id take no part.
 """
 
@@ -224,6 +231,8 @@ UNSEEN = [
 ]
 #: Words of templates that are too common to open the gate.
 COMMON = "from this with that terms work file copy copies under free public general version person source without library program subject code form forms author authors extent possible possibly universal charge except general including limited conditions condition list following above provided provide software notice names name holder holders contributors products derived specific prior written purpose particular either other later option along received should have obtain language action contract claim damages whether event otherwise arising connection dealings limitation rights publish sell persons whom furnished shall included portions substantial associated documentation files obtaining hereby granted deal materials must reproduce retain required applicable agreed writing basis kind express implied governing limitations write street floor inc boston franklin fifth foundation available made which accompanying legal appear with regard fees fee any used endorse promote neither nor binary compiled anyone compile commercial means released into domain distributed distribute https http www html only published unless language uses what will such want original being held common development versions marked alter applications covered organization".split()
+#: Words that nearly any English line has: the last ones to open the gate.
+EVERYWHERE = set("a an and any are as at be by do for from has have if in is it may no not of on one or that the this to under was what which will with you".split())
 
 N_GRAMS, CONFIRM, RIDGE = 3, 0.5, 0.02
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -284,9 +293,11 @@ class Model:
         self.templates = [(g, f, f"{f}/{i}", len(grams(t))) for f, texts in TEMPLATES.items() for i, t in enumerate(texts) for g in grams(t)]
         acronyms = {"mit", "bsd", "mpl", "gpl", "cc", "cc0", "gnu", "isc", "epl"}
         self.words = sorted({word for g, _, _ in self.weights if g in known for word in g.split(" ") if len(word) > 3 and not word[0].isdigit() or word in acronyms} - set(COMMON))
-        # A template all of whose words are common opens the gate by its longest.
-        of_template = [{word for g in grams(t) for word in g.split(" ")} for texts in TEMPLATES.values() for t in texts]
-        self.words += sorted({max(words, key=lambda w: (len(w), w)) for words in of_template if not words & set(self.words)})
+        # What holds CONFIRM of a template holds a word of the gate: the longest words are added until the rest is too little.
+        for t in (grams(t) for texts in TEMPLATES.values() for t in texts):
+            words = sorted({word for g in t for word in g.split(" ")} - set(self.words), key=lambda w: (w not in EVERYWHERE, len(w), w))
+            while sum(not set(g.split(" ")) & set(self.words) for g in t) >= CONFIRM * len(t) - 1e-9:
+                self.words.append(words.pop())
 
     @staticmethod
     def _matrix(rows: list[list[int]], n: int) -> np.ndarray:
@@ -322,9 +333,10 @@ def classify(paragraph: str) -> tuple[str, float, float]:
     return (best if p >= m.threshold and share >= CONFIRM else "unknown"), float(p), share
 
 
-def _units(line: F.Column, i: F.Column) -> F.Column:
+def _units(line: F.Column, i: F.Column, every: bool) -> F.Column:
     """A line alone, and with lines behind it, whole ones, up to one without words or until they have as many words as the
-    longest template: (lines, words, body). words, of every line, is a column."""
+    longest template; with every, also with fewer of them ("part"): (lines, part, words, body). words, of every line, is a
+    column."""
     after = F.slice("words", i + 2, LONGEST)
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"), F.lit(False).alias("end"))
 
@@ -334,25 +346,31 @@ def _units(line: F.Column, i: F.Column) -> F.Column:
 
     n = F.aggregate(after, start, step)["n"]
     own = F.element_at("words", i + 1)
-    run = F.concat(own, F.flatten(F.slice(after, F.lit(1), n)))
-    lines = F.when((n > 0) & (F.size(own) > 0), n + 1).otherwise(0)
-    return F.array(F.struct(F.lit(1).alias("lines"), own.alias("words"), line.alias("body")), F.struct(lines.alias("lines"), run.alias("words"), F.array_join(run, " ").alias("body")))
+    unit = lambda lines, part, words, body: F.struct(lines.cast("int").alias("lines"), part.alias("part"), words.alias("words"), body.alias("body"))
+
+    def run(k: F.Column) -> F.Column:
+        words = F.concat(own, F.flatten(F.slice(after, F.lit(1), k)))
+        return unit(k + 1, k < n, words, F.array_join(words, " "))
 
+    alone = F.array(unit(F.lit(1), F.lit(False), own, line))
+    runs = F.transform(F.sequence(F.lit(1), n), run) if every else F.array(run(n))
+    return F.when((n > 0) & (F.size(own) > 0), F.concat(alone, runs)).otherwise(alone)
 
-def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
+
+def scan(spark: SparkSession, docs: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, paragraph (its first line, from 0), family, best_family, probability, template, template_share, confirmed,
     lines (that it takes)."""
     m = model()
     gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(m.words) + r")(?![a-z0-9])"
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(gate)).select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n").alias("l"))
     some = some.withColumn("doc", F.monotonically_increasing_id()).withColumn("words", F.transform("l", lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({_TOKEN})"), F.lit(1))))
-    units = some.select("doc", "doc_id", F.posexplode(F.transform("l", _units)).alias("paragraph", "u")).select("doc", "doc_id", "paragraph", F.inline("u"))
-    units = units.where((F.col("lines") > 0) & F.col("body").rlike(gate)).withColumn("row", F.monotonically_increasing_id())
+    units = some.select("doc", "doc_id", F.posexplode(F.transform("l", lambda x, i: _units(x, i, every))).alias("paragraph", "u")).select("doc", "doc_id", "paragraph", F.inline("u"))
+    units = units.where(F.col("body").rlike(gate)).withColumn("row", F.monotonically_increasing_id())
     joined = lambda n: F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i: F.array_join(F.slice("words", i, n), " "))
-    every = F.concat(*(F.when(F.size("words") >= n, joined(n)).otherwise(F.array().cast("array<string>")) for n in range(1, N_GRAMS + 1)))
-    unit = ["row", "doc", "doc_id", "paragraph", "lines"]
+    pieces = F.concat(*(F.when(F.size("words") >= n, joined(n)).otherwise(F.array().cast("array<string>")) for n in range(1, N_GRAMS + 1)))
+    unit = ["row", "doc", "doc_id", "paragraph", "lines", "part"]
     # Units are dealt out once, before they are split: both groupings below keep that partitioning.
-    found = units.repartition("row").select(*unit, F.explode(F.array_distinct(every)).alias("gram"))
+    found = units.repartition("row").select(*unit, F.explode(F.array_distinct(pieces)).alias("gram"))
 
     # One small table: by n-gram, what it adds to a family's or a template's sum (keys "w/..." and "t/...").
     adds: dict[str, list] = {}
@@ -373,6 +391,7 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of_best = F.filter("s", lambda x: F.startswith(x["k"], F.concat(F.lit("t/"), F.col("best")["f"], F.lit("/"))))
     closest = F.array_max(F.transform(of_best, lambda x: F.struct(x["x"].alias("share"), F.substr(x["k"], F.lit(3)).alias("t"), x["n"].alias("n"))))
     sums = sums.withColumn("closest", F.coalesce(closest, F.struct(F.lit(0.0).alias("share"), F.lit(None).cast("string").alias("t"), F.lit(0).cast("long").alias("n"))))
+    sums = sums.withColumn("most", F.coalesce(F.array_max(F.transform(of_best, lambda x: x["n"])), F.lit(0).cast("long")))
     confirmed = (F.col("probability") >= m.threshold) & (F.col("closest")["share"] >= CONFIRM - 1e-9)
     candidate = F.col("best")["z"] > z[-1]
     sums = sums.where(candidate & (confirmed | (F.col("lines") == 1))).withColumn("confirmed", confirmed)
@@ -384,19 +403,51 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     beside = Window.partitionBy("doc", F.col("best")["f"], F.col("lines") > 1).orderBy("paragraph")
     # Shares are rounded, as their sums come in any order. A run has at most LONGEST lines, so few are near.
     place = F.struct(F.round(F.col("closest")["share"], 9).alias("share"), "paragraph", "lines")
-    sums = sums.withColumn("place", place).withColumn("near", F.collect_list("place").over(beside.rangeBetween(-LONGEST, LONGEST)))
+    sums = sums.withColumn("place", place).withColumn("near", F.collect_list(F.when(~F.col("part"), F.col("place"))).over(beside.rangeBetween(-LONGEST, LONGEST)))
+    meets = lambda x, own: (x["paragraph"] < own["paragraph"] + own["lines"]) & (own["paragraph"] < x["paragraph"] + x["lines"])
     own = F.col("place")
-    overlaps = lambda x: (x["paragraph"] < own["paragraph"] + own["lines"]) & (own["paragraph"] < x["paragraph"] + x["lines"])
-    beaten = F.exists("near", lambda x: overlaps(x) & (F.struct(x["share"], x["paragraph"]) > F.struct(own["share"], own["paragraph"])))
-    sums = sums.where((F.col("lines") == 1) | ~beaten)
+    beaten = F.exists("near", lambda x: meets(x, own) & (F.struct(x["share"], x["paragraph"]) > F.struct(own["share"], own["paragraph"])))
+    stays = ~F.col("part") & ((F.col("lines") == 1) | ~beaten)
+    sums = sums.withColumn("stays", stays) if every else sums.where(stays).withColumn("stays", F.lit(True))
     # Of confirmed units that overlap and are of different families, the one that matches most n-grams of its template stays.
     beside = Window.partitionBy("doc").orderBy("paragraph").rangeBetween(-LONGEST, LONGEST)
-    claim = F.struct(F.col("closest")["n"].alias("n"), F.round("probability", 6).alias("p"), "paragraph", "lines", F.col("best")["f"].alias("f"))
-    sums = sums.withColumn("claim", F.when(F.col("confirmed"), claim)).withColumn("near", F.collect_list("claim").over(beside))
+    claim = F.struct(F.col("closest")["n"].alias("n"), F.round("probability", 6).alias("p"), "paragraph", "lines", F.col("best")["f"].alias("f"), F.round(F.col("closest")["share"], 9).alias("share"), "most")
+    sums = sums.withColumn("claim", F.when(F.col("confirmed"), claim)).withColumn("near", F.collect_list(F.when(F.col("stays"), F.col("claim"))).over(beside))
     mine = F.col("claim")
-    clash = lambda x: (x["f"] != mine["f"]) & (x["paragraph"] < mine["paragraph"] + mine["lines"]) & (mine["paragraph"] < x["paragraph"] + x["lines"])
-    sums = sums.where(~F.col("confirmed") | ~F.exists("near", lambda x: clash(x) & (x > mine)))
+    clash = lambda x: (x["f"] != mine["f"]) & meets(x, mine)
+    stays = F.col("stays") & (~F.col("confirmed") | ~F.exists("near", lambda x: clash(x) & (x > mine)))
+    sums = _others(sums.withColumn("stays", stays), meets) if every else sums.where(stays).withColumn("other", F.lit(False))
     # One row a paragraph: a confirmed run before its first line, a confirmed line before one that is not.
-    first = Window.partitionBy("doc", "paragraph").orderBy(F.col("confirmed").desc(), F.col("lines").desc())
-    sums = sums.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    first = Window.partitionBy("doc", "paragraph").orderBy(F.col("confirmed").desc(), F.col("other"), F.col("lines").desc())
+    sums = sums.withColumn("nth", F.row_number().over(first)).where("nth = 1 or other")
     return sums.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("best")["f"]).otherwise("unknown").alias("family"), F.col("best")["f"].alias("best_family"), F.round("probability", 6).alias("probability"), F.col("closest")["t"].alias("template"), F.round(F.col("closest")["share"], 6).alias("template_share"), "confirmed", "lines")
+
+
+def _others(sums: DataFrame, meets) -> DataFrame:
+    """What stays, and ("other") the confirmed units that don't but are paragraphs beside it: see `every` above."""
+    family = Window.partitionBy("doc", F.col("best")["f"]).orderBy("paragraph").rangeBetween(0, LONGEST)
+    mine = F.col("claim")
+    holds = lambda x: (x["paragraph"] + x["lines"] <= mine["paragraph"] + mine["lines"]) & (x["lines"] < mine["lines"]) & (x["most"] >= mine["most"]) & (x["share"] >= mine["share"])
+    sums = sums.withColumn("near", F.collect_list("claim").over(family)).withColumn("least", F.col("confirmed") & ~F.exists("near", holds))
+    near = Window.partitionBy("doc").orderBy("paragraph").rangeBetween(-LONGEST, LONGEST)
+    sums = sums.withColumn("near", F.collect_list(F.when(F.col("stays"), F.col("claim"))).over(near))
+    taken = F.exists("near", lambda x: meets(x, mine) & ((x["f"] == mine["f"]) | ((x["lines"] == 1) & (mine["lines"] > 1))))
+    sums = sums.withColumn("taken", taken).where("stays or least")
+    # Units that meet, one by way of the next, are a group; all else is a group of its own.
+    order = Window.partitionBy("doc", "least").orderBy("paragraph", "row")
+    before = F.max(F.col("paragraph") + F.col("lines")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("new", F.coalesce((F.col("paragraph") >= before).cast("int"), F.lit(0)))
+    sums = sums.withColumn("island", F.when(F.col("least"), F.sum("new").over(order)).otherwise(-1 - F.col("row")))
+    columns = ["row", "doc_id", "paragraph", "lines", "best", "probability", "closest", "confirmed", "claim", "stays", "least", "taken"]
+    order = F.struct((-F.col("most")).alias("n"), (-F.round("probability", 6)).alias("p"), "lines", "paragraph", "row")
+    groups = sums.groupBy("doc", "island").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), F.struct(*columns).alias("u")))).alias("g"))
+    none = F.array().cast("array<struct<row:bigint,paragraph:int,lines:int>>")
+
+    def take(kept: F.Column, x: F.Column) -> F.Column:
+        free = x["u"]["least"] & ~F.exists(kept, lambda k: meets(k, x["u"]))
+        return F.when(free, F.array_append(kept, F.struct(x["u"]["row"].alias("row"), x["u"]["paragraph"].alias("paragraph"), x["u"]["lines"].alias("lines")))).otherwise(kept)
+
+    groups = groups.withColumn("kept", F.transform(F.aggregate("g", none, take), lambda k: k["row"]))
+    rows = groups.select("doc", "kept", F.explode("g").alias("g")).select("doc", "kept", "g.u.*")
+    rows = rows.withColumn("other", ~F.col("stays") & ~F.col("taken") & F.array_contains("kept", F.col("row")))
+    return rows.where("stays or other")

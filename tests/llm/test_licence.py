@@ -110,3 +110,41 @@ def test_the_texts_once_named_wrongly(spark):
     assert {i: [r["family"] for r in got if r["doc_id"] == i] for i in rows} == {i: f for i, (_, f) in rows.items()}
     m = licence.model()
     assert 0.02 < m.temperature < 10 and 0 < m.threshold < 1
+
+
+def test_the_gate_loses_nothing_that_a_template_confirms(spark):
+    """Pieces of templates without a word that is rare: the classifier gives them a family, so the scan does."""
+    m = licence.model()
+    for texts in licence.TEMPLATES.values():
+        for t in map(licence.grams, texts):
+            assert sum(not set(g.split(" ")) & set(m.words) for g in t) < licence.CONFIRM * len(t)
+    rows = [(1, "notice shall be included in all copies or substantial portions of the"), (2, "use in source and binary forms with or without")]
+    assert [licence.classify(t)[0] for _, t in rows] == ["mit", "bsd"]
+    for every in (False, True):
+        got = licence.scan(spark, documents(spark, rows), every).where("confirmed").collect()
+        assert sorted((r["doc_id"], r["family"]) for r in got) == [(1, "mit"), (2, "bsd")]
+
+
+def test_wrapped_notices_without_a_line_between(spark):
+    """Both of two notices are given with every, whichever comes first; what the scan gives without it is given still."""
+    long = [(f, textwrap.fill(t, 61)) for f, ts in licence.TEMPLATES.items() for t in ts if len(t) > 120][::2]
+    pairs = [((f, a), (g, b)) for i, (f, a) in enumerate(long) for g, b in long[i + 1 :: 3] if f != g]
+    rows = [(i, f"{a}\n{b}") for i, ((_, a), (_, b)) in enumerate(pairs)] + [(len(pairs), f"{GPL2}\n{ZLIB}"), (len(pairs) + 1, None), (len(pairs) + 2, "")]
+    docs = documents(spark, rows)
+    key = lambda rows: {(r["doc_id"], r["paragraph"], r["lines"], r["family"]) for r in rows}
+    got = key(licence.scan(spark, docs, every=True).where("confirmed").collect())
+    assert key(licence.scan(spark, docs).where("confirmed").collect()) <= got
+    families: dict = {}
+    for i, _, _, f in got:
+        families.setdefault(i, set()).add(f)
+    missing = [(a, b) for i, ((f, a), (g, b)) in enumerate(pairs) if not {f, g} <= families.get(i, set())]
+    assert missing == [] and len(pairs) > 20
+    assert families[len(pairs)] == {"gpl-2.0", "zlib"}
+
+
+def test_every_adds_nothing_to_texts_of_one_notice(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(LICENSED)] + [(1000 + i, t) for i, t in enumerate(UNLICENSED)]
+    got: dict = {}
+    for r in licence.scan(spark, documents(spark, rows), every=True).where("confirmed").collect():
+        got.setdefault(r["doc_id"], []).append(r["family"])
+    assert not any(i >= 1000 for i in got) and all(f == [LICENSED[i][0]] for i, f in got.items())
