@@ -15,6 +15,7 @@ from skein.operators import ledger as L
 from skein.operators import names as N
 from skein.operators import packing as P
 from skein.operators import rendering as Re
+from skein.operators import retrieval as R
 from skein.operators.blocks import Vectors, spread, walk
 from skein.operators.lineage import cut
 from skein.plans import views as V
@@ -519,9 +520,13 @@ _DENSE = """SELECT task_id, id, fidelity, density, density_rank FROM (SELECT tas
 
 @query(with_views(_DENSE, "bm", "sym"))
 def pack_density(spark: SparkSession, d: str) -> DataFrame:
-    r = V.bm(spark, d).withColumn("score", F.round("score", 6)).join(V.sym(spark, d).withColumnRenamed("pos", "doc_id"), "doc_id")
-    both = [P.density(r, f).withColumn("fidelity", F.lit(f)).where("density_rank <= 30").select("task_id", "id", "fidelity", "density", "density_rank") for f in ("FULL", "STUB")]
-    return both[0].unionByName(both[1])
+    kinds = ["FULL", "STUB"]
+    sizes = V.sym(spark, d).select(F.col("pos").alias("doc_id"), "id", *(P.estimate(f).alias(f) for f in kinds))
+    near = R.bm25_densest(V.index(spark, d), V.asked(spark, d), 30, sizes, kinds)
+    rows = near.withColumnRenamed("of", "fidelity").withColumn("density", F.round(F.round("score", 6) / F.col("size"), 9))
+    order = Window.partitionBy("task_id", "fidelity").orderBy(F.desc("density"), "id")
+    rows = rows.withColumn("density_rank", F.row_number().over(order).cast("bigint")).where("density_rank <= 30")
+    return rows.select("task_id", "id", "fidelity", "density", "density_rank")
 
 
 @query(with_views(f"""WITH {_ITEMS}, f AS (SELECT DISTINCT task_id, file FROM items), c AS (SELECT task_id, file, line, message, sum(len(regexp_extract_all('- `' || file || ':' || line || '`: ' || message || chr(10), '[A-Za-z0-9]+|[^A-Za-z0-9 \\n\\t\\r]')))

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import retrieval as R
@@ -65,3 +66,26 @@ def test_the_best_of_bm25_are_those_of_all_scores(spark, monkeypatch):
     assert show(R.bm25_best(index, q, 7)) == show(R.bm25(*R.postings(index), q))
     assert best.count() <= 1.1 * 30 * 7 * 5  # partitions
     assert R.bm25_best(R.index(d.where("doc_id = 600")), q, 7).count() == 0
+
+
+def test_the_densest_are_those_of_all_scores(spark):
+    """Many copies, which tie, and sizes that round scores apart: what leaves the partitions holds the best of all, and is few."""
+    rng = random.Random(5)
+    docs = [(i, ["copy", "of", "one"] if i % 3 == 0 else [rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 9))]) for i in range(1200)] + [(1200, [])]
+    sizes = [(i, f"d{i:07d}", float(rng.randrange(1, 40)) if i % 3 else 3.0, 1.0 + rng.random()) for i, _ in docs]
+    asked = [(t, w) for t in range(4) for w in [rng.choice("abcdefgh") * 2 for _ in range(3)] + ["copy"] * (t % 2)]
+    docs = spark.createDataFrame(docs, "doc_id long, terms array<string>").repartition(3)
+    sizes = spark.createDataFrame(sizes, "doc_id long, id string, x double, y double")
+    queries = spark.createDataFrame(asked, "task_id long, term string")
+    index = R.index(docs).localCheckpoint()
+    every = R.bm25(*R.postings(index), queries).join(sizes, "doc_id")
+    every = every.select("task_id", "id", "score", F.inline(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("size")) for c in "xy"))))
+    found = R.bm25_densest(index, queries, 10, sizes, ["x", "y"])
+
+    def best(rows):
+        rows = rows.withColumn("density", F.round(F.round("score", 6) / F.col("size"), 9))
+        nth = F.row_number().over(Window.partitionBy("task_id", "of").orderBy(F.desc("density"), "id"))
+        return sorted(map(tuple, rows.withColumn("nth", nth).where("nth <= 10").select("task_id", "of", "nth", "id", "density").collect()))
+
+    assert best(found) == best(every) and len(best(every)) == 80
+    assert found.count() < every.count() / 4
