@@ -17,31 +17,35 @@ from skein.plans.registry import query
 BUDGET = 2000
 
 
+def bodies(spark: SparkSession, d: str) -> DataFrame:
+    """(id, body): whole texts."""
+    return V.table(spark, d, "documents").select(V.doc_id(F.col("doc_id")).alias("id"), F.col("text").alias("body"))
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The 400 best of BM25 with all that the packer asks for; bodies are whole texts."""
-    docs_ = V.table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    """The 400 best of BM25 with all that the packer asks for; of bodies their sizes."""
     top = cut(ranked(V.bm_best(spark, d, P.CANDIDATES), P.CANDIDATES).withColumn("id", V.doc_id(F.col("doc_id"))))
     contains = V.edg(spark, d).where("kind = 'CONTAINS'")
     above = G.ancestors(contains, top)
     below = G.descendants(contains, top).groupBy("id").agg(F.collect_list("descendant").alias("descendants"))
-    top = top.join(V.sym(spark, d).withColumnRenamed("pos", "doc_id").drop("id"), "doc_id").join(docs_, "doc_id")
+    top = top.join(V.sym(spark, d).withColumnRenamed("pos", "doc_id").drop("id"), "doc_id").join(P.sizes(bodies(spark, d), top), "id")
     top = top.join(above, "id", "left").join(below, "id", "left")
     return top.withColumn("task_id", F.col("task_id").cast("string")).withColumn("why", F.lit("bm25"))
 
 
 @query(S.pack_sql(S.BM25, "bm", budget=BUDGET))
 def pack_two_pass(spark: SparkSession, d: str) -> DataFrame:
-    return P.pack(candidates(spark, d), BUDGET)
+    return P.pack(candidates(spark, d), BUDGET, bodies(spark, d))
 
 
 @query(S.pack_sql(S.BM25, "bm", budget=BUDGET, test_share=0.0))
 def pack_tests_capped(spark: SparkSession, d: str) -> DataFrame:
-    return P.pack(candidates(spark, d), BUDGET, test_share=0.0)
+    return P.pack(candidates(spark, d), BUDGET, bodies(spark, d), test_share=0.0)
 
 
 def packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items with their declarations' columns, the errors that fit, and totals."""
-    got = cut(P.pack(candidates(spark, d), BUDGET))
+    got = cut(P.pack(candidates(spark, d), BUDGET, bodies(spark, d)))
     items = got.join(V.sym(spark, d).select("id", "fq_name", "name", "file", "start_line", "is_test"), "id")
     items = cut(items)
     used = items.select("task_id", "file", (F.col("spent") + F.col("overhead")).alias("used"))
