@@ -2,8 +2,12 @@
 
 import random
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from skein.functions import text as T
 from skein.operators import packing as P
+from skein.operators import rendering as R
 from tests.test_held import shuffled
 
 COLUMNS = "task_id string, rank long, id string, fq_name string, name string, file string, start_line int, signature string, tokens int, is_test boolean, score double, why string, ancestors array<string>, descendants array<string>"
@@ -31,3 +35,20 @@ def test_sizes_stand_for_bodies(spark):
         got = show(P.pack(ranked.join(P.sizes(texts, ranked), "id"), 300, texts, **options))
         assert got == want and ("FULL" in repr(got)) == (options.get("full_share") != 0.0)
         assert shuffled(spark) - before < 150_000
+
+
+def test_errors_that_fit(spark):
+    """Before, each (task, file) met every row of the file's errors, repeats included, and only then were they made distinct."""
+    rng = random.Random(8)
+    errors = [(f"f{rng.randrange(4)}", rng.randrange(300), f"unresolved call `t{rng.randrange(5)}`") for _ in range(3000)] + [("f1", 3, None), ("f1", None, "x"), (None, 1, "y")]
+    items = [(f"t{t}", f"f{f}", 200 - t * 4) for t in range(50) for f in range(4) if (t + f) % 3]
+    e = spark.createDataFrame(errors * 10, "file string, line int, message string").repartition(4).cache()
+    i = spark.createDataFrame(items, "task_id string, file string, used int").cache()
+    e.count(), i.count()
+    line = R.diagnostic_line(F.col("file"), F.col("line"), F.col("message"))
+    cost = F.sum(T.token_count(line)).over(Window.partitionBy("task_id").orderBy("file", "line", "message").rowsBetween(Window.unboundedPreceding, 0)) + T.token_count(F.lit(R.DIAGNOSTICS))
+    want = i.distinct().join(e, "file").distinct().withColumn("cost", cost.cast("bigint")).where("cost <= 210 - used").select("task_id", "file", "line", "message", "cost")
+    want = sorted(map(repr, want.collect()))
+    before = shuffled(spark)
+    assert sorted(map(repr, P.fit_errors(i, e, 210).collect())) == want and len(want) > 300
+    assert shuffled(spark) - before < 400_000
