@@ -56,3 +56,16 @@ def test_weighed_links_are_those_with_a_weight(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
     shuffles = G.weighed(symbols, edges, **none)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (from_id" not in shuffles  # edges without a weight meet no symbol
+
+
+def test_without_weights_no_edges_are_made(spark, monkeypatch):
+    """Scores of ppr_seeds_only are the restart vector; edges were made for it all the same."""
+    from skein.plans import graph_queries as GQ
+
+    def fail(*_):
+        raise AssertionError("edges")
+
+    monkeypatch.setattr(GQ.V, "edg", fail)
+    rows = GQ.ppr_seeds_only(spark, "/root/testdata/sf0.001").collect()
+    start = {(r["task_id"], r["node"]) for r in GQ.restart_vector(spark, "/root/testdata/sf0.001").where("mass > 0").collect()}
+    assert rows and start <= {(r["task_id"], r["node"]) for r in rows}  # of 20 seeds there, of 400 here
