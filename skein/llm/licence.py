@@ -313,6 +313,18 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of these words whose beginnings are shared, so that few branches are tried where none of them stands."""
+    rest: dict[str, list[str]] = {}
+    for word in words:
+        rest.setdefault(word[:1], []).append(word[1:])
+    ends = rest.pop("", None) is not None
+    branches = [re.escape(first) + any_of(more) for first, more in sorted(rest.items())]
+    if not branches:
+        return ""
+    return "(?:" + "|".join(branches) + ")" + "?" * ends
+
+
 @functools.cache
 def model() -> Model:
     return Model()
@@ -361,7 +373,7 @@ def scan(spark: SparkSession, docs: DataFrame, every: bool = False) -> DataFrame
     """doc_id, paragraph (its first line, from 0), family, best_family, probability, template, template_share, confirmed,
     lines (that it takes)."""
     m = model()
-    gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(m.words) + r")(?![a-z0-9])"
+    gate = r"(?i)(?<![a-z0-9])" + any_of(m.words) + r"(?![a-z0-9])"
     some = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(gate)).select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n").alias("l"))
     some = some.withColumn("doc", F.monotonically_increasing_id()).withColumn("words", F.transform("l", lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({_TOKEN})"), F.lit(1))))
     units = some.select("doc", "doc_id", F.posexplode(F.transform("l", lambda x, i: _units(x, i, every))).alias("paragraph", "u")).select("doc", "doc_id", "paragraph", F.inline("u"))
