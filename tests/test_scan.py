@@ -33,7 +33,7 @@ def test_terms_tokens_and_lines_are_those_of_the_expressions(spark, monkeypatch)
 
 
 def test_symbols_edges_and_index_match_no_term_by_term(spark, monkeypatch):
-    """What bfs_why and every ppr_* query read was made by four passes of a match a term, which took most of their time."""
+    """What bfs_why and every ppr_* query read was made by passes of a match a term."""
     from skein.plans import views as V
 
     def fail(*_):
